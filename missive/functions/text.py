@@ -144,9 +144,14 @@ def vocab_tokens(col: Column) -> Column:
 
 
 def bigrams(tokens: Column) -> Column:
-    """Adjacent pairs joined by one space; empty for fewer than two tokens."""
-    tail = F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0)))
-    return F.transform(tail, lambda x, i: F.concat_ws(" ", tokens.getItem(i), x))
+    """Adjacent pairs joined by one space; empty for fewer than two tokens.
+
+    ``zip_with`` over two shifted slices keeps the token array out of the
+    lambda, so it is evaluated once per row (a lambda that indexes an outer
+    array expression would re-evaluate it per element).
+    """
+    n = F.greatest(F.size(tokens) - 1, F.lit(0))
+    return F.zip_with(F.slice(tokens, 1, n), F.slice(tokens, 2, n), lambda a, b: F.concat_ws(" ", a, b))
 
 
 def uni_and_bigrams(tokens: Column) -> Column:

@@ -8,10 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from missive.functions import text as T
+from missive.functions import display as D
+from missive.operators import evaluate as EV
+from missive.operators import features as FE
+from missive.operators import history as H
+from missive.operators import score as SC
+from missive.operators import split as SP
 from missive.operators import stats
 from missive.sources import tables
 
@@ -80,6 +86,161 @@ def q_trigger_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", T.highlight_triggers(F.col("html"), CORPUS_TRIGGERS).alias("highlighted"))
 
 
+
+# --- history reports -------------------------------------------------------
+
+HISTORY_SEARCH = '"k": 7'
+
+
+def q_history_search(spark, sf_dir):
+    return H.get_history(tables.history(spark, sf_dir), 100, search_query=HISTORY_SEARCH)
+
+
+def q_history_label_filter(spark, sf_dir):
+    return H.get_history(tables.history(spark, sf_dir), 100, label_filter="SPAM")
+
+
+def q_history_latest(spark, sf_dir):
+    return H.get_history(tables.history(spark, sf_dir), 100, label_filter="All")
+
+
+def q_history_kpis(spark, sf_dir):
+    return H.kpis(tables.history(spark, sf_dir))
+
+
+def q_history_by_model(spark, sf_dir):
+    return H.scans_by_model(tables.history(spark, sf_dir))
+
+
+def q_history_trend(spark, sf_dir):
+    return H.trend(tables.history(spark, sf_dir))
+
+
+def q_history_windowed_trend(spark, sf_dir):
+    return H.windowed_trend(tables.history(spark, sf_dir), "1 hour")
+
+
+def q_history_display(spark, sf_dir):
+    return H.display(tables.history(spark, sf_dir))
+
+
+# --- evaluation ------------------------------------------------------------
+
+RULE_MODEL = "Marker rule"
+
+
+def _rule_metrics(spark, sf_dir):
+    preds = tables.rule_predictions(spark, sf_dir)
+    m = EV.evaluate(preds, "label", "y_pred", ["lang"])
+    return m.select(F.lit(RULE_MODEL).alias("model_name"), F.col("lang").alias("vectorizer_name"),
+                    F.dense_rank().over(Window.orderBy("lang")).cast("long").alias("grid_ordinal"),
+                    "tn", "fp", "fn", "tp", *EV.METRICS, "confusion_matrix")
+
+
+def q_confusion_matrix(spark, sf_dir):
+    m = _rule_metrics(spark, sf_dir)
+    return m.select("vectorizer_name", "tn", "fp", "fn", "tp", EV.matrix_text(m).alias("matrix"))
+
+
+def q_eval_metrics(spark, sf_dir):
+    return _rule_metrics(spark, sf_dir).select("model_name", "vectorizer_name", *EV.METRICS)
+
+
+def q_best_model(spark, sf_dir):
+    return EV.best_model(_rule_metrics(spark, sf_dir)).select("model_name", "vectorizer_name", "f1_score")
+
+
+def q_metrics_unpivot(spark, sf_dir):
+    return EV.metrics_long(_rule_metrics(spark, sf_dir))
+
+
+def q_metrics_table(spark, sf_dir):
+    return EV.metrics_table(_rule_metrics(spark, sf_dir))
+
+
+# --- split / features ------------------------------------------------------
+
+def _prepared(spark, sf_dir):
+    return stats.prepare_messages(tables.messages(spark, sf_dir)).select("doc_id", "label", "clean_text")
+
+
+def _split(spark, sf_dir):
+    return SP.stratified_split(_prepared(spark, sf_dir), "label", "doc_id")
+
+
+def _split_checkpointed(spark, sf_dir):
+    """The split, materialised once in the shared checkpoint folder: the
+    feature fit reads it several times (counts, top-k, doc frequency)."""
+    return _split(spark, sf_dir).checkpoint(eager=True)
+
+
+def q_stratified_split_members(spark, sf_dir):
+    return _split(spark, sf_dir).select("doc_id", "label", "split")
+
+
+def q_stratified_split_counts(spark, sf_dir):
+    return SP.split_counts(_split(spark, sf_dir))
+
+
+def q_class_weights(spark, sf_dir):
+    train = _split(spark, sf_dir).filter(F.col("split") == "train")
+    return SP.class_weights(train).select("label", "n_c", F.round("weight", 9).alias("weight"))
+
+
+def q_tfidf_vocab(spark, sf_dir):
+    train = _split_checkpointed(spark, sf_dir).filter(F.col("split") == "train")
+    v = FE.fit_vocabulary(train)
+    return v.select("term", "term_index", "term_count", "doc_freq", F.round("idf", 9).alias("idf"))
+
+
+def q_tfidf_weights(spark, sf_dir):
+    prepared = _split_checkpointed(spark, sf_dir)
+    model = FE.TfidfModel.fit(prepared.filter(F.col("split") == "train"))
+    w = model.weights_long(prepared, ["doc_id"])
+    return w.select("doc_id", "term", F.round("weight", 6).alias("weight"))
+
+
+def q_bigrams_topk(spark, sf_dir):
+    prepared = _prepared(spark, sf_dir)
+    grams = prepared.select(F.explode(T.bigrams(T.vocab_tokens(F.col("clean_text")))).alias("bigram"))
+    return (grams.groupBy("bigram").agg(F.count(F.lit(1)).alias("n"))
+            .orderBy(F.col("n").desc(), F.col("bigram").asc()).limit(100))
+
+
+def q_embedding_mean(spark, sf_dir):
+    emb = tables.table(spark, sf_dir, "embeddings")
+    return FE.embedding_mean(emb).select("label", "dim", F.round("mean_value", 6).alias("mean_value"))
+
+
+# --- scoring ---------------------------------------------------------------
+
+def _rule_scored_batch(spark, sf_dir):
+    items = tables.batch_input(spark, sf_dir)
+    ok, _ = SC.split_valid(items)
+    staged = ok.withColumn("clean_text", T.clean_text(F.col("text"))) \
+        .withColumn("p", (F.length("text") % 101).cast("double") / F.lit(100.0))
+    return SC.postprocess(staged, "p", "clean_text")
+
+
+def q_score_postprocess(spark, sf_dir):
+    return _rule_scored_batch(spark, sf_dir).select("id", "is_spam", "spam_probability", "confidence_score")
+
+
+def q_batch_summary(spark, sf_dir):
+    return SC.batch_summary(_rule_scored_batch(spark, sf_dir), ("role",))
+
+
+def q_batch_display(spark, sf_dir):
+    return SC.batch_display(_rule_scored_batch(spark, sf_dir)).select(
+        "id", "prediction", "probability_pct", "confidence_pct")
+
+
+def q_pool_append(spark, sf_dir):
+    msgs = tables.messages(spark, sf_dir)
+    existing = msgs.select("label", "text")
+    new = stats.standardise_labels(msgs.select(F.col("toxic").cast("string").alias("label"), "text"))
+    return existing.unionByName(new).na.drop(subset=["label", "text"])
+
 QUERIES: dict[str, Query] = {
     "label_standardise": q_label_standardise,
     "clean_text": q_clean_text,
@@ -91,5 +252,29 @@ QUERIES: dict[str, Query] = {
     "trigger_hits": q_trigger_hits,
     "trigger_hits_corpus": q_trigger_hits_corpus,
     "trigger_highlight": q_trigger_highlight,
+    "history_search": q_history_search,
+    "history_label_filter": q_history_label_filter,
+    "history_latest": q_history_latest,
+    "history_kpis": q_history_kpis,
+    "history_by_model": q_history_by_model,
+    "history_trend": q_history_trend,
+    "history_windowed_trend": q_history_windowed_trend,
+    "history_display": q_history_display,
+    "confusion_matrix": q_confusion_matrix,
+    "eval_metrics": q_eval_metrics,
+    "best_model": q_best_model,
+    "metrics_unpivot": q_metrics_unpivot,
+    "metrics_table": q_metrics_table,
+    "stratified_split_members": q_stratified_split_members,
+    "stratified_split_counts": q_stratified_split_counts,
+    "class_weights": q_class_weights,
+    "tfidf_vocab": q_tfidf_vocab,
+    "tfidf_weights": q_tfidf_weights,
+    "bigrams_topk": q_bigrams_topk,
+    "embedding_mean": q_embedding_mean,
+    "score_postprocess": q_score_postprocess,
+    "batch_summary": q_batch_summary,
+    "batch_display": q_batch_display,
+    "pool_append": q_pool_append,
 }
 FLAGSHIP = "dataset_stats"

@@ -42,6 +42,76 @@ def _trigger_hits(triggers) -> str:
 GROUP BY source, trigger"""
 
 
+
+HISTORY = """(SELECT event_id AS id, props AS email_text, CAST(event_type = 'error' AS INTEGER) AS is_spam,
+  value / (value + 1.0) AS probability, value AS confidence, event_type AS model_used,
+  CASE WHEN value >= 50.0 THEN 'Word2Vec' ELSE 'TF-IDF' END AS vectorizer_used,
+  value * 2.0 AS execution_time_ms, ts AS timestamp FROM events)"""
+
+HISTORY_COLS = "id, email_text, is_spam, probability, confidence, model_used, vectorizer_used, execution_time_ms, timestamp"
+
+
+def _pct(part: str, total: str) -> str:
+    return f"CASE WHEN {total} > 0 THEN round({part} / {total} * 100.0, 2) ELSE 0.0 END"
+
+
+def _num_text(x: str) -> str:
+    return f"CAST(CAST({x} AS DOUBLE) AS VARCHAR)"
+
+
+RULE_METRICS = """(SELECT 'Marker rule' AS model_name, lang AS vectorizer_name,
+  dense_rank() OVER (ORDER BY lang) AS grid_ordinal, tn, fp, fn, tp,
+  CASE WHEN tn + fp + fn + tp > 0 THEN (tp + tn) / (tn + fp + fn + tp) ELSE 0.0 END AS accuracy,
+  CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision,
+  CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall,
+  CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END AS f1_score
+FROM (SELECT lang,
+  count_if(label = 'ham' AND y_pred = 'ham') AS tn, count_if(label = 'ham' AND y_pred = 'spam') AS fp,
+  count_if(label = 'spam' AND y_pred = 'ham') AS fn, count_if(label = 'spam' AND y_pred = 'spam') AS tp
+  FROM (SELECT *, CASE WHEN regexp_matches(text, '[$£€!]') THEN 'spam' ELSE 'ham' END AS y_pred FROM """ + MESSAGES + """)
+  GROUP BY lang))"""
+
+PREPARED = f"(SELECT doc_id, label, clean_text FROM {MESSAGES_CLEAN})"
+
+SPLIT = f"""(WITH p AS {PREPARED},
+counts AS (SELECT label, count(*) AS c FROM p GROUP BY label),
+a0 AS (SELECT label, c, sum(c) OVER () AS n, ceil(0.2 * CAST(sum(c) OVER () AS DOUBLE)) AS n_test FROM counts),
+a1 AS (SELECT *, CAST(c AS DOUBLE) * CAST(n - n_test AS DOUBLE) / CAST(n AS DOUBLE) AS cont FROM a0),
+a2 AS (SELECT *, floor(cont) AS fl, cont - floor(cont) AS rem FROM a1),
+a3 AS (SELECT *, (n - n_test) - sum(fl) OVER () AS need, row_number() OVER (ORDER BY rem DESC, label) AS rk FROM a2),
+alloc AS (SELECT label, c - (fl + CASE WHEN rk <= need THEN 1 ELSE 0 END) AS n_test_c FROM a3)
+SELECT p.doc_id, p.label, p.clean_text,
+  CASE WHEN row_number() OVER (PARTITION BY p.label ORDER BY md5('42:' || CAST(p.doc_id AS VARCHAR)), p.doc_id)
+       <= alloc.n_test_c THEN 'test' ELSE 'train' END AS split
+FROM p JOIN alloc ON p.label = alloc.label)"""
+
+VT = S.vocab_tokens("clean_text")
+TERMS = f"(SELECT doc_id, split, list_concat(toks, {S.bigrams('toks')}) AS terms FROM (SELECT doc_id, split, {VT} AS toks FROM {SPLIT}))"
+
+VOCAB = f"""(WITH t AS {TERMS},
+tr AS (SELECT * FROM t WHERE split = 'train'),
+cnt AS (SELECT term, count(*) AS term_count FROM (SELECT unnest(terms) AS term FROM tr) GROUP BY term),
+top AS (SELECT * FROM cnt ORDER BY term_count DESC, term ASC LIMIT 5000),
+dfq AS (SELECT term, count(*) AS doc_freq FROM (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(terms) AS term FROM tr)) GROUP BY term),
+n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM tr)
+SELECT top.term, row_number() OVER (ORDER BY top.term) - 1 AS term_index, top.term_count,
+  coalesce(dfq.doc_freq, 0) AS doc_freq, ln((1.0 + n.n) / (1.0 + coalesce(dfq.doc_freq, 0))) + 1.0 AS idf
+FROM top LEFT JOIN dfq ON top.term = dfq.term, n)"""
+
+TFIDF = f"""(WITH t AS {TERMS}, v AS {VOCAB},
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM t) GROUP BY doc_id, term),
+w AS (SELECT tf.doc_id, tf.term, (1.0 + ln(tf.tf)) * v.idf AS w FROM tf JOIN v ON tf.term = v.term)
+SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM w)"""
+
+BATCH = f"""(WITH items AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS id, text, role FROM conversations),
+ok AS (SELECT * FROM items WHERE text IS NOT NULL AND length(text) >= 1),
+st AS (SELECT *, {S.clean_text('text')} AS clean_text, CAST(length(text) % 101 AS DOUBLE) / 100.0 AS p FROM ok)
+SELECT *, CASE WHEN clean_text = '' THEN false ELSE p >= 0.5 END AS is_spam,
+  CASE WHEN clean_text = '' THEN 0.0 ELSE round(p, 4) END AS spam_probability,
+  CASE WHEN clean_text = '' THEN 100.0 ELSE round(abs(p - 0.5) * 2.0 * 100.0, 2) END AS confidence_score FROM st)"""
+
+TOXIC_LABEL = S.standardise_label("CAST(toxic AS VARCHAR)")
+
 ORACLE: dict[str, str] = {
     "label_standardise": _label_standardise(),
     "clean_text": f"SELECT doc_id, {S.clean_text('text')} AS clean_text FROM documents",
@@ -56,4 +126,56 @@ GROUP BY label, token""",
     "trigger_hits": _trigger_hits(T.DEFAULT_TRIGGERS),
     "trigger_hits_corpus": _trigger_hits(CORPUS_TRIGGERS),
     "trigger_highlight": f"SELECT page_id, {S.highlight_triggers('html', CORPUS_TRIGGERS)} AS highlighted FROM pages",
+    "history_search": f"SELECT {HISTORY_COLS} FROM {HISTORY} WHERE email_text ILIKE '%\"k\": 7%' ORDER BY id DESC LIMIT 100",
+    "history_label_filter": f"SELECT {HISTORY_COLS} FROM {HISTORY} WHERE is_spam = 1 ORDER BY id DESC LIMIT 100",
+    "history_latest": f"SELECT {HISTORY_COLS} FROM {HISTORY} ORDER BY id DESC LIMIT 100",
+    "history_kpis": f"""SELECT count(*) AS total_scans, count_if(is_spam = 1) AS total_spam, count_if(is_spam = 0) AS total_ham,
+  {_pct('count_if(is_spam = 1)', 'count(*)')} AS spam_percentage,
+  round(coalesce(avg(confidence), 0.0), 2) AS avg_confidence,
+  round(coalesce(avg(execution_time_ms), 0.0), 2) AS avg_latency FROM {HISTORY}""",
+    "history_by_model": f"SELECT model_used, count(*) AS count FROM {HISTORY} GROUP BY model_used",
+    "history_trend": f"""SELECT id, is_spam, confidence, timestamp, row_number() OVER (ORDER BY id) AS scan_no,
+  CASE WHEN is_spam = 1 THEN 'Spam' ELSE 'Safe (Ham)' END AS label
+FROM (SELECT id, is_spam, confidence, timestamp FROM {HISTORY} ORDER BY id LIMIT 50)""",
+    "history_windowed_trend": f"""SELECT time_bucket(INTERVAL '1 hour', timestamp) AS window_start,
+  time_bucket(INTERVAL '1 hour', timestamp) + INTERVAL '1 hour' AS window_end,
+  count(*) AS scans, count_if(is_spam = 1) AS spam_count, round(avg(confidence), 4) AS avg_confidence
+FROM {HISTORY} GROUP BY 1, 2""",
+    "history_display": f"""SELECT CAST(id AS VARCHAR) AS id, strftime(timestamp, '%b %d, %Y - %H:%M:%S') AS scanned_at, email_text,
+  CASE WHEN is_spam = 1 THEN 'Spam 🚨' ELSE 'Safe ✅' END AS spam_prediction,
+  {_num_text('round(probability * 100.0, 1)')} || '%' AS probability,
+  {_num_text('confidence')} || '%' AS confidence, model_used,
+  {_num_text('execution_time_ms')} || ' ms' AS execution_time FROM {HISTORY}""",
+    "confusion_matrix": f"""SELECT vectorizer_name, tn, fp, fn, tp,
+  '[[' || tn || ',' || fp || '],[' || fn || ',' || tp || ']]' AS matrix FROM {RULE_METRICS}""",
+    "eval_metrics": f"SELECT model_name, vectorizer_name, accuracy, precision, recall, f1_score FROM {RULE_METRICS}",
+    "best_model": f"SELECT model_name, vectorizer_name, f1_score FROM {RULE_METRICS} ORDER BY f1_score DESC, grid_ordinal LIMIT 1",
+    "metrics_unpivot": " UNION ALL ".join(
+        f"""SELECT model_name, vectorizer_name, '{m}' AS metric, {m} AS score,
+  model_name || ' (' || vectorizer_name || ')' AS model_node, {m} * 100.0 AS score_pct FROM {RULE_METRICS}"""
+        for m in ("accuracy", "precision", "recall", "f1_score")),
+    "metrics_table": "SELECT model_name, vectorizer_name, " + ", ".join(
+        f"{_num_text(f'round({m} * 100.0, 2)')} || '%' AS {m}" for m in ("accuracy", "precision", "recall", "f1_score"))
+        + f" FROM {RULE_METRICS}",
+    "stratified_split_members": f"SELECT doc_id, label, split FROM {SPLIT}",
+    "stratified_split_counts": f"SELECT label, split, count(*) AS n FROM {SPLIT} GROUP BY label, split",
+    "class_weights": f"""SELECT label, n_c, round(CAST(sum(n_c) OVER () AS DOUBLE) / CAST(count(*) OVER () * n_c AS DOUBLE), 9) AS weight
+FROM (SELECT label, count(*) AS n_c FROM {SPLIT} WHERE split = 'train' GROUP BY label)""",
+    "tfidf_vocab": f"SELECT term, term_index, term_count, doc_freq, round(idf, 9) AS idf FROM {VOCAB}",
+    "tfidf_weights": f"SELECT doc_id, term, round(weight, 6) AS weight FROM {TFIDF}",
+    "bigrams_topk": f"""SELECT bigram, count(*) AS n FROM (SELECT unnest({S.bigrams(S.vocab_tokens('clean_text'))}) AS bigram
+  FROM {PREPARED}) GROUP BY bigram ORDER BY n DESC, bigram ASC LIMIT 100""",
+    "embedding_mean": """SELECT label, dim, round(avg(CAST(x AS DOUBLE)), 6) AS mean_value FROM (
+  SELECT label, unnest(generate_series(0, len(embedding) - 1)) AS dim, unnest(embedding) AS x FROM embeddings)
+GROUP BY label, dim""",
+    "score_postprocess": f"SELECT id, is_spam, spam_probability, confidence_score FROM {BATCH}",
+    "batch_summary": f"""SELECT role, count(*) AS total_processed, count_if(is_spam) AS spam_count,
+  count(*) - count_if(is_spam) AS ham_count, {_pct('count_if(is_spam)', 'count(*)')} AS spam_percentage
+FROM {BATCH} GROUP BY role""",
+    "batch_display": f"""SELECT id, CASE WHEN is_spam THEN 'Spam 🚨' ELSE 'Safe (Ham) ✅' END AS prediction,
+  {_num_text('round(spam_probability * 100.0, 1)')} || '%' AS probability_pct,
+  {_num_text('confidence_score')} || '%' AS confidence_pct FROM {BATCH}""",
+    "pool_append": f"""SELECT label, text FROM (SELECT label, text FROM {MESSAGES}
+  UNION ALL SELECT {TOXIC_LABEL} AS label, text FROM {MESSAGES} WHERE {TOXIC_LABEL} IN ('spam', 'ham'))
+WHERE label IS NOT NULL AND text IS NOT NULL""",
 }
