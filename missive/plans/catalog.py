@@ -241,6 +241,45 @@ def q_pool_append(spark, sf_dir):
     new = stats.standardise_labels(msgs.select(F.col("toxic").cast("string").alias("label"), "text"))
     return existing.unionByName(new).na.drop(subset=["label", "text"])
 
+
+# --- training and scoring (rows-only checks: learners are not SQL) ----------
+
+def _labelled(spark, sf_dir):
+    return tables.messages(spark, sf_dir).select("doc_id", "label", "text")
+
+
+def _train_score(vec, model_name):
+    def run(spark, sf_dir):
+        from missive.operators import ml as ML
+        res = ML.train_grid(ML.prepare_split(_labelled(spark, sf_dir)), [(vec, model_name)])
+        preds = res.test_predictions[(vec, model_name)]
+        return SC.postprocess(preds, "p", "clean_text").select(
+            "doc_id", "label", "y_pred", "is_spam", "spam_probability", "confidence_score")
+    run.__name__ = f"q_train_score_{vec}_{model_name}"
+    return run
+
+
+def q_model_grid(spark, sf_dir):
+    from missive.operators import ml as ML
+    return ML.train_grid(ML.prepare_split(_labelled(spark, sf_dir))).metrics
+
+
+def q_word2vec_doc_vectors(spark, sf_dir):
+    from missive.operators import ml as ML
+    split_df = ML.prepare_split(_labelled(spark, sf_dir))
+    vecs = ML.fit_vectorisers(split_df.filter(F.col("split") == "train"), (ML.W2V,))
+    from pyspark.ml.functions import vector_to_array
+    return vecs.features(ML.W2V, split_df).select("doc_id", "split", vector_to_array("features").alias("vector"))
+
+
+def q_score_documents(spark, sf_dir):
+    """Flagship: train LR on TF-IDF, score every document, summarise by source."""
+    from missive.operators import ml as ML
+    res = ML.train_grid(ML.prepare_split(_labelled(spark, sf_dir)), [(ML.TFIDF, ML.LR)])
+    clf = ML.Classifier(ML.LR, ML.TFIDF, res.vectorisers, res.models[(ML.TFIDF, ML.LR)])
+    docs = tables.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return SC.batch_summary(clf.score(docs), ("source",))
+
 QUERIES: dict[str, Query] = {
     "label_standardise": q_label_standardise,
     "clean_text": q_clean_text,
@@ -276,5 +315,16 @@ QUERIES: dict[str, Query] = {
     "batch_summary": q_batch_summary,
     "batch_display": q_batch_display,
     "pool_append": q_pool_append,
+    "train_score_lr_tfidf": _train_score("TF-IDF", "Logistic Regression"),
+    "train_score_nb_tfidf": _train_score("TF-IDF", "Naive Bayes"),
+    "train_score_svm_tfidf": _train_score("TF-IDF", "Support Vector Machine"),
+    "train_score_rf_tfidf": _train_score("TF-IDF", "Random Forest"),
+    "train_score_lr_w2v": _train_score("Word2Vec", "Logistic Regression"),
+    "train_score_nb_w2v": _train_score("Word2Vec", "Naive Bayes"),
+    "train_score_svm_w2v": _train_score("Word2Vec", "Support Vector Machine"),
+    "train_score_rf_w2v": _train_score("Word2Vec", "Random Forest"),
+    "model_grid": q_model_grid,
+    "word2vec_doc_vectors": q_word2vec_doc_vectors,
+    "score_documents": q_score_documents,
 }
-FLAGSHIP = "dataset_stats"
+FLAGSHIP = "score_documents"
