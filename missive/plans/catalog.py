@@ -280,6 +280,50 @@ def q_score_documents(spark, sf_dir):
     docs = tables.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return SC.batch_summary(clf.score(docs), ("source",))
 
+
+# --- ingestion round trip and streams --------------------------------------
+
+def q_ingest_roundtrip(spark, sf_dir):
+    """K1 -> S1-S7: write labelled messages as headerless TSV under the shared
+    folder, read them back with sniffing, the malformed-row rule and P1/P2."""
+    from missive.session import scratch_path
+    from missive.sources import ingest
+    path = scratch_path(spark, "raw-pool")
+    ingest.write_raw_tsv(tables.messages(spark, sf_dir).select("label", "text"), path)
+    return ingest.ingest_labelled(spark, path, "auto").na.drop(subset=["label", "text"])
+
+
+def q_stream_kpis(spark, sf_dir):
+    from missive.session import scratch_path
+    from missive.streaming import stream as ST
+    out, ck = scratch_path(spark, "kpis-out"), scratch_path(spark, "kpis-ckpt")
+    ST.run_live_kpis(ST.history_stream_from_events(spark, sf_dir), out, ck).awaitTermination()
+    return ST.latest_per_key(out, spark, [])
+
+
+def q_stream_trend(spark, sf_dir):
+    from missive.session import scratch_path
+    from missive.streaming import stream as ST
+    out, ck = scratch_path(spark, "trend-out"), scratch_path(spark, "trend-ckpt")
+    ST.run_certainty_trend(ST.history_stream_from_events(spark, sf_dir), out, ck).awaitTermination()
+    return ST.latest_per_key(out, spark, ["window_start", "window_end"])
+
+
+def q_stream_score(spark, sf_dir):
+    """ST1: train LR on TF-IDF, then score conversation turns as a file stream
+    into the history (foreachBatch, replay-safe); read the history back."""
+    from missive.operators import ml as ML
+    from missive.session import scratch_path
+    from missive.streaming import stream as ST
+    res = ML.train_grid(ML.prepare_split(_labelled(spark, sf_dir)), [(ML.TFIDF, ML.LR)])
+    clf = ML.Classifier(ML.LR, ML.TFIDF, res.vectorisers, res.models[(ML.TFIDF, ML.LR)])
+    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet").schema
+    src = (spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet")
+           .parquet(sf_dir).select("text"))
+    hist, ck = scratch_path(spark, "history"), scratch_path(spark, "score-ckpt")
+    ST.score_stream(src, clf, hist, ck).awaitTermination()
+    return spark.read.parquet(hist).drop("batch_id")
+
 QUERIES: dict[str, Query] = {
     "label_standardise": q_label_standardise,
     "clean_text": q_clean_text,
@@ -326,5 +370,9 @@ QUERIES: dict[str, Query] = {
     "model_grid": q_model_grid,
     "word2vec_doc_vectors": q_word2vec_doc_vectors,
     "score_documents": q_score_documents,
+    "ingest_roundtrip": q_ingest_roundtrip,
+    "stream_kpis": q_stream_kpis,
+    "stream_trend": q_stream_trend,
+    "stream_score": q_stream_score,
 }
 FLAGSHIP = "score_documents"

@@ -175,7 +175,10 @@ FROM {BATCH} GROUP BY role""",
     "batch_display": f"""SELECT id, CASE WHEN is_spam THEN 'Spam 🚨' ELSE 'Safe (Ham) ✅' END AS prediction,
   {_num_text('round(spam_probability * 100.0, 1)')} || '%' AS probability_pct,
   {_num_text('confidence_score')} || '%' AS confidence_pct FROM {BATCH}""",
+    "ingest_roundtrip": f"SELECT label, text FROM {MESSAGES} WHERE text IS NOT NULL",
     "pool_append": f"""SELECT label, text FROM (SELECT label, text FROM {MESSAGES}
   UNION ALL SELECT {TOXIC_LABEL} AS label, text FROM {MESSAGES} WHERE {TOXIC_LABEL} IN ('spam', 'ham'))
 WHERE label IS NOT NULL AND text IS NOT NULL""",
 }
+ORACLE["stream_kpis"] = ORACLE["history_kpis"]
+ORACLE["stream_trend"] = ORACLE["history_windowed_trend"]

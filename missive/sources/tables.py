@@ -51,7 +51,11 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-in prediction history built from ``events`` (fixed expressions of value)."""
-    ev = table(spark, sf_dir, "events")
+    return shape_history(table(spark, sf_dir, "events"))
+
+
+def shape_history(ev: DataFrame) -> DataFrame:
+    """events -> history columns (works on batch and streaming frames)."""
     value = F.col("value")
     return ev.select(
         F.col("event_id").alias("id"),
