@@ -22,12 +22,18 @@ def prepare_messages(df: DataFrame, text_col: str = "text",
     """Drop null label/text, add ``clean_text``, drop rows empty after cleaning."""
     out = df.na.drop(subset=["label", text_col])
     if lemma_map is None:
-        out = out.withColumn("clean_text", T.clean_text(F.col(text_col), stop_words))
+        cleaned = T.clean_text(F.col(text_col), stop_words)
     else:
         from missive.functions.lemma import lemmatize_column
-        out = out.withColumn("_tokens", T.clean_tokens(F.col(text_col), stop_words))
-        out = lemmatize_column(out, "_tokens", lemma_map, "_lemmas")
-        out = out.withColumn("clean_text", F.array_join("_lemmas", " ")).drop("_tokens", "_lemmas")
+        out = lemmatize_column(out.withColumn("_tokens", T.clean_tokens(F.col(text_col), stop_words)),
+                               "_tokens", lemma_map, "_lemmas")
+        cleaned = F.array_join("_lemmas", " ")
+    # The cleaned text is produced by a one-row generator: a filter on generator
+    # output cannot be pushed below it, so Catalyst cannot copy the regex chain
+    # into the scan (before joins / repartitioning) and evaluate it twice.
+    out = out.select("*", F.explode(F.array(cleaned)).alias("clean_text"))
+    if lemma_map is not None:
+        out = out.drop("_tokens", "_lemmas")
     return out.filter(F.col("clean_text") != "")
 
 

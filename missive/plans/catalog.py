@@ -324,6 +324,15 @@ def q_stream_score(spark, sf_dir):
     ST.score_stream(src, clf, hist, ck).awaitTermination()
     return spark.read.parquet(hist).drop("batch_id")
 
+
+def q_lemmatize(spark, sf_dir):
+    """Noun lemmas of the cleaned tokens of labelled messages (corpus lexicon, df >= 2)."""
+    from missive.functions.lemma import lemmatize
+    msgs = tables.messages(spark, sf_dir).na.drop(subset=["label", "text"])
+    toks = msgs.select("doc_id", T.clean_tokens(F.col("text")).alias("tokens"))
+    return lemmatize(toks, "tokens", "lemmas", key_col="doc_id").select(
+        "doc_id", F.array_join("lemmas", " ").alias("lemma_text"))
+
 QUERIES: dict[str, Query] = {
     "label_standardise": q_label_standardise,
     "clean_text": q_clean_text,
@@ -374,5 +383,6 @@ QUERIES: dict[str, Query] = {
     "stream_kpis": q_stream_kpis,
     "stream_trend": q_stream_trend,
     "stream_score": q_stream_score,
+    "lemmatize": q_lemmatize,
 }
 FLAGSHIP = "score_documents"

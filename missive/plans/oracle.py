@@ -180,5 +180,25 @@ FROM {BATCH} GROUP BY role""",
   UNION ALL SELECT {TOXIC_LABEL} AS label, text FROM {MESSAGES} WHERE {TOXIC_LABEL} IN ('spam', 'ham'))
 WHERE label IS NOT NULL AND text IS NOT NULL""",
 }
+
+def _lemmatize() -> str:
+    from missive.functions.lemma import NOUN_RULES
+    stems = ", ".join(
+        f"CASE WHEN suffix(tok, '{o}') AND length(tok) - {len(o)} > 0 THEN left(tok, length(tok) - {len(o)}) || '{n}' END"
+        for o, n in NOUN_RULES)
+    return f"""WITH m AS (SELECT doc_id, {S.clean_tokens('text')} AS toks FROM {MESSAGES} WHERE label IS NOT NULL AND text IS NOT NULL),
+lex AS (SELECT tok AS lemma FROM (SELECT DISTINCT doc_id, unnest(toks) AS tok FROM m) GROUP BY tok HAVING count(*) >= 2),
+d AS (SELECT DISTINCT unnest(toks) AS tok FROM m),
+c AS (SELECT tok, unnest(list_filter([tok, {stems}], lambda x: x IS NOT NULL)) AS cand FROM d),
+k AS (SELECT c.tok, c.cand, row_number() OVER (PARTITION BY c.tok ORDER BY length(c.cand), c.cand) AS rk
+      FROM c JOIN lex ON c.cand = lex.lemma),
+lm AS (SELECT d.tok, coalesce(k.cand, d.tok) AS lemma FROM d LEFT JOIN k ON d.tok = k.tok AND k.rk = 1),
+e AS (SELECT doc_id, unnest(toks) AS tok, unnest(generate_series(1, len(toks))) AS pos FROM m)
+SELECT m.doc_id, coalesce(x.lemma_text, '') AS lemma_text FROM m LEFT JOIN (
+  SELECT e.doc_id, string_agg(lm.lemma, ' ' ORDER BY e.pos) AS lemma_text FROM e JOIN lm ON e.tok = lm.tok GROUP BY e.doc_id
+) x ON m.doc_id = x.doc_id"""
+
+
+ORACLE["lemmatize"] = _lemmatize()
 ORACLE["stream_kpis"] = ORACLE["history_kpis"]
 ORACLE["stream_trend"] = ORACLE["history_windowed_trend"]
