@@ -57,10 +57,35 @@ def term_counts(train: DataFrame, clean_col: str = "clean_text") -> DataFrame:
             .groupBy("term").agg(F.count(F.lit(1)).alias("term_count")))
 
 
+def count_cutoff(counts: DataFrame, k: int) -> int | None:
+    """Smallest count c such that the terms with count >= c number at least ``k``
+    (None when there are fewer than ``k`` terms).
+
+    Works on the histogram of count values (term_count -> number of terms),
+    whose size is bounded by sqrt(2 * total tokens), not by the vocabulary.
+    """
+    from pyspark.sql import Window
+    hist = counts.groupBy("term_count").agg(F.count(F.lit(1)).alias("n_terms"))
+    desc = Window.orderBy(F.col("term_count").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    row = (hist.withColumn("cum", F.sum("n_terms").over(desc))
+           .filter(F.col("cum") >= k).agg(F.max("term_count").alias("cut")).first())
+    return None if row is None or row["cut"] is None else int(row["cut"])
+
+
+def top_terms(counts: DataFrame, max_features: int) -> DataFrame:
+    """Exact top ``max_features`` by (count desc, term asc). Rows below the count
+    cutoff are dropped before the top-k, so the final single-task merge sees
+    about ``max_features`` rows instead of ``max_features`` per partition."""
+    cut = count_cutoff(counts, max_features)
+    kept = counts if cut is None else counts.filter(F.col("term_count") >= cut)
+    return kept.orderBy(F.col("term_count").desc(), F.col("term").asc()).limit(max_features)
+
+
 def fit_vocabulary(train: DataFrame, clean_col: str = "clean_text",
                    max_features: int = MAX_FEATURES, n_docs: int | None = None) -> DataFrame:
     """(term, term_index, term_count, doc_freq, idf) for the top ``max_features`` terms."""
-    top = term_counts(train, clean_col).orderBy(F.col("term_count").desc(), F.col("term").asc()).limit(max_features)
+    counts = term_counts(train, clean_col).checkpoint(eager=True)   # read by the cutoff and the top-k
+    top = top_terms(counts, max_features)
     distinct_terms = with_terms(train.select(clean_col), clean_col).select(
         F.explode(F.array_distinct("_terms")).alias("term"))
     dfreq = (distinct_terms.join(F.broadcast(top.select("term")), "term")   # <= max_features rows
@@ -155,9 +180,15 @@ def read_with_vector(spark: SparkSession, path: str, features_col: str) -> DataF
 
 def fit_word2vec(train: DataFrame, clean_col: str = "clean_text", vector_size: int = W2V_SIZE,
                  window: int = W2V_WINDOW, min_count: int = W2V_MIN_COUNT, epochs: int = W2V_EPOCHS,
-                 seed: int = SEED, num_partitions: int = 1) -> Word2VecModel:
-    """skip-gram Word2Vec on whitespace tokens of the training rows."""
+                 seed: int = SEED, num_partitions: int | None = None) -> Word2VecModel:
+    """skip-gram Word2Vec on whitespace tokens of the training rows.
+
+    Training runs on ``num_partitions`` tasks (default: the cluster's
+    parallelism). The model (vocabulary x vector size) lives on the driver, so
+    at large scale ``min_count`` should be raised to bound the vocabulary."""
     tokens = train.select(T.split_clean_text(F.col(clean_col)).alias("_words"))
+    if num_partitions is None:
+        num_partitions = max(1, train.sparkSession.sparkContext.defaultParallelism)
     w2v = Word2Vec(vectorSize=vector_size, windowSize=window, minCount=min_count, maxIter=epochs,
                    seed=seed, inputCol="_words", outputCol="_w2v", numPartitions=num_partitions)
     return w2v.fit(tokens)

@@ -306,7 +306,10 @@ def q_stream_trend(spark, sf_dir):
     from missive.streaming import stream as ST
     out, ck = scratch_path(spark, "trend-out"), scratch_path(spark, "trend-ckpt")
     ST.run_certainty_trend(ST.history_stream_from_events(spark, sf_dir), out, ck).awaitTermination()
-    return ST.latest_per_key(out, spark, ["window_start", "window_end"])
+    res = ST.latest_per_key(out, spark, ["window_start", "window_end"])
+    # back to naive UTC wall time, like the batch table's event time
+    return res.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")) \
+        .withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))
 
 
 def q_stream_score(spark, sf_dir):

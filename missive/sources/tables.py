@@ -54,9 +54,13 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape_history(table(spark, sf_dir, "events"))
 
 
-def shape_history(ev: DataFrame) -> DataFrame:
-    """events -> history columns (works on batch and streaming frames)."""
+def shape_history(ev: DataFrame, zoned_time: bool = False) -> DataFrame:
+    """events -> history columns (works on batch and streaming frames).
+
+    ``zoned_time`` casts the naive event time to a UTC instant, which stream
+    watermarks require."""
     value = F.col("value")
+    ts = F.col("ts").cast("timestamp") if zoned_time else F.col("ts")
     return ev.select(
         F.col("event_id").alias("id"),
         F.col("props").alias("email_text"),
@@ -66,7 +70,7 @@ def shape_history(ev: DataFrame) -> DataFrame:
         F.col("event_type").alias("model_used"),
         F.when(value >= 50.0, F.lit("Word2Vec")).otherwise(F.lit("TF-IDF")).alias("vectorizer_used"),
         (value * F.lit(2.0)).alias("execution_time_ms"),
-        F.col("ts").alias("timestamp"),
+        ts.alias("timestamp"),
     )
 
 

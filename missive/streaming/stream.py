@@ -100,7 +100,7 @@ def history_stream_from_events(spark: SparkSession, sf_dir: str, max_files: int
     ev = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
           .option("maxFilesPerTrigger", max_files).parquet(sf_dir))
     from missive.sources.tables import shape_history
-    return shape_history(ev)
+    return shape_history(ev, zoned_time=True)
 
 
 HISTORY_STREAM_SCHEMA: T_.StructType = HISTORY_SCHEMA
