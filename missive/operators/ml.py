@@ -12,6 +12,7 @@ vectoriser under the shared checkpoint folder and reused by all four models.
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -36,6 +37,9 @@ GRID = [(TFIDF, LR), (TFIDF, NB), (TFIDF, SVM), (TFIDF, RF), (W2V, LR), (W2V, NB
 WEIGHTED = {LR, SVM, RF}          # class_weight="balanced" in the grid; NB is unweighted
 PLATT_FOLDS = 5
 SEED = 42
+# Iterative learners launch one job per iteration over every partition of the
+# cached training frame: partitions are sized by rows, not by scan layout.
+ROWS_PER_TRAIN_PARTITION = 50_000
 
 
 def target(df: DataFrame, label_col: str = "label") -> DataFrame:
@@ -82,16 +86,20 @@ class PlattSVM:
 
     @classmethod
     def fit(cls, train: DataFrame, n_train: int) -> "PlattSVM":
+        """Five out-of-fold SVMs give unbiased margins for the calibrator; the
+        final SVM uses all rows. The six fits are independent and run as
+        concurrent Spark jobs from a small driver thread pool."""
         folded = train.withColumn("_fold", F.pmod(F.xxhash64("doc_id"), F.lit(PLATT_FOLDS)))
+        parts = [folded.filter(F.col("_fold") != k) for k in range(PLATT_FOLDS)] + [train]
+        with ThreadPoolExecutor(max_workers=len(parts)) as pool:
+            fitted = list(pool.map(lambda d: _estimator(SVM, TFIDF, n_train).fit(d), parts))
         oof = None
-        for k in range(PLATT_FOLDS):     # fixed, small number of fits
-            fit_part = folded.filter(F.col("_fold") != k)
-            m = _estimator(SVM, TFIDF, n_train).fit(fit_part)
-            part = _margin(folded.filter(F.col("_fold") == k), m).select("y", "margin")
+        for k in range(PLATT_FOLDS):
+            part = _margin(folded.filter(F.col("_fold") == k), fitted[k]).select("y", "margin")
             oof = part if oof is None else oof.unionByName(part)
         cal_in = VectorAssembler(inputCols=["margin"], outputCol="mfeat").transform(oof)
         cal = LogisticRegression(featuresCol="mfeat", labelCol="y", maxIter=100, regParam=0.0).fit(cal_in)
-        return cls(_estimator(SVM, TFIDF, n_train).fit(train), cal)
+        return cls(fitted[-1], cal)
 
     def transform(self, df: DataFrame) -> DataFrame:
         m = VectorAssembler(inputCols=["margin"], outputCol="mfeat").transform(_margin(df, self.svm))
@@ -188,6 +196,14 @@ def prepare_split(labelled: DataFrame) -> DataFrame:
     return out
 
 
+def sized_for_iteration(df: DataFrame, n_rows: int) -> DataFrame:
+    """Fewer, larger partitions for small training sets (no shuffle); large
+    ones keep at least one partition per ``ROWS_PER_TRAIN_PARTITION`` rows."""
+    import math
+    want = max(1, math.ceil(n_rows / ROWS_PER_TRAIN_PARTITION))
+    return df.coalesce(want) if want < df.rdd.getNumPartitions() else df
+
+
 def train_grid(split_df: DataFrame, grid=GRID, model_dir: str | None = None) -> TrainResult:
     spark = split_df.sparkSession
     train = split_df.filter(F.col("split") == "train")
@@ -198,10 +214,13 @@ def train_grid(split_df: DataFrame, grid=GRID, model_dir: str | None = None) ->
     rows = []
     for vec in vec_names:
         feats = vecs.features(vec, split_df)
-        tr = SP.with_class_weight(feats.filter(F.col("split") == "train")).cache()
+        tr = sized_for_iteration(SP.with_class_weight(feats.filter(F.col("split") == "train")), n_train).cache()
         te = feats.filter(F.col("split") == "test")
-        for model_name in [m for v, m in grid if v == vec]:
-            model = fit_model(model_name, vec, tr, n_train)
+        names = [m for v, m in grid if v == vec]
+        with ThreadPoolExecutor(max_workers=len(names)) as pool:   # independent fits overlap
+            fitted = dict(zip(names, pool.map(lambda mn: fit_model(mn, vec, tr, n_train), names)))
+        for model_name in names:
+            model = fitted[model_name]
             preds = spam_probability(model, te).withColumn(
                 "y_pred", F.when(F.col("p") >= 0.5, F.lit("spam")).otherwise(F.lit("ham")))
             result.models[(vec, model_name)] = model
