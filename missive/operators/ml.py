@@ -319,3 +319,42 @@ def load_or_train(spark: SparkSession, model_dir: str, labelled: DataFrame) -> C
     if read_active(spark, model_dir) is None:
         train_grid(prepare_split(labelled), GRID, model_dir)
     return Classifier.load(spark, model_dir)
+
+
+# ---------------------------------------------------------------------------
+# Versioned retraining (M18) and batch analysis
+# ---------------------------------------------------------------------------
+
+def active_model_dir(spark: SparkSession, root: str) -> str | None:
+    """The model directory the registry pointer names (None before any training)."""
+    try:
+        row = spark.read.text(f"{root}/_current").first()
+    except Exception:  # noqa: BLE001 - no pointer yet
+        return None
+    return f"{root}/v{int(row['value'])}" if row else None
+
+
+def retrain(spark: SparkSession, root: str, labelled: DataFrame, grid=GRID) -> str:
+    """Train the grid into a new version directory, then move the pointer.
+    A failed run leaves the previous version active."""
+    current = active_model_dir(spark, root)
+    version = int(current.rsplit("/v", 1)[1]) + 1 if current else 1
+    model_dir = f"{root}/v{version}"
+    train_grid(prepare_split(labelled), grid, model_dir)
+    spark.createDataFrame([(str(version),)], "value string").coalesce(1) \
+        .write.mode("overwrite").text(f"{root}/_current")
+    return model_dir
+
+
+def analyze_batch(spark: SparkSession, classifier: Classifier, items: DataFrame,
+                  history_path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Score every (id, text) item, append all scores to the history in one
+    write, and return (predictions, summary). Empty texts are rejected first."""
+    from missive.operators.score import batch_summary, split_valid
+    ok, _rejected = split_valid(items)
+    preds = classifier.score(ok).select("id", "text", "is_spam", "spam_probability", "confidence_score",
+                                        "model_name", "vectorizer_name").checkpoint(eager=True)
+    if history_path:
+        from missive.sources.history_store import append_scored
+        append_scored(spark, history_path, preds)
+    return preds, batch_summary(preds)

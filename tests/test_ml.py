@@ -78,3 +78,19 @@ def test_history_append_ids_and_clear(spark, tmp_path):
     assert ids == [1, 2, 3, 4]
     HS.clear_history(spark, path)
     assert HS.read_history(spark, path).count() == 0
+
+
+def test_metrics_read_back_and_batch_analysis(spark, trained, tmp_path):
+    from missive.sources import ingest
+    from missive.sources.history_store import read_history
+    _, res, model_dir = trained
+    m = ingest.read_model_metrics(spark, model_dir)
+    assert m.count() == 2 and m.filter("confusion_matrix IS NULL").count() == 0
+    clf = ML.Classifier.load(spark, model_dir)
+    items = spark.createDataFrame([("a", "free cash prize"), ("b", "lunch meeting"), ("c", "")], "id string, text string")
+    hist = str(tmp_path / "hist")
+    preds, summary = ML.analyze_batch(spark, clf, items, hist)
+    assert preds.count() == 2
+    s = summary.first()
+    assert s["total_processed"] == 2 and s["spam_count"] + s["ham_count"] == 2
+    assert sorted(r["id"] for r in read_history(spark, hist).collect()) == [1, 2]
