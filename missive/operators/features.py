@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
 from missive.functions import text as T
-from missive.session import scratch_path
+from missive.session import materialise, scratch_path
 
 MAX_FEATURES = 5000
 W2V_SIZE = 100
@@ -53,7 +53,12 @@ def with_terms(df: DataFrame, clean_col: str = "clean_text", out_col: str = "_te
 
 
 def term_counts(train: DataFrame, clean_col: str = "clean_text") -> DataFrame:
-    return (with_terms(train.select(clean_col), clean_col).select(F.explode("_terms").alias("term"))
+    return counts_of_terms(with_terms(train.select(clean_col), clean_col))
+
+
+def counts_of_terms(terms: DataFrame) -> DataFrame:
+    """(term, term_count) from a frame with a ``_terms`` array (partial aggregation)."""
+    return (terms.select(F.explode("_terms").alias("term"))
             .groupBy("term").agg(F.count(F.lit(1)).alias("term_count")))
 
 
@@ -82,16 +87,21 @@ def top_terms(counts: DataFrame, max_features: int) -> DataFrame:
 
 
 def fit_vocabulary(train: DataFrame, clean_col: str = "clean_text",
-                   max_features: int = MAX_FEATURES, n_docs: int | None = None) -> DataFrame:
-    """(term, term_index, term_count, doc_freq, idf) for the top ``max_features`` terms."""
-    counts = term_counts(train, clean_col).checkpoint(eager=True)   # read by the cutoff and the top-k
+                   max_features: int = MAX_FEATURES, n_docs: int | None = None,
+                   terms: DataFrame | None = None) -> DataFrame:
+    """(term, term_index, term_count, doc_freq, idf) for the top ``max_features`` terms.
+
+    ``terms`` may pass the training rows' staged ``_terms`` arrays so that the
+    analyzer runs once for both the counts and the document frequencies."""
+    if terms is None:
+        terms = with_terms(train.select(clean_col), clean_col)
+    counts = materialise(counts_of_terms(terms), "term-counts")   # read by the cutoff and the top-k
     top = top_terms(counts, max_features)
-    distinct_terms = with_terms(train.select(clean_col), clean_col).select(
-        F.explode(F.array_distinct("_terms")).alias("term"))
+    distinct_terms = terms.select(F.explode(F.array_distinct("_terms")).alias("term"))
     dfreq = (distinct_terms.join(F.broadcast(top.select("term")), "term")   # <= max_features rows
              .groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq")))
     if n_docs is None:
-        n_docs = train.count()
+        n_docs = terms.count()
     n = F.lit(float(n_docs))
     vocab = top.join(dfreq, "term", "left").withColumn("doc_freq", F.coalesce("doc_freq", F.lit(0)))
     vocab = vocab.withColumn("idf", F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("doc_freq"))) + F.lit(1.0))
@@ -110,9 +120,12 @@ class TfidfModel:
     @classmethod
     def fit(cls, train: DataFrame, clean_col: str = "clean_text",
             max_features: int = MAX_FEATURES) -> "TfidfModel":
-        n_docs = train.count()
-        vocab = fit_vocabulary(train, clean_col, max_features, n_docs)
+        from pyspark import StorageLevel
+        terms = with_terms(train.select(clean_col), clean_col).select("_terms").persist(StorageLevel.MEMORY_AND_DISK)
+        n_docs = terms.count()
+        vocab = fit_vocabulary(train, clean_col, max_features, n_docs, terms)
         rows = vocab.select("term_index", "term", "idf").orderBy("term_index").collect()  # <= max_features
+        terms.unpersist()
         return cls([r["term"] for r in rows], [float(r["idf"]) for r in rows], n_docs)
 
     def vocabulary_frame(self, spark: SparkSession) -> DataFrame:

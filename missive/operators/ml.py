@@ -29,7 +29,7 @@ from missive.operators import features as FE
 from missive.operators import split as SP
 from missive.operators import stats
 from missive.operators.score import postprocess
-from missive.session import scratch_path
+from missive.session import materialise, scratch_path
 
 TFIDF, W2V = "TF-IDF", "Word2Vec"
 LR, NB, SVM, RF = "Logistic Regression", "Naive Bayes", "Support Vector Machine", "Random Forest"
@@ -191,7 +191,7 @@ def prepare_split(labelled: DataFrame) -> DataFrame:
     """P3-P5 + M1 on labelled (doc_id, label, text) rows, checkpointed once."""
     prepared = stats.prepare_messages(labelled).select("doc_id", "label", "clean_text") \
         .persist(StorageLevel.MEMORY_AND_DISK)   # read by the bucket count and both split branches
-    out = target(SP.stratified_split(prepared, "label", "doc_id")).checkpoint(eager=True)
+    out = materialise(target(SP.stratified_split(prepared, "label", "doc_id")), "split")
     prepared.unpersist()
     return out
 
@@ -353,7 +353,8 @@ def analyze_batch(spark: SparkSession, classifier: Classifier, items: DataFrame,
     from missive.operators.score import batch_summary, split_valid
     ok, _rejected = split_valid(items)
     preds = classifier.score(ok).select("id", "text", "is_spam", "spam_probability", "confidence_score",
-                                        "model_name", "vectorizer_name").checkpoint(eager=True)
+                                        "model_name", "vectorizer_name")
+    preds = materialise(preds, "batch-predictions")
     if history_path:
         from missive.sources.history_store import append_scored
         append_scored(spark, history_path, preds)

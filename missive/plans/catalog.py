@@ -171,7 +171,8 @@ def _split(spark, sf_dir):
 def _split_checkpointed(spark, sf_dir):
     """The split, materialised once in the shared checkpoint folder: the
     feature fit reads it several times (counts, top-k, doc frequency)."""
-    return _split(spark, sf_dir).checkpoint(eager=True)
+    from missive.operators import ml as ML
+    return ML.prepare_split(_labelled(spark, sf_dir)).drop("y")
 
 
 def q_stratified_split_members(spark, sf_dir):

@@ -67,11 +67,12 @@ def next_id(spark: SparkSession, path: str) -> int:
 def append_scored(spark: SparkSession, path: str, scored: DataFrame, text_col: str = "text") -> int:
     """K5 + M15: one atomic append per batch (not per row).
 
-    The scored frame is materialised once (checkpoint) so its wall time gives
-    the per-row latency; rows then get ids after the current maximum.
+    The scored frame is materialised once (shared folder) so its wall time
+    gives the per-row latency; rows then get ids after the current maximum.
     """
+    from missive.session import materialise
     t0 = time.time()
-    done = scored.checkpoint(eager=True)
+    done = materialise(scored, "scored")
     n = done.count()
     per_row = round((time.time() - t0) * 1000.0 / n, 2) if n else 0.0
     rows = history_rows(done, text_col, next_id(spark, path), per_row)
