@@ -207,17 +207,29 @@ def fit_word2vec(train: DataFrame, clean_col: str = "clean_text", vector_size: i
     return w2v.fit(tokens)
 
 
+MAX_BROADCAST_VOCAB = 1_000_000   # words; above this the vocabulary is joined, not shipped to every task
+
+
 def mean_vectors(model: Word2VecModel, df: DataFrame, clean_col: str = "clean_text",
-                 out_col: str = "features") -> DataFrame:
+                 out_col: str = "features", key_col: str | None = None) -> DataFrame:
     """F7 + F8: mean of the vectors of in-vocabulary words; zero vector if none.
 
-    Spark's transform divides by *all* words, so the known-word count is taken
-    from a vocabulary counter and the mean is rescaled in-row (map-only).
+    Up to ``MAX_BROADCAST_VOCAB`` words the pooling is map-only: Spark's
+    transform divides by *all* words, so the known-word count from a
+    vocabulary counter rescales the mean in-row. A larger vocabulary is not
+    shipped to every task: words are joined to the vector table (shuffle join,
+    AQE splits hot words) and averaged per row with ``Summarizer.mean``; that
+    path needs a unique ``key_col``.
     """
-    words = model.getVectors().select("word").orderBy("word")
-    vocab = [r["word"] for r in words.collect()]  # the model's vocabulary, bounded by min_count
-    counter = CountVectorizerModel.from_vocabulary(vocab, inputCol="_words", outputCol="_known")
     size = model.getVectorSize()
+    vectors = model.getVectors()
+    n_words = vectors.count()   # the model's vocabulary size (already driver-side in the model)
+    if n_words > MAX_BROADCAST_VOCAB:
+        if key_col is None:
+            raise ValueError("a unique key_col is needed to pool over a vocabulary this large")
+        return _mean_vectors_by_join(vectors, df, clean_col, out_col, key_col, size)
+    vocab = [r["word"] for r in vectors.select("word").orderBy("word").collect()]   # <= MAX_BROADCAST_VOCAB
+    counter = CountVectorizerModel.from_vocabulary(vocab, inputCol="_words", outputCol="_known")
     staged = df.withColumn("_words", T.split_clean_text(F.col(clean_col)))
     staged = counter.transform(model.setInputCol("_words").setOutputCol("_w2v").transform(staged))
     n_all = F.size("_words").cast("double")
@@ -229,6 +241,17 @@ def mean_vectors(model: Word2VecModel, df: DataFrame, clean_col: str = "clean_te
     return staged.withColumn(out_col, array_to_vector(mean)).drop("_words", "_w2v", "_known")
 
 
+def _mean_vectors_by_join(vectors: DataFrame, df: DataFrame, clean_col: str, out_col: str,
+                          key_col: str, size: int) -> DataFrame:
+    from pyspark.ml.stat import Summarizer
+    words = df.select(key_col, F.explode(T.split_clean_text(F.col(clean_col))).alias("word"))
+    means = (words.join(vectors, "word")
+             .groupBy(key_col).agg(Summarizer.mean(F.col("vector")).alias("_mean")))
+    zero = array_to_vector(F.array_repeat(F.lit(0.0), size))
+    return (df.join(means, key_col, "left")
+            .withColumn(out_col, F.coalesce(F.col("_mean"), zero)).drop("_mean"))
+
+
 def embedding_mean(df: DataFrame, group_col: str = "label", vec_col: str = "embedding") -> DataFrame:
     """F7 on stored embeddings: element-wise mean per group, long form (group, dim, mean_value)."""
     exploded = df.select(group_col, F.posexplode(vec_col).alias("dim", "x")).withColumn("dim", F.col("dim").cast("long"))

@@ -162,17 +162,19 @@ class Vectorisers:
         if name == TFIDF:
             return self.tfidf.materialise(df, "features", path=path)
         path = path or scratch_path(spark, "w2v-features")
-        FE.mean_vectors(self.w2v, df).write.mode("overwrite").parquet(path)
+        key = "doc_id" if "doc_id" in df.columns else None
+        FE.mean_vectors(self.w2v, df, key_col=key).write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
 
 
 def fit_vectorisers(train: DataFrame, names=(TFIDF, W2V)) -> Vectorisers:
-    v = Vectorisers()
-    if TFIDF in names:
-        v.tfidf = FE.TfidfModel.fit(train)
-    if W2V in names:
-        v.w2v = FE.fit_word2vec(train)
-    return v
+    """Both feature families are fitted on the training rows only; the two fits
+    are independent and run as concurrent Spark jobs."""
+    fits = {TFIDF: FE.TfidfModel.fit, W2V: FE.fit_word2vec}
+    wanted = [n for n in (TFIDF, W2V) if n in names]
+    with ThreadPoolExecutor(max_workers=max(1, len(wanted))) as pool:
+        done = dict(zip(wanted, pool.map(lambda n: fits[n](train), wanted)))
+    return Vectorisers(tfidf=done.get(TFIDF), w2v=done.get(W2V))
 
 
 # ---------------------------------------------------------------------------

@@ -61,3 +61,14 @@ def test_embedding_mean(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (1, [3.0, 4.0]), (0, [5.0, 6.0])], "label int, embedding array<float>")
     got = {(r["label"], r["dim"]): r["mean_value"] for r in FE.embedding_mean(df).collect()}
     assert got == {(1, 0): 2.0, (1, 1): 3.0, (0, 0): 5.0, (0, 1): 6.0}
+
+
+def test_word2vec_join_path_equals_map_path(spark, monkeypatch):
+    train = spark.createDataFrame([(0, "alpha beta gamma"), (1, "beta gamma delta")], "doc_id long, clean_text string")
+    model = FE.fit_word2vec(train, vector_size=8, epochs=2)
+    probe = spark.createDataFrame([(0, "alpha unknownword beta"), (1, "zzz"), (2, "")], "doc_id long, clean_text string")
+    a = {r["doc_id"]: r["features"].toArray() for r in FE.mean_vectors(model, probe).collect()}
+    monkeypatch.setattr(FE, "MAX_BROADCAST_VOCAB", 1)
+    b = {r["doc_id"]: r["features"].toArray() for r in FE.mean_vectors(model, probe, key_col="doc_id").collect()}
+    for k in a:
+        assert b[k] == pytest.approx(a[k], rel=1e-5, abs=1e-7)
