@@ -52,5 +52,5 @@ def composite_model_label(model: Column, vectorizer: Column) -> Column:
 def format_scan_time(col: Column) -> Column:
     """Timestamp (or ISO text) -> "Mon dd, yyyy - HH:mm:ss"; unparsable text passes through."""
     as_text = col.cast("string")
-    parsed = F.try_to_timestamp(as_text)
+    parsed = as_text.try_cast("timestamp_ntz")   # wall clock kept as is: no session-zone shift
     return F.coalesce(F.date_format(parsed, DATE_PATTERN), as_text)

@@ -309,8 +309,8 @@ def q_stream_trend(spark, sf_dir):
     ST.run_certainty_trend(ST.history_stream_from_events(spark, sf_dir), out, ck).awaitTermination()
     res = ST.latest_per_key(out, spark, ["window_start", "window_end"])
     # back to naive UTC wall time, like the batch table's event time
-    return res.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")) \
-        .withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))
+    return res.withColumn("window_start", tables.utc_wall_clock(F.col("window_start"))) \
+        .withColumn("window_end", tables.utc_wall_clock(F.col("window_end")))
 
 
 def q_stream_score(spark, sf_dir):

@@ -54,13 +54,25 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape_history(table(spark, sf_dir, "events"))
 
 
+def utc_instant(ntz):
+    """Naive wall-clock time -> the instant at which UTC shows that wall clock."""
+    return F.concat(ntz.cast("string"), F.lit("Z")).cast("timestamp")
+
+
+def utc_wall_clock(instant):
+    """Inverse of ``utc_instant``: the UTC wall clock of an instant, as naive time."""
+    # casting an instant to naive time renders it in the session zone: undo that offset first
+    return F.to_utc_timestamp(instant, F.current_timezone()).cast("timestamp_ntz")
+
+
 def shape_history(ev: DataFrame, zoned_time: bool = False) -> DataFrame:
     """events -> history columns (works on batch and streaming frames).
 
-    ``zoned_time`` casts the naive event time to a UTC instant, which stream
-    watermarks require."""
+    ``zoned_time`` reads the naive event time as a UTC instant (stream
+    watermarks need instants); the wall clock is parsed with an explicit 'Z',
+    so the result does not depend on the session time zone or its DST gaps."""
     value = F.col("value")
-    ts = F.col("ts").cast("timestamp") if zoned_time else F.col("ts")
+    ts = utc_instant(F.col("ts")) if zoned_time else F.col("ts")
     return ev.select(
         F.col("event_id").alias("id"),
         F.col("props").alias("email_text"),

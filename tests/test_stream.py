@@ -34,3 +34,34 @@ def test_trend_replay_and_late_rows(spark, tmp_path):
     run()   # replay with nothing new: no duplicates
     res = {r["window_start"]: (r["scans"], r["spam_count"]) for r in ST.latest_per_key(out, spark, ["window_start", "window_end"]).collect()}
     assert res == {t0: (1, 1), t0 + dt.timedelta(hours=1): (1, 0)}
+
+
+class _KeywordClassifier:
+    """Stand-in scorer with the Classifier.score output columns."""
+
+    def score(self, df, text_col="text"):
+        from pyspark.sql import functions as F
+        spam = F.lower(F.col(text_col)).contains("cash")
+        return (df.withColumn("is_spam", spam)
+                .withColumn("spam_probability", F.when(spam, 0.9).otherwise(0.1))
+                .withColumn("confidence_score", F.lit(80.0))
+                .withColumn("model_name", F.lit("rule")).withColumn("vectorizer_name", F.lit("none")))
+
+
+def test_score_stream_appends_once_and_continues_ids(spark, tmp_path):
+    src, hist, ck = tmp_path / "in", str(tmp_path / "hist"), str(tmp_path / "ck")
+    src.mkdir()
+    spark.createDataFrame([("free cash now",), ("hello",)], "text string").coalesce(1).write.parquet(str(src / "f1"))
+
+    def run():
+        stream = spark.readStream.schema("text string").parquet(str(src / "*"))
+        ST.score_stream(stream, _KeywordClassifier(), hist, ck).awaitTermination()
+
+    run()
+    run()   # replay with nothing new: nothing appended
+    assert spark.read.parquet(hist).count() == 2
+    spark.createDataFrame([("cash prize",)], "text string").coalesce(1).write.parquet(str(src / "f2"))
+    run()
+    rows = spark.read.parquet(hist).collect()
+    assert sorted(r["id"] for r in rows) == [1, 2, 3]
+    assert sum(r["is_spam"] for r in rows) == 2
