@@ -94,3 +94,13 @@ def test_metrics_read_back_and_batch_analysis(spark, trained, tmp_path):
     s = summary.first()
     assert s["total_processed"] == 2 and s["spam_count"] + s["ham_count"] == 2
     assert sorted(r["id"] for r in read_history(spark, hist).collect()) == [1, 2]
+
+
+def test_retrain_versions_and_pointer(spark, tmp_path):
+    root = str(tmp_path / "registry")
+    assert ML.active_model_dir(spark, root) is None
+    d1 = ML.retrain(spark, root, _labelled(spark, 60), grid=[(ML.TFIDF, ML.NB)])
+    d2 = ML.retrain(spark, root, _labelled(spark, 80), grid=[(ML.TFIDF, ML.NB)])
+    assert d1.endswith("/v1") and d2.endswith("/v2") and ML.active_model_dir(spark, root) == d2
+    clf = ML.Classifier.load(spark, ML.active_model_dir(spark, root))
+    assert clf.model_name == ML.NB and clf.vectorizer_name == ML.TFIDF
