@@ -58,15 +58,16 @@ def artefact_name(model_name: str, vectorizer_name: str) -> str:
 
 def _estimator(model_name: str, vectorizer_name: str, n_train: int):
     reg = 1.0 / max(n_train, 1)   # C = 1 on a sum of balanced weights that totals n_train
+    # tol 1e-4 as in the grid's learner defaults; every L-BFGS iteration is a full pass (one Spark job)
     if model_name == LR:
         return LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", maxIter=1000,
-                                  regParam=reg, elasticNetParam=0.0, standardization=False)
+                                  regParam=reg, elasticNetParam=0.0, standardization=False, tol=1e-4)
     if model_name == NB:
         kind = "multinomial" if vectorizer_name == TFIDF else "gaussian"
         return NaiveBayes(featuresCol="features", labelCol="y", modelType=kind, smoothing=1.0)
     if model_name == SVM:
         return LinearSVC(featuresCol="features", labelCol="y", weightCol="weight", maxIter=200,
-                         regParam=reg, standardization=False)
+                         regParam=reg, standardization=False, tol=1e-4)
     if model_name == RF:
         return RandomForestClassifier(featuresCol="features", labelCol="y", weightCol="weight", numTrees=100,
                                       maxDepth=12, featureSubsetStrategy="sqrt", seed=SEED)
