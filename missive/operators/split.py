@@ -6,11 +6,10 @@ largest-remainder rule for the train side first (test = the rest), so the
 counts equal those of a stratified shuffle split of the same size.
 
 Scale: no global sort and no unpartitioned window over the data. Rows are
-bucketed by the first ``bucket_digits`` hex digits of the hash; only the
-per-(class, bucket) counts (<= classes x 16^digits rows) are ranked, and only
-the single boundary bucket of each class is ordered row by row. Whole buckets
-on either side of the boundary are assigned by a broadcast lookup whose size
-is bounded by 16^digits per class, independent of the data size.
+bucketed by hash digits in two levels; only per-(class, bucket) counts
+(<= 16^digits rows per class) are ranked, whole buckets are assigned by a
+broadcast lookup of that bounded size, and only the rows of the final
+boundary bucket (about n / 16^(2*digits) per class) are ordered row by row.
 """
 
 from __future__ import annotations
@@ -43,29 +42,55 @@ def allocation(class_counts: DataFrame, label_col: str = "label",
                      train_c.cast("long").alias("n_train_c"))
 
 
+def _level_plan(counts: DataFrame, label_col: str, bucket_col: str, quota: DataFrame) -> DataFrame:
+    """Per (class, bucket): rows before it in hash order and whether the whole
+    bucket is test, train, or holds the class's test/train boundary.
+    ``counts`` has <= 16^digits rows per class, so the window is small."""
+    before = Window.partitionBy(label_col).orderBy(bucket_col).rowsBetween(Window.unboundedPreceding, -1)
+    return (counts.withColumn("_bb", F.coalesce(F.sum("_bc").over(before), F.lit(0)))
+            .join(quota, label_col)
+            .withColumn("_mode", F.when(F.col("_bb") + F.col("_bc") <= F.col("_quota"), F.lit("test"))
+                        .when(F.col("_bb") >= F.col("_quota"), F.lit("train"))
+                        .otherwise(F.lit("boundary")))
+            .select(label_col, bucket_col, "_bb", "_quota", "_mode"))
+
+
 def stratified_split(df: DataFrame, label_col: str = "label", key_col: str = "doc_id",
                      test_size: float = DEFAULT_TEST_SIZE, seed: int = DEFAULT_SEED,
                      bucket_digits: int = 4) -> DataFrame:
-    """Add ``split`` ('train' / 'test'). ``key_col`` must be unique."""
+    """Add ``split`` ('train' / 'test'). ``key_col`` must be unique.
+
+    Two bucket levels keep every piece bounded: level 1 buckets rows by the
+    first ``bucket_digits`` hex digits of the hash; only the rows of each
+    class's boundary bucket go on to level 2 (the next ``bucket_digits``
+    digits); only the rows of the level-2 boundary bucket (about n / 16^(2d)
+    per class) are ranked row by row. Both lookup tables have at most 16^d
+    rows per class and are broadcast.
+    """
+    d = bucket_digits
     hashed = (df.withColumn("_h", hash_rank(key_col, seed))
-              .withColumn("_b", F.conv(F.substring("_h", 1, bucket_digits), 16, 10).cast("int")))
-    buckets = hashed.groupBy(label_col, "_b").agg(F.count(F.lit(1)).alias("_bc"))
-    per_class = buckets.groupBy(label_col).agg(F.sum("_bc").alias("c"))
-    alloc = allocation(per_class, label_col, test_size).select(label_col, "n_test_c")
-    before = Window.partitionBy(label_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    plan = (buckets.withColumn("_before", F.coalesce(F.sum("_bc").over(before), F.lit(0)))
-            .join(alloc, label_col)
-            .withColumn("_mode", F.when(F.col("_before") + F.col("_bc") <= F.col("n_test_c"), F.lit("test"))
-                        .when(F.col("_before") >= F.col("n_test_c"), F.lit("train"))
-                        .otherwise(F.lit("boundary")))
-            .select(label_col, "_b", "_before", "n_test_c", "_mode"))
-    joined = hashed.join(F.broadcast(plan), [label_col, "_b"])
-    whole = joined.filter(F.col("_mode") != "boundary").withColumn("split", F.col("_mode"))
-    in_bucket = Window.partitionBy(label_col, "_b").orderBy("_h", key_col)
-    edge = (joined.filter(F.col("_mode") == "boundary")
-            .withColumn("split", F.when(F.col("_before") + F.row_number().over(in_bucket) <= F.col("n_test_c"),
-                                        F.lit("test")).otherwise(F.lit("train"))))
-    return whole.unionByName(edge).drop("_h", "_b", "_before", "n_test_c", "_mode")
+              .withColumn("_b1", F.conv(F.substring("_h", 1, d), 16, 10).cast("int"))
+              .withColumn("_b2", F.conv(F.substring("_h", d + 1, d), 16, 10).cast("int")))
+    counts1 = hashed.groupBy(label_col, "_b1").agg(F.count(F.lit(1)).alias("_bc"))
+    alloc = allocation(counts1.groupBy(label_col).agg(F.sum("_bc").alias("c")), label_col, test_size)
+    plan1 = _level_plan(counts1, label_col, "_b1", alloc.select(label_col, F.col("n_test_c").alias("_quota")))
+    j1 = hashed.join(F.broadcast(plan1), [label_col, "_b1"])
+    done1 = j1.filter(F.col("_mode") != "boundary").withColumn("split", F.col("_mode"))
+
+    rest1 = j1.filter(F.col("_mode") == "boundary").drop("_mode", "_quota")
+    quota2 = plan1.filter(F.col("_mode") == "boundary").select(   # test rows still due inside it
+        label_col, (F.col("_quota") - F.col("_bb")).alias("_quota"))
+    counts2 = rest1.groupBy(label_col, "_b2").agg(F.count(F.lit(1)).alias("_bc"))
+    plan2 = _level_plan(counts2, label_col, "_b2", quota2)
+    j2 = rest1.drop("_bb").join(F.broadcast(plan2), [label_col, "_b2"])
+    done2 = j2.filter(F.col("_mode") != "boundary").withColumn("split", F.col("_mode"))
+
+    in_bucket = Window.partitionBy(label_col, "_b2").orderBy("_h", key_col)
+    done3 = (j2.filter(F.col("_mode") == "boundary")
+             .withColumn("split", F.when(F.col("_bb") + F.row_number().over(in_bucket) <= F.col("_quota"),
+                                         F.lit("test")).otherwise(F.lit("train"))))
+    helpers = ["_h", "_b1", "_b2", "_bb", "_quota", "_mode"]
+    return done1.drop(*helpers).unionByName(done2.drop(*helpers)).unionByName(done3.drop(*helpers))
 
 
 def split_counts(split_df: DataFrame, label_col: str = "label") -> DataFrame:
