@@ -9,10 +9,12 @@ TF-IDF definition (fitted on training rows only):
   weight     = tf * idf, then L2-normalised per row
 
 Plan shape: term counting for the vocabulary is an explode + partial
-aggregate; the top-k is a TakeOrderedAndProject; the vocabulary (bounded by
-``max_features``) is the only thing broadcast. Per-row weights are map-only:
-``CountVectorizerModel`` counts vocabulary terms inside each row with a hash
-map, and sublinear tf / idf / L2 are array expressions on the sparse struct.
+aggregate; an exact count cutoff trims it before the top-k; the vocabulary
+(bounded by ``max_features``) is the only thing broadcast. Per-row weights are
+map-only: ``CountVectorizerModel`` counts vocabulary terms inside each row with
+a hash map, sublinear tf is one array expression on the sparse struct, and
+after one Parquet hop (struct -> VectorUDT) idf scaling and the L2 norm are
+Spark's vector transformers.
 """
 
 from __future__ import annotations
@@ -136,47 +138,49 @@ class TfidfModel:
     def counter(self, clean_col: str = "clean_text") -> CountVectorizerModel:
         return CountVectorizerModel.from_vocabulary(self.terms, inputCol="_terms", outputCol="_tf")
 
-    def weights_struct(self, df: DataFrame, clean_col: str = "clean_text") -> DataFrame:
-        """Adds ``_fs`` = struct(type, size, indices, values): the L2-normalised
-        TF-IDF row as a sparse-vector struct (map-only)."""
+    def weights_long(self, df: DataFrame, key_cols: list[str], clean_col: str = "clean_text") -> DataFrame:
+        """(keys..., term, weight): long form of the same weights (the materialised
+        vectors exploded, vocabulary joined by broadcast: <= max_features rows)."""
+        vecs = self.materialise(df.select(*key_cols, clean_col), "_v", clean_col)
+        u = F.unwrap_udt(F.col("_v"))
+        z = vecs.select(*key_cols, F.explode(F.arrays_zip(u.getField("indices").alias("term_index"),
+                                                          u.getField("values").alias("weight"))).alias("z"))
+        vocab = df.sparkSession.createDataFrame([(i, t) for i, t in enumerate(self.terms)], "term_index int, term string")
+        return (z.select(*key_cols, F.col("z.term_index").alias("term_index"), F.col("z.weight").alias("weight"))
+                .join(F.broadcast(vocab), "term_index").drop("term_index"))
+
+    def sublinear_struct(self, df: DataFrame, clean_col: str = "clean_text") -> DataFrame:
+        """Adds ``_fs`` = the sparse struct of 1 + ln(count) per vocabulary term (no idf, no norm)."""
         staged = df.withColumn("_toks", T.vocab_tokens(F.col(clean_col))) \
             .withColumn("_terms", T.uni_and_bigrams(F.col("_toks")))
         counted = self.counter().transform(staged)
         v = F.unwrap_udt(F.col("_tf"))
-        idf = F.lit(self.idf) if self.idf else F.array().cast("array<double>")
-        # Lambdas reference only lambda variables and literals (no outer arrays),
-        # so every per-row array is evaluated once.
-        raw = F.zip_with(v.getField("values"), v.getField("indices"),
-                         lambda x, j: (F.lit(1.0) + F.log(x)) * F.element_at(idf, j + 1))
-        values = F.aggregate(raw, F.lit(0.0), lambda acc, x: acc + x * x,
-                             lambda ss: F.transform(raw, lambda y: F.when(ss > 0, y / F.sqrt(ss)).otherwise(F.lit(0.0))))
         fs = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(len(self.terms)).cast("int").alias("size"),
-                      v.getField("indices").alias("indices"), values.alias("values"))
+                      v.getField("indices").alias("indices"),
+                      F.transform(v.getField("values"), lambda x: F.lit(1.0) + F.log(x)).alias("values"))
         return counted.withColumn("_fs", fs).drop("_toks", "_terms", "_tf")
 
-    def weights_long(self, df: DataFrame, key_cols: list[str], clean_col: str = "clean_text") -> DataFrame:
-        """(keys..., term, weight): long form of the same weights (map-only + broadcast of the vocabulary)."""
-        st = self.weights_struct(df.select(*key_cols, clean_col), clean_col)
-        z = st.select(*key_cols, F.explode(F.arrays_zip(F.col("_fs.indices").alias("term_index"),
-                                                         F.col("_fs.values").alias("weight"))).alias("z"))
-        vocab = df.sparkSession.createDataFrame([(i, t) for i, t in enumerate(self.terms)], "term_index int, term string")
-        return (z.select(*key_cols, F.col("z.term_index").alias("term_index"), F.col("z.weight").alias("weight"))
-                .join(F.broadcast(vocab), "term_index").drop("term_index"))
-
     def materialise(self, df: DataFrame, features_col: str = "features", clean_col: str = "clean_text",
                     path: str | None = None) -> DataFrame:
-        """Write rows with the sparse struct once and read them back typed as ``VectorUDT``.
+        """Write rows with the sublinear-tf struct once, read them back typed as
+        ``VectorUDT``, then scale by idf and L2-normalise with Spark's vector
+        transformers (JVM vector code, no interpreted lambdas).
 
         The Parquet hop is what turns the struct into an ML vector without a
         Python worker; it also cuts lineage (the path is under the shared
         checkpoint folder) so the features survive executor loss and are
         reused by every model of the grid.
         """
+        from pyspark.ml.feature import ElementwiseProduct, Normalizer
+        from pyspark.ml.linalg import Vectors
         spark = df.sparkSession
         path = path or scratch_path(spark, "tfidf-features")
-        st = self.weights_struct(df, clean_col).withColumnRenamed("_fs", features_col)
-        st.write.mode("overwrite").parquet(path)
-        return read_with_vector(spark, path, features_col)
+        self.sublinear_struct(df, clean_col).withColumnRenamed("_fs", "_tf_sub").write.mode("overwrite").parquet(path)
+        staged = read_with_vector(spark, path, "_tf_sub")
+        scaled = ElementwiseProduct(scalingVec=Vectors.dense(self.idf or [0.0]), inputCol="_tf_sub",
+                                    outputCol="_tfidf").transform(staged)
+        return Normalizer(p=2.0, inputCol="_tfidf", outputCol=features_col).transform(scaled) \
+            .drop("_tf_sub", "_tfidf")
 
 
 def read_with_vector(spark: SparkSession, path: str, features_col: str) -> DataFrame:
