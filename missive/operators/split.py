@@ -6,10 +6,11 @@ largest-remainder rule for the train side first (test = the rest), so the
 counts equal those of a stratified shuffle split of the same size.
 
 Scale: no global sort and no unpartitioned window over the data. Rows are
-bucketed by hash digits in two levels; only per-(class, bucket) counts
-(<= 16^digits rows per class) are ranked, whole buckets are assigned by a
-broadcast lookup of that bounded size, and only the rows of the final
-boundary bucket (about n / 16^(2*digits) per class) are ordered row by row.
+bucketed by hash digits; only per-(class, bucket) counts (<= 16^digits rows
+per class) are ranked, whole buckets are assigned by a broadcast lookup of
+that bounded size, and only the rows of a boundary bucket are ordered row by
+row — a second bucket level is used when that bucket would exceed
+``RANK_LIMIT`` rows (about n / 16^(2*digits) rows per class then).
 """
 
 from __future__ import annotations
@@ -42,9 +43,12 @@ def allocation(class_counts: DataFrame, label_col: str = "label",
                      train_c.cast("long").alias("n_train_c"))
 
 
+RANK_LIMIT = 2_000_000   # rows one task may rank; a larger boundary bucket gets a second level
+
+
 def _level_plan(counts: DataFrame, label_col: str, bucket_col: str, quota: DataFrame) -> DataFrame:
-    """Per (class, bucket): rows before it in hash order and whether the whole
-    bucket is test, train, or holds the class's test/train boundary.
+    """Per (class, bucket): rows before it in hash order, its size, and whether
+    the whole bucket is test, train, or holds the class's test/train boundary.
     ``counts`` has <= 16^digits rows per class, so the window is small."""
     before = Window.partitionBy(label_col).orderBy(bucket_col).rowsBetween(Window.unboundedPreceding, -1)
     return (counts.withColumn("_bb", F.coalesce(F.sum("_bc").over(before), F.lit(0)))
@@ -52,44 +56,57 @@ def _level_plan(counts: DataFrame, label_col: str, bucket_col: str, quota: DataF
             .withColumn("_mode", F.when(F.col("_bb") + F.col("_bc") <= F.col("_quota"), F.lit("test"))
                         .when(F.col("_bb") >= F.col("_quota"), F.lit("train"))
                         .otherwise(F.lit("boundary")))
-            .select(label_col, bucket_col, "_bb", "_quota", "_mode"))
+            .select(label_col, bucket_col, "_bc", "_bb", "_quota", "_mode"))
+
+
+def _local(plan: DataFrame) -> DataFrame:
+    """Bring a bucket plan (<= 16^digits rows per class) to the driver once and
+    re-create it as a local relation: its lineage (a full aggregation pass) is
+    not recomputed by every later use, and the broadcast size is known."""
+    return plan.sparkSession.createDataFrame(plan.collect(), plan.schema)
+
+
+def _rank_boundary(rows: DataFrame, label_col: str, bucket_col: str, key_col: str) -> DataFrame:
+    in_bucket = Window.partitionBy(label_col, bucket_col).orderBy("_h", key_col)
+    return rows.withColumn("split", F.when(F.col("_bb") + F.row_number().over(in_bucket) <= F.col("_quota"),
+                                           F.lit("test")).otherwise(F.lit("train")))
 
 
 def stratified_split(df: DataFrame, label_col: str = "label", key_col: str = "doc_id",
                      test_size: float = DEFAULT_TEST_SIZE, seed: int = DEFAULT_SEED,
-                     bucket_digits: int = 4) -> DataFrame:
+                     bucket_digits: int = 4, rank_limit: int | None = None) -> DataFrame:
     """Add ``split`` ('train' / 'test'). ``key_col`` must be unique.
 
-    Two bucket levels keep every piece bounded: level 1 buckets rows by the
-    first ``bucket_digits`` hex digits of the hash; only the rows of each
-    class's boundary bucket go on to level 2 (the next ``bucket_digits``
-    digits); only the rows of the level-2 boundary bucket (about n / 16^(2d)
-    per class) are ranked row by row. Both lookup tables have at most 16^d
-    rows per class and are broadcast.
+    Level 1 buckets rows by the first ``bucket_digits`` hex digits of the hash;
+    whole buckets are assigned from a broadcast plan (<= 16^d rows per class).
+    The rows of each class's boundary bucket are ranked in one task when there
+    are at most ``rank_limit`` of them; otherwise they are bucketed again on the
+    next ``bucket_digits`` digits and only the level-2 boundary bucket (about
+    n / 16^(2d) rows per class) is ranked.
     """
     d = bucket_digits
+    limit = RANK_LIMIT if rank_limit is None else rank_limit
     hashed = (df.withColumn("_h", hash_rank(key_col, seed))
               .withColumn("_b1", F.conv(F.substring("_h", 1, d), 16, 10).cast("int"))
               .withColumn("_b2", F.conv(F.substring("_h", d + 1, d), 16, 10).cast("int")))
     counts1 = hashed.groupBy(label_col, "_b1").agg(F.count(F.lit(1)).alias("_bc"))
     alloc = allocation(counts1.groupBy(label_col).agg(F.sum("_bc").alias("c")), label_col, test_size)
-    plan1 = _level_plan(counts1, label_col, "_b1", alloc.select(label_col, F.col("n_test_c").alias("_quota")))
-    j1 = hashed.join(F.broadcast(plan1), [label_col, "_b1"])
+    plan1 = _local(_level_plan(counts1, label_col, "_b1", alloc.select(label_col, F.col("n_test_c").alias("_quota"))))
+    j1 = hashed.join(F.broadcast(plan1.drop("_bc")), [label_col, "_b1"])
     done1 = j1.filter(F.col("_mode") != "boundary").withColumn("split", F.col("_mode"))
+    rest1 = j1.filter(F.col("_mode") == "boundary")
+    helpers = ["_h", "_b1", "_b2", "_bb", "_quota", "_mode"]
+    biggest = plan1.filter(F.col("_mode") == "boundary").agg(F.max("_bc")).first()[0] or 0   # local, tiny
+    if biggest <= limit:
+        return done1.drop(*helpers).unionByName(_rank_boundary(rest1, label_col, "_b1", key_col).drop(*helpers))
 
-    rest1 = j1.filter(F.col("_mode") == "boundary").drop("_mode", "_quota")
     quota2 = plan1.filter(F.col("_mode") == "boundary").select(   # test rows still due inside it
         label_col, (F.col("_quota") - F.col("_bb")).alias("_quota"))
     counts2 = rest1.groupBy(label_col, "_b2").agg(F.count(F.lit(1)).alias("_bc"))
-    plan2 = _level_plan(counts2, label_col, "_b2", quota2)
-    j2 = rest1.drop("_bb").join(F.broadcast(plan2), [label_col, "_b2"])
+    plan2 = _local(_level_plan(counts2, label_col, "_b2", quota2))
+    j2 = rest1.drop("_bb", "_quota", "_mode").join(F.broadcast(plan2.drop("_bc")), [label_col, "_b2"])
     done2 = j2.filter(F.col("_mode") != "boundary").withColumn("split", F.col("_mode"))
-
-    in_bucket = Window.partitionBy(label_col, "_b2").orderBy("_h", key_col)
-    done3 = (j2.filter(F.col("_mode") == "boundary")
-             .withColumn("split", F.when(F.col("_bb") + F.row_number().over(in_bucket) <= F.col("_quota"),
-                                         F.lit("test")).otherwise(F.lit("train"))))
-    helpers = ["_h", "_b1", "_b2", "_bb", "_quota", "_mode"]
+    done3 = _rank_boundary(j2.filter(F.col("_mode") == "boundary"), label_col, "_b2", key_col)
     return done1.drop(*helpers).unionByName(done2.drop(*helpers)).unionByName(done3.drop(*helpers))
 
 

@@ -16,8 +16,8 @@ def _frame(spark, n_ham, n_spam):
 
 def test_split_exact_disjoint_complete(spark):
     df = _frame(spark, 4816, 747)
-    for digits in (1, 4):   # 1 hex digit puts hundreds of rows in the boundary bucket
-        out = SP.stratified_split(df, bucket_digits=digits)
+    for digits, limit in ((1, None), (4, None), (1, 10)):   # limit 10 forces the second bucket level
+        out = SP.stratified_split(df, bucket_digits=digits, rank_limit=limit)
         counts = {(r["label"], r["split"]): r["n"] for r in SP.split_counts(out).collect()}
         assert counts == {("ham", "train"): 3852, ("ham", "test"): 964,
                           ("spam", "train"): 598, ("spam", "test"): 149}
@@ -26,7 +26,9 @@ def test_split_exact_disjoint_complete(spark):
 
 def test_split_equals_rank_definition(spark):
     df = _frame(spark, 300, 57)
-    a = SP.stratified_split(df, bucket_digits=1).select("doc_id", "split")
+    a = SP.stratified_split(df, bucket_digits=1, rank_limit=5).select("doc_id", "split")
+    a1 = SP.stratified_split(df, bucket_digits=1).select("doc_id", "split")
+    assert sorted(a.collect()) == sorted(a1.collect())
     h = SP.hash_rank("doc_id")
     from pyspark.sql import Window
     alloc = SP.allocation(df.groupBy("label").agg(F.count(F.lit(1)).alias("c")))
