@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from missive.functions import text as T
-from missive.functions import display as D
 from missive.operators import evaluate as EV
 from missive.operators import features as FE
 from missive.operators import history as H
