@@ -317,10 +317,10 @@ class Classifier:
             .withColumn("vectorizer_name", F.lit(self.vectorizer_name))
 
 
-def load_or_train(spark: SparkSession, model_dir: str, labelled: DataFrame) -> Classifier:
+def load_or_train(spark: SparkSession, model_dir: str, labelled: DataFrame, grid=GRID) -> Classifier:
     """Load the active model; train the grid first when none exists."""
     if read_active(spark, model_dir) is None:
-        train_grid(prepare_split(labelled), GRID, model_dir)
+        train_grid(prepare_split(labelled), grid, model_dir)
     return Classifier.load(spark, model_dir)
 
 

@@ -104,3 +104,11 @@ def test_retrain_versions_and_pointer(spark, tmp_path):
     assert d1.endswith("/v1") and d2.endswith("/v2") and ML.active_model_dir(spark, root) == d2
     clf = ML.Classifier.load(spark, ML.active_model_dir(spark, root))
     assert clf.model_name == ML.NB and clf.vectorizer_name == ML.TFIDF
+
+
+def test_load_or_train_trains_once(spark, tmp_path):
+    model_dir = str(tmp_path / "m")
+    clf = ML.load_or_train(spark, model_dir, _labelled(spark, 60), grid=[(ML.TFIDF, ML.NB)])
+    assert (clf.model_name, clf.vectorizer_name) == (ML.NB, ML.TFIDF)
+    again = ML.load_or_train(spark, model_dir, None, grid=[(ML.TFIDF, ML.NB)])   # no training: labelled unused
+    assert again.model_name == ML.NB
