@@ -40,9 +40,16 @@ EXCLAMATION_TOKEN = " exclamationtoken "
 NUMBER_TOKEN = " numbertoken "
 
 # Label synonyms, checked after lower-case + whitespace trim.
-SPAM_SYNONYMS = ("1", "1.0", "yes", "true", "positive")
-HAM_SYNONYMS = ("0", "0.0", "no", "false", "negative")
+LABEL_SYNONYMS = {
+    "1": "spam", "0": "ham",
+    "1.0": "spam", "0.0": "ham",
+    "yes": "spam", "no": "ham",
+    "true": "spam", "false": "ham",
+    "positive": "spam", "negative": "ham",
+}
 VALID_LABELS = ("spam", "ham")
+SPAM_SYNONYMS = tuple(k for k, v in LABEL_SYNONYMS.items() if v == "spam")
+HAM_SYNONYMS = tuple(k for k, v in LABEL_SYNONYMS.items() if v == "ham")
 
 # Header names that identify the two logical columns of a labelled file.
 LABEL_HEADER_NAMES = ("label", "v1", "class", "target", "spam", "category")
