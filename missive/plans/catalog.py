@@ -164,7 +164,10 @@ def _prepared(spark, sf_dir):
 
 
 def _split(spark, sf_dir):
-    return SP.stratified_split(_prepared(spark, sf_dir), "label", "doc_id")
+    """The split reads its input three times (bucket counts, whole buckets,
+    boundary rows): the cleaned messages are written once, not re-cleaned."""
+    from missive.session import materialise
+    return SP.stratified_split(materialise(_prepared(spark, sf_dir), "prepared"), "label", "doc_id")
 
 
 def _split_checkpointed(spark, sf_dir):
