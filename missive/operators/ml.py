@@ -34,7 +34,6 @@ from missive.session import materialise, scratch_path
 TFIDF, W2V = "TF-IDF", "Word2Vec"
 LR, NB, SVM, RF = "Logistic Regression", "Naive Bayes", "Support Vector Machine", "Random Forest"
 GRID = [(TFIDF, LR), (TFIDF, NB), (TFIDF, SVM), (TFIDF, RF), (W2V, LR), (W2V, NB), (W2V, SVM), (W2V, RF)]
-WEIGHTED = {LR, SVM, RF}          # class_weight="balanced" in the grid; NB is unweighted
 PLATT_FOLDS = 5
 SEED = 42
 # Iterative learners launch one job per iteration over every partition of the
@@ -62,7 +61,7 @@ def _estimator(model_name: str, vectorizer_name: str, n_train: int):
     if model_name == LR:
         return LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", maxIter=1000,
                                   regParam=reg, elasticNetParam=0.0, standardization=False, tol=1e-4)
-    if model_name == NB:
+    if model_name == NB:   # the only learner without balanced class weights in the grid
         kind = "multinomial" if vectorizer_name == TFIDF else "gaussian"
         return NaiveBayes(featuresCol="features", labelCol="y", modelType=kind, smoothing=1.0)
     if model_name == SVM:
