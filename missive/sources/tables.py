@@ -43,10 +43,11 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     both sides shuffle on ``doc_id`` (AQE turns it into a broadcast join when
     the labelled side is measured small at runtime).
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").select("doc_id", "text", "lang", "source")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    return (docs.join(labels, "doc_id", "inner")
-            .withColumn("label", F.when(F.col("quality") == 0, F.lit("spam")).otherwise(F.lit("ham"))))
+    joined = (docs.join(labels, "doc_id", "inner")
+              .withColumn("label", F.when(F.col("quality") == 0, F.lit("spam")).otherwise(F.lit("ham"))))
+    return spread(joined)   # after the join: only labelled rows are redistributed
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
