@@ -52,6 +52,26 @@ def lemma_map(token_rows: DataFrame, lexicon: DataFrame, exceptions: DataFrame |
     return out.select(F.col("_tok").alias("token"), lemma.alias("lemma"))
 
 
+MAX_BROADCAST_LEMMAS = 500_000   # distinct tokens; above this the map is joined with salting
+SALTS = 16
+
+
+def _map_tokens(exploded: DataFrame, lemmas: DataFrame) -> DataFrame:
+    """Left-join token occurrences to the lemma map.
+
+    One token (a marker token, say) may hold a third of all occurrences, so a
+    plain shuffle join on the token would send that third to one task. A map
+    of size-checked size is broadcast (no shuffle of occurrences at all);
+    a larger one is joined with salting: occurrences are spread over ``SALTS``
+    salts and every lemma row is replicated once per salt.
+    """
+    if lemmas.count() <= MAX_BROADCAST_LEMMAS:
+        return exploded.join(F.broadcast(lemmas), "token", "left")
+    salted = exploded.withColumn("_salt", F.pmod(F.xxhash64("_rid", "_pos"), F.lit(SALTS)))
+    replicated = lemmas.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    return salted.join(replicated, ["token", "_salt"], "left").drop("_salt")
+
+
 def lemmatize_column(df: DataFrame, tokens_col: str, lemmas: DataFrame, out_col: str = "lemmas",
                      key_col: str | None = None) -> DataFrame:
     """Replace every token by its lemma, keeping order (one shuffle per side).
@@ -60,7 +80,7 @@ def lemmatize_column(df: DataFrame, tokens_col: str, lemmas: DataFrame, out_col:
     from the input partitioning."""
     keyed = df.withColumn("_rid", F.col(key_col) if key_col else F.monotonically_increasing_id())
     exploded = keyed.select("_rid", F.posexplode(tokens_col).alias("_pos", "token"))
-    mapped = exploded.join(lemmas, "token", "left") \
+    mapped = _map_tokens(exploded, lemmas) \
         .select("_rid", "_pos", F.coalesce("lemma", "token").alias("_lemma"))
     regrouped = mapped.groupBy("_rid").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_lemma"))), lambda s: s["_lemma"]).alias(out_col))

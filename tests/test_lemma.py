@@ -17,3 +17,14 @@ def test_default_lexicon_document_frequency(spark):
     assert sorted(r["lemma"] for r in build_lexicon(df, "tokens").collect()) == ["cat"]
     got = {r["id"]: r["lemmas"] for r in lemmatize(df, key_col="id").collect()}
     assert got == {1: ["cat", "cat", "cat"], 2: ["cat", "dog"]}
+
+
+def test_salted_join_equals_broadcast(spark, monkeypatch):
+    import missive.functions.lemma as L
+    rows = [(i, ["cats"] * 30 + ["dogs", "mice", "zzz"]) for i in range(5)]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>")
+    lex = spark.createDataFrame([("cat",), ("dog",)], "lemma string")
+    a = {r["id"]: r["lemmas"] for r in L.lemmatize(df, lexicon=lex, key_col="id").collect()}
+    monkeypatch.setattr(L, "MAX_BROADCAST_LEMMAS", 0)
+    b = {r["id"]: r["lemmas"] for r in L.lemmatize(df, lexicon=lex, key_col="id").collect()}
+    assert a == b and a[0][:2] == ["cat", "cat"] and a[0][-3:] == ["dog", "mice", "zzz"]
