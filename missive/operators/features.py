@@ -248,8 +248,11 @@ def mean_vectors(model: Word2VecModel, df: DataFrame, clean_col: str = "clean_te
 def _mean_vectors_by_join(vectors: DataFrame, df: DataFrame, clean_col: str, out_col: str,
                           key_col: str, size: int) -> DataFrame:
     from pyspark.ml.stat import Summarizer
-    words = df.select(key_col, F.explode(T.split_clean_text(F.col(clean_col))).alias("word"))
-    means = (words.join(vectors, "word")
+    salts = 16   # a frequent word may hold a third of all occurrences: spread it over salts
+    words = (df.select(key_col, F.posexplode(T.split_clean_text(F.col(clean_col))).alias("_pos", "word"))
+             .withColumn("_salt", F.pmod(F.xxhash64(key_col, "_pos"), F.lit(salts))))
+    replicated = vectors.select("word", "vector", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    means = (words.join(replicated, ["word", "_salt"])
              .groupBy(key_col).agg(Summarizer.mean(F.col("vector")).alias("_mean")))
     zero = array_to_vector(F.array_repeat(F.lit(0.0), size))
     return (df.join(means, key_col, "left")
