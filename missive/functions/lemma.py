@@ -72,13 +72,13 @@ def _map_tokens(exploded: DataFrame, lemmas: DataFrame) -> DataFrame:
     return salted.join(replicated, ["token", "_salt"], "left").drop("_salt")
 
 
-def lemmatize_column(df: DataFrame, tokens_col: str, lemmas: DataFrame, out_col: str = "lemmas",
-                     key_col: str | None = None) -> DataFrame:
+def lemmatize_column(df: DataFrame, tokens_col: str, lemmas: DataFrame, out_col: str = "lemmas", *,
+                     key_col: str) -> DataFrame:
     """Replace every token by its lemma, keeping order (one shuffle per side).
 
-    ``key_col`` should name a unique row key; without one a row id is derived
-    from the input partitioning."""
-    keyed = df.withColumn("_rid", F.col(key_col) if key_col else F.monotonically_increasing_id())
+    ``key_col`` names a unique row key, by which the tokens find their row
+    again (a row number would differ between the two evaluations of ``df``)."""
+    keyed = df.withColumn("_rid", F.col(key_col))
     exploded = keyed.select("_rid", F.posexplode(tokens_col).alias("_pos", "token"))
     mapped = _map_tokens(exploded, lemmas) \
         .select("_rid", "_pos", F.coalesce("lemma", "token").alias("_lemma"))
@@ -89,8 +89,8 @@ def lemmatize_column(df: DataFrame, tokens_col: str, lemmas: DataFrame, out_col:
 
 
 def lemmatize(df: DataFrame, tokens_col: str = "tokens", out_col: str = "lemmas",
-              lexicon: DataFrame | None = None, exceptions: DataFrame | None = None,
-              key_col: str | None = None) -> DataFrame:
+              lexicon: DataFrame | None = None, exceptions: DataFrame | None = None, *,
+              key_col: str) -> DataFrame:
     """T13 end to end: default lexicon from the same rows when none is given."""
     lex = lexicon if lexicon is not None else build_lexicon(df, tokens_col)
-    return lemmatize_column(df, tokens_col, lemma_map(df, lex, exceptions, tokens_col), out_col, key_col)
+    return lemmatize_column(df, tokens_col, lemma_map(df, lex, exceptions, tokens_col), out_col, key_col=key_col)

@@ -12,6 +12,7 @@ vectoriser under the shared checkpoint folder and reused by all four models.
 from __future__ import annotations
 
 import json
+import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -28,8 +29,9 @@ from missive.operators import evaluate as EV
 from missive.operators import features as FE
 from missive.operators import split as SP
 from missive.operators import stats
+from missive.sources import ingest
 from missive.operators.score import postprocess
-from missive.session import materialise, scratch_path
+from missive.session import materialise, scratch_path, read_or_none
 
 TFIDF, W2V = "TF-IDF", "Word2Vec"
 LR, NB, SVM, RF = "Logistic Regression", "Naive Bayes", "Support Vector Machine", "Random Forest"
@@ -55,21 +57,27 @@ def artefact_name(model_name: str, vectorizer_name: str) -> str:
 # Estimators (M3-M8)
 # ---------------------------------------------------------------------------
 
+#: Passes a linear fit may take; it stops earlier when it converges.
+MAX_ITERATIONS = 1000
+#: Depth of a tree (Spark's own maximum: the trees end by themselves).
+FOREST_DEPTH = 30
+
+
 def _estimator(model_name: str, vectorizer_name: str, n_train: int):
     reg = 1.0 / max(n_train, 1)   # C = 1 on a sum of balanced weights that totals n_train
     # tol 1e-4 as in the grid's learner defaults; every L-BFGS iteration is a full pass (one Spark job)
     if model_name == LR:
-        return LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", maxIter=1000,
+        return LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", maxIter=MAX_ITERATIONS,
                                   regParam=reg, elasticNetParam=0.0, standardization=False, tol=1e-4)
     if model_name == NB:   # the only learner without balanced class weights in the grid
         kind = "multinomial" if vectorizer_name == TFIDF else "gaussian"
         return NaiveBayes(featuresCol="features", labelCol="y", modelType=kind, smoothing=1.0)
     if model_name == SVM:
-        return LinearSVC(featuresCol="features", labelCol="y", weightCol="weight", maxIter=200,
+        return LinearSVC(featuresCol="features", labelCol="y", weightCol="weight", maxIter=MAX_ITERATIONS,
                          regParam=reg, standardization=False, tol=1e-4)
     if model_name == RF:
         return RandomForestClassifier(featuresCol="features", labelCol="y", weightCol="weight", numTrees=100,
-                                      maxDepth=12, featureSubsetStrategy="sqrt", seed=SEED)
+                                      maxDepth=FOREST_DEPTH, featureSubsetStrategy="sqrt", seed=SEED)
     raise ValueError(f"unknown model: {model_name}")
 
 
@@ -98,7 +106,7 @@ class PlattSVM:
             part = _margin(folded.filter(F.col("_fold") == k), fitted[k]).select("y", "margin")
             oof = part if oof is None else oof.unionByName(part)
         cal_in = VectorAssembler(inputCols=["margin"], outputCol="mfeat").transform(oof)
-        cal = LogisticRegression(featuresCol="mfeat", labelCol="y", maxIter=100, regParam=0.0).fit(cal_in)
+        cal = LogisticRegression(featuresCol="mfeat", labelCol="y", maxIter=MAX_ITERATIONS, regParam=0.0).fit(cal_in)
         return cls(fitted[-1], cal)
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -203,7 +211,7 @@ def sized_for_iteration(df: DataFrame, n_rows: int) -> DataFrame:
     ones keep at least one partition per ``ROWS_PER_TRAIN_PARTITION`` rows."""
     import math
     want = max(1, math.ceil(n_rows / ROWS_PER_TRAIN_PARTITION))
-    return df.coalesce(want) if want < df.rdd.getNumPartitions() else df
+    return df.coalesce(want)   # never more partitions than there are
 
 
 def train_grid(split_df: DataFrame, grid=GRID, model_dir: str | None = None) -> TrainResult:
@@ -282,10 +290,8 @@ def write_metadata(metrics: DataFrame, split_df: DataFrame, model_dir: str) -> N
 
 def read_active(spark: SparkSession, model_dir: str) -> dict | None:
     """The active-model pointer, or None when nothing was trained yet."""
-    try:
-        row = spark.read.text(f"{model_dir}/active_model").first()
-    except Exception:  # noqa: BLE001 - a missing pointer means "not trained"
-        return None
+    found = read_or_none(lambda: spark.read.text(f"{model_dir}/active_model"))
+    row = found.first() if found is not None else None
     return json.loads(row["value"]) if row else None
 
 
@@ -329,22 +335,17 @@ def load_or_train(spark: SparkSession, model_dir: str, labelled: DataFrame, grid
 
 def active_model_dir(spark: SparkSession, root: str) -> str | None:
     """The model directory the registry pointer names (None before any training)."""
-    try:
-        row = spark.read.text(f"{root}/_current").first()
-    except Exception:  # noqa: BLE001 - no pointer yet
-        return None
-    return f"{root}/v{int(row['value'])}" if row else None
+    version = ingest.current_version(spark, root)
+    return None if version is None else f"{root}/v{version}"
 
 
 def retrain(spark: SparkSession, root: str, labelled: DataFrame, grid=GRID) -> str:
     """Train the grid into a new version directory, then move the pointer.
     A failed run leaves the previous version active."""
-    current = active_model_dir(spark, root)
-    version = int(current.rsplit("/v", 1)[1]) + 1 if current else 1
+    version = ingest.next_version(spark, root)
     model_dir = f"{root}/v{version}"
     train_grid(prepare_split(labelled), grid, model_dir)
-    spark.createDataFrame([(str(version),)], "value string").coalesce(1) \
-        .write.mode("overwrite").text(f"{root}/_current")
+    ingest.publish_version(spark, root, version)
     return model_dir
 
 
@@ -356,8 +357,10 @@ def analyze_batch(spark: SparkSession, classifier: Classifier, items: DataFrame,
     ok, _rejected = split_valid(items)
     preds = classifier.score(ok).select("id", "text", "is_spam", "spam_probability", "confidence_score",
                                         "model_name", "vectorizer_name")
+    began = time.time()
     preds = materialise(preds, "batch-predictions")
+    elapsed_ms = (time.time() - began) * 1000.0   # this write is what scores the rows
     if history_path:
         from missive.sources.history_store import append_scored
-        append_scored(spark, history_path, preds)
+        append_scored(spark, history_path, preds, elapsed_ms=elapsed_ms)
     return preds, batch_summary(preds)

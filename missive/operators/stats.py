@@ -18,15 +18,17 @@ def standardise_labels(df: DataFrame, label_col: str = "label") -> DataFrame:
 
 def prepare_messages(df: DataFrame, text_col: str = "text",
                      stop_words: Iterable[str] | None = T.DEFAULT_STOP_WORDS,
-                     lemma_map: DataFrame | None = None) -> DataFrame:
-    """Drop null label/text, add ``clean_text``, drop rows empty after cleaning."""
+                     lemma_map: DataFrame | None = None, key_col: str = "doc_id") -> DataFrame:
+    """Drop null label/text, add ``clean_text``, drop rows empty after cleaning.
+
+    With a lemma map, rows are told apart by ``key_col`` (unique)."""
     out = df.na.drop(subset=["label", text_col])
     if lemma_map is None:
         cleaned = T.clean_text(F.col(text_col), stop_words)
     else:
         from missive.functions.lemma import lemmatize_column
         out = lemmatize_column(out.withColumn("_tokens", T.clean_tokens(F.col(text_col), stop_words)),
-                               "_tokens", lemma_map, "_lemmas")
+                               "_tokens", lemma_map, "_lemmas", key_col=key_col)
         cleaned = F.array_join("_lemmas", " ")
     # The cleaned text is produced by a one-row generator: a filter on generator
     # output cannot be pushed below it, so Catalyst cannot copy the regex chain

@@ -203,11 +203,27 @@ def q_tfidf_weights(spark, sf_dir):
     return w.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
-def q_bigrams_topk(spark, sf_dir):
+def q_bigram_counts(spark, sf_dir):
+    """Every bigram of the cleaned labelled messages with its count."""
     prepared = _prepared(spark, sf_dir)
     grams = prepared.select(F.explode(T.bigrams(T.vocab_tokens(F.col("clean_text")))).alias("bigram"))
-    return (grams.groupBy("bigram").agg(F.count(F.lit(1)).alias("n"))
-            .orderBy(F.col("n").desc(), F.col("bigram").asc()).limit(100))
+    return grams.groupBy("bigram").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_bigrams_topk(spark, sf_dir):
+    """A report of the 100 most frequent bigrams."""
+    return q_bigram_counts(spark, sf_dir).orderBy(F.col("n").desc(), F.col("bigram").asc()).limit(100)
+
+
+def q_messages_lemmatised(spark, sf_dir):
+    """T13 within cleaning (P4): labelled messages whose clean text consists of noun lemmas."""
+    from missive.functions.lemma import build_lexicon, lemma_map
+    from missive.session import materialise
+    msgs = tables.messages(spark, sf_dir)
+    toks = materialise(msgs.na.drop(subset=["label", "text"])
+                       .select("doc_id", T.clean_tokens(F.col("text")).alias("tokens")), "lemma-tokens")
+    lemmas = materialise(lemma_map(toks, build_lexicon(toks, "tokens"), None, "tokens"), "lemma-map")
+    return stats.prepare_messages(msgs, lemma_map=lemmas).select("doc_id", "label", "clean_text")
 
 
 def q_embedding_mean(spark, sf_dir):
@@ -324,8 +340,7 @@ def q_stream_score(spark, sf_dir):
     res = ML.train_grid(ML.prepare_split(_labelled(spark, sf_dir)), [(ML.TFIDF, ML.LR)])
     clf = ML.Classifier(ML.LR, ML.TFIDF, res.vectorisers, res.models[(ML.TFIDF, ML.LR)])
     schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet").schema
-    src = (spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet")
-           .parquet(sf_dir).select("text"))
+    src = spark.readStream.schema(schema).parquet(ST.table_glob(sf_dir, "conversations")).select("text")
     hist, ck = scratch_path(spark, "history"), scratch_path(spark, "score-ckpt")
     ST.score_stream(src, clf, hist, ck).awaitTermination()
     return spark.read.parquet(hist).drop("batch_id")
@@ -369,6 +384,8 @@ QUERIES: dict[str, Query] = {
     "tfidf_vocab": q_tfidf_vocab,
     "tfidf_weights": q_tfidf_weights,
     "bigrams_topk": q_bigrams_topk,
+    "bigram_counts": q_bigram_counts,
+    "messages_lemmatised": q_messages_lemmatised,
     "embedding_mean": q_embedding_mean,
     "score_postprocess": q_score_postprocess,
     "batch_summary": q_batch_summary,

@@ -165,6 +165,8 @@ FROM (SELECT label, count(*) AS n_c FROM {SPLIT} WHERE split = 'train' GROUP BY
     "tfidf_weights": f"SELECT doc_id, term, round(weight, 6) AS weight FROM {TFIDF}",
     "bigrams_topk": f"""SELECT bigram, count(*) AS n FROM (SELECT unnest({S.bigrams(S.vocab_tokens('clean_text'))}) AS bigram
   FROM {PREPARED}) GROUP BY bigram ORDER BY n DESC, bigram ASC LIMIT 100""",
+    "bigram_counts": f"""SELECT bigram, count(*) AS n FROM (
+  SELECT unnest({S.bigrams(S.vocab_tokens('clean_text'))}) AS bigram FROM {PREPARED}) GROUP BY bigram""",
     "embedding_mean": """SELECT label, dim, round(avg(CAST(x AS DOUBLE)), 6) AS mean_value FROM (
   SELECT label, unnest(generate_series(0, len(embedding) - 1)) AS dim, unnest(embedding) AS x FROM embeddings)
 GROUP BY label, dim""",

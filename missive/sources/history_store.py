@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
+from missive.session import read_or_none
 from missive.sources.ingest import with_consecutive_ids
 
 HISTORY_SCHEMA = T_.StructType([
@@ -25,18 +26,14 @@ HISTORY_SCHEMA = T_.StructType([
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """The full history (empty frame of the fixed schema when absent)."""
-    try:
-        return spark.read.schema(HISTORY_SCHEMA).parquet(path)
-    except Exception:  # noqa: BLE001 - a missing table reads as empty
-        return spark.createDataFrame([], HISTORY_SCHEMA)
+    found = read_or_none(lambda: spark.read.schema(HISTORY_SCHEMA).parquet(path))
+    return spark.createDataFrame([], HISTORY_SCHEMA) if found is None else found
 
 
 def init_history(spark: SparkSession, path: str) -> None:
     """K6: create the table if it does not exist."""
-    try:
-        spark.read.parquet(path).schema
-    except Exception:  # noqa: BLE001
-        spark.createDataFrame([], HISTORY_SCHEMA).write.mode("overwrite").parquet(path)
+    if read_or_none(lambda: spark.read.parquet(path).schema) is None:
+        spark.createDataFrame([], HISTORY_SCHEMA).write.mode("errorifexists").parquet(path)
 
 
 def clear_history(spark: SparkSession, path: str) -> None:
@@ -64,17 +61,20 @@ def next_id(spark: SparkSession, path: str) -> int:
     return int(m or 0) + 1
 
 
-def append_scored(spark: SparkSession, path: str, scored: DataFrame, text_col: str = "text") -> int:
+def append_scored(spark: SparkSession, path: str, scored: DataFrame, text_col: str = "text",
+                  elapsed_ms: float | None = None) -> int:
     """K5 + M15: one atomic append per batch (not per row).
 
     The scored frame is materialised once (shared folder) so its wall time
     gives the per-row latency; rows then get ids after the current maximum.
+    ``elapsed_ms`` tells that ``scored`` is written already, and how long that took.
     """
     from missive.session import materialise
-    t0 = time.time()
-    done = materialise(scored, "scored")
+    began = time.time()
+    done = scored if elapsed_ms is not None else materialise(scored, "scored")
+    taken = elapsed_ms if elapsed_ms is not None else (time.time() - began) * 1000.0
     n = done.count()
-    per_row = round((time.time() - t0) * 1000.0 / n, 2) if n else 0.0
+    per_row = round(taken / n, 2) if n else 0.0
     rows = history_rows(done, text_col, next_id(spark, path), per_row)
     rows.write.mode("append").parquet(path)
     return n

@@ -22,18 +22,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df) if name in TEXT_TABLES else df
 
 
+#: A scan of less than this for each core is spread over the cores.
+SPREAD_BYTES = 8 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give CPU-heavy text work at least one task per core.
 
     A scan of few, large row groups yields fewer partitions than the cluster
     has cores; regex cleaning then runs on a handful of tasks. Only in that
-    case are rows spread round-robin (a planning-time check, no job). A large
+    case are rows spread round-robin (decided by file sizes, no job). A large
     input already has far more scan partitions than cores and is left as is.
     """
     target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(target) if size < target * SPREAD_BYTES else df
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,11 +46,11 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     both sides shuffle on ``doc_id`` (AQE turns it into a broadcast join when
     the labelled side is measured small at runtime).
     """
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").select("doc_id", "text", "lang", "source")
+    docs = spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").select("doc_id", "text", "lang", "source"))
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     joined = (docs.join(labels, "doc_id", "inner")
               .withColumn("label", F.when(F.col("quality") == 0, F.lit("spam")).otherwise(F.lit("ham"))))
-    return spread(joined)   # after the join: only labelled rows are redistributed
+    return joined   # never spread the join: asking for its partitions would run its shuffles
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:

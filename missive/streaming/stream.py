@@ -17,6 +17,7 @@ from pyspark.sql import types as T_
 from pyspark.sql.streaming import StreamingQuery
 
 from missive.operators import history as H
+from missive.session import read_or_none
 from missive.sources.history_store import HISTORY_SCHEMA, history_rows
 
 
@@ -48,11 +49,9 @@ def score_stream(messages: DataFrame, classifier, history_path: str, checkpoint:
     spark = messages.sparkSession
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        try:
-            prior = spark.read.parquet(history_path).filter(F.col("batch_id") < batch_id)
-            start = int(prior.agg(F.max("id")).first()[0] or 0) + 1
-        except Exception:  # noqa: BLE001 - first batch: no table yet
-            start = 1
+        prior = read_or_none(lambda: spark.read.parquet(history_path))
+        last = prior.filter(F.col("batch_id") < batch_id).agg(F.max("id")).first()[0] if prior is not None else None
+        start = int(last or 0) + 1
         scored = classifier.score(batch, text_col)
         _write_batch_partition(history_rows(scored, text_col, start, 0.0), history_path, batch_id)
 
@@ -94,11 +93,20 @@ def run_certainty_trend(history_stream: DataFrame, out_path: str, checkpoint: st
             .foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def history_stream_from_events(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
-    """The ``events`` table read as a file stream and shaped as the history."""
+def table_glob(sf_dir: str, name: str) -> str:
+    """A pattern for one table's path: the file source then takes a single file as well as a folder."""
+    return f"{sf_dir.rstrip('/')}/{name}.parque[t]"
+
+
+def history_stream_from_events(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
+    """The ``events`` table (a file or a folder of files) as a stream shaped as the history.
+
+    Without ``max_files`` one trigger takes all files, so that no file of a stored table counts as late."""
     schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").schema
-    ev = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-          .option("maxFilesPerTrigger", max_files).parquet(sf_dir))
+    reader = spark.readStream.schema(schema)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    ev = reader.parquet(table_glob(sf_dir, "events"))
     from missive.sources.tables import shape_history
     return shape_history(ev, zoned_time=True)
 
