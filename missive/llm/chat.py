@@ -71,11 +71,12 @@ def _double(first: DataFrame) -> list[DataFrame]:
         last = tables[-1]
         far = last.select(F.col("tree").alias("__t"), F.col("node").alias("__n"), F.col("up").alias("__up"),
                           F.col("score").alias("__score"), F.col("depth").alias("__depth"), F.col("low").alias("__low"))
-        step = (last.join(far, F.col("tree").eqNullSafe(F.col("__t")) & (F.col("up") == F.col("__n")), "left")
-                .select("tree", "node", F.col("__up").alias("up"),
-                        (F.col("score") + F.coalesce("__score", F.lit(0.0))).alias("score"),
-                        (F.col("depth") + F.coalesce("__depth", F.lit(0))).alias("depth"),
-                        F.least("low", "__low").alias("low")))
+        # only messages that have not reached their root take part; all others are done
+        going = last.filter("up is not null")
+        step = (going.join(far, F.col("tree").eqNullSafe(F.col("__t")) & (F.col("up") == F.col("__n")))
+                .select("tree", "node", F.col("__up").alias("up"), (F.col("score") + F.col("__score")).alias("score"),
+                        (F.col("depth") + F.col("__depth")).alias("depth"), F.least("low", "__low").alias("low"))
+                .unionByName(last.filter("up is null")))
         tables.append(materialise(step, "llm-chat-jump"))
     return tables
 
