@@ -204,3 +204,5 @@ SELECT m.doc_id, coalesce(x.lemma_text, '') AS lemma_text FROM m LEFT JOIN (
 ORACLE["lemmatize"] = _lemmatize()
 ORACLE["stream_kpis"] = ORACLE["history_kpis"]
 ORACLE["stream_trend"] = ORACLE["history_windowed_trend"]
+ORACLE["messages_lemmatised"] = f"""SELECT l.doc_id, m.label, l.lemma_text AS clean_text
+FROM ({ORACLE["lemmatize"]}) l JOIN {MESSAGES} m ON l.doc_id = m.doc_id WHERE l.lemma_text <> ''"""
