@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from missive.llm.common import small_batches
+from missive.llm.common import bounded, small_batches
 
 DIMENSIONS = 512
 PER_LANGUAGE = 4000
@@ -85,7 +85,7 @@ def _learnable(docs: DataFrame, per_language: int, may_learn: Column) -> DataFra
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("__n"))
     share = F.lit(float(per_language)) / F.col("__n")
     chance = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.join(counts.withColumn("__share", share), "lang").filter(chance < F.col("__share")).select("lang", "text")
+    return rows.join(bounded(counts.withColumn("__share", share), "llm-lang-counts"), "lang").filter(chance < F.col("__share")).select("lang", "text")
 
 
 def fit_prototypes(rows: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
