@@ -6,9 +6,10 @@ aggregated by gram, so every step of the estimate (continuation counts,
 context totals, discounts, interpolation from one character up to five) is a
 shuffle join or aggregation on 8-byte gram keys, sharded over all tasks. That
 gives the log probability of every gram that occurs anywhere in the corpus.
-Scoring reads each whole text again and adds them up; the gram table is
-broadcast in shards of at most ``SHARD`` grams (a fixed bound: a larger model
-has more shards, whose sums are added per document).
+Scoring reads each whole text again and adds them up, in units of 1/``UNITS``
+bit, so that sums do not depend on their order; the gram table is broadcast in
+shards of at most ``SHARD`` grams (a fixed bound: a larger model has more
+shards, one after another, whose sums are added per text).
 
 A document is rejected when its bits per character lie above its language's
 limit. A fifth of the trusted documents is kept out of the counts; limits are
@@ -46,6 +47,8 @@ ALLOWANCE = 64.0
 MIN_CALIBRATION = 30
 #: Bits per character are compared in steps of 1/STEPS.
 STEPS = 50
+#: Bits are added up as whole numbers of 1/UNITS.
+UNITS = 1 << 16
 #: Distinct grams a map task holds before it sums them up again.
 HELD = 1 << 21
 #: Characters of texts that are turned into grams at a time.
@@ -125,7 +128,7 @@ def _discounts(counts: DataFrame) -> tuple[float, float, float]:
 
 
 def log_probabilities(grams: DataFrame) -> DataFrame:
-    """(key, bits): minus the base-2 log probability of a gram's last character after the others, for every key."""
+    """(key, units): minus the base-2 log probability of a gram's last character after the others, for every key, in 1/UNITS."""
     counts = {ORDER: grams.filter("n > 0").select("key", "n")}
     wanted = {ORDER: grams.select("key")}
     for n in range(ORDER - 1, 0, -1):  # a shorter gram counts the different characters that it follows
@@ -137,7 +140,9 @@ def log_probabilities(grams: DataFrame) -> DataFrame:
         d1, d2, d3 = _discounts(counts[n])
         cut = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
         context = F.shiftrightunsigned("key", BITS)
-        totals = counts[n].groupBy(context.alias("context")).agg(F.sum("n").alias("total"), F.sum(cut).alias("freed"))
+        ones, twos = F.count(F.when(F.col("n") == 1, 1)), F.count(F.when(F.col("n") == 2, 1))
+        totals = counts[n].groupBy(context.alias("context")).agg(
+            F.sum("n").alias("total"), (ones * d1 + twos * d2 + (F.count("n") - ones - twos) * d3).alias("freed"))
         p = (wanted[n].join(counts[n], "key", "left").withColumn("context", context).join(totals, "context", "left"))
         if lower is None:
             p = p.withColumn("p_lower", F.lit(1.0 / (1 << BITS)))
@@ -148,23 +153,23 @@ def log_probabilities(grams: DataFrame) -> DataFrame:
         p = p.select("key", F.when(F.col("total").isNull(), F.col("p_lower"))
                      .otherwise(own + F.col("freed") / F.col("total") * F.col("p_lower")).alias("p"))
         lower = materialise(p, "llm-kn-p")
-    return lower.select("key", (-F.log2("p")).cast("float").alias("bits"))
+    return lower.select("key", F.round(-F.log2("p") * UNITS).cast("int").alias("units"))
 
 
 class _Table:
-    """Open-addressing hash table from gram key to bits."""
+    """Open-addressing hash table from gram key to units of bits."""
 
-    def __init__(self, keys: np.ndarray, bits: np.ndarray):
+    def __init__(self, keys: np.ndarray, units: np.ndarray):
         power = max(4, int(2 * len(keys)).bit_length())
         size = 1 << power
         self._shift = np.uint64(64 - power)
-        self._mask, self._keys, self._bits = size - 1, np.zeros(size, np.uint64), np.zeros(size, np.float32)
+        self._mask, self._keys, self._units = size - 1, np.zeros(size, np.uint64), np.zeros(size, np.int32)
         slot, left = self._slot(keys), np.arange(len(keys))
         while len(left):
             s = slot[left]
             free = self._keys[s] == 0
             self._keys[s[free]] = keys[left[free]]  # of several keys for one slot the last stays
-            self._bits[s[free]] = bits[left[free]]
+            self._units[s[free]] = units[left[free]]
             left = left[self._keys[s] != keys[left]]
             slot[left] = (slot[left] + 1) & self._mask
 
@@ -172,31 +177,31 @@ class _Table:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self._shift).astype(np.int64)
 
     def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bits of each key, and 1 or 0 for whether the table holds it."""
+        """Units of each key, and 1 or 0 for whether the table holds it."""
         slot = self._slot(keys)
         held = self._keys[slot]
         hit = held == keys
-        bits, left = np.where(hit, self._bits[slot], np.float32(0)), np.flatnonzero(~hit & (held != 0))
+        units, left = np.where(hit, self._units[slot], 0), np.flatnonzero(~hit & (held != 0))
         while len(left):
             at = (slot[left] + 1) & self._mask
             slot[left], held = at, self._keys[at]
             same = held == keys[left]
-            hit[left[same]], bits[left[same]] = True, self._bits[at[same]]
+            hit[left[same]], units[left[same]] = True, self._units[at[same]]
             left = left[~same & (held != 0)]
-        return bits, hit
+        return units, hit
 
     def sums(self, texts) -> tuple[np.ndarray, np.ndarray]:
-        """Bits and number of the grams of each text that the table holds."""
-        total, found = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        """Units and number of the grams of each text that the table holds."""
+        total, found = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
         parts, owner, size = [], [], 0
 
         def add():
-            bits, hit = self.get(np.concatenate(parts))
+            units, hit = self.get(np.concatenate(parts))
             ends = np.cumsum([len(p) for p in parts])
-            bits = np.concatenate([[0.0], np.cumsum(bits, dtype=np.float64)])
+            units = np.concatenate([[0], np.cumsum(units, dtype=np.int64)])
             hit = np.concatenate([[0], np.cumsum(hit)])
             starts = ends - [len(p) for p in parts]
-            np.add.at(total, owner, bits[ends] - bits[starts])
+            np.add.at(total, owner, units[ends] - units[starts])
             np.add.at(found, owner, hit[ends] - hit[starts])
 
         for i, text in enumerate(texts):
@@ -218,30 +223,47 @@ def _table(shared) -> _Table:
 
 
 def score_texts(rows: DataFrame, bits: DataFrame, shard: int = SHARD) -> DataFrame:
-    """Add total_bits and n_grams to ``rows`` (whose ``text`` is dropped), one row per row; ``__id`` tells rows apart."""
+    """``rows`` without ``text``, with total_bits and n_grams: a written table.
+
+    ``__key`` is a key of the text and whatever else tells rows apart. With
+    several shards only one is on the driver and the executors at a time, and
+    sums are added by ``__key``: repeated rows have equal sums in each shard.
+    """
     spark = rows.sparkSession
     small_batches(spark)
-    types = bits.count()
-    shards = max(1, -(-types // shard))
+    bits = materialise(bits, "llm-kn-bits")
+    shards = max(1, -(-bits.count() // shard))
     others = [c for c in rows.columns if c != "text"]
-    kinds = ", ".join(f"{c} {k}" for c, k in rows.select(*others).dtypes)
-    out = None
-    for s in range(shards):
+    kinds = dict(rows.dtypes)
+
+    def score(s: int, kept: list[str]) -> DataFrame:
         part = bits.filter(F.pmod(F.xxhash64("key"), F.lit(shards)) == s).toPandas()
-        keys = part["key"].to_numpy().astype(np.uint64)
-        shared = spark.sparkContext.broadcast((keys, part["bits"].to_numpy(np.float32)))
+        shared = spark.sparkContext.broadcast((part["key"].to_numpy().astype(np.uint64), part["units"].to_numpy(np.int32)))
 
-        def run(frames, shared=shared):
+        def run(frames):
             table = _table(shared)
             for f in frames:
                 total, found = table.sums(f["text"])
-                yield f[others].assign(total_bits=total, n_grams=found)
-
-        scored = rows.mapInPandas(run, f"{kinds}, total_bits double, n_grams long")
-        out = scored if out is None else out.unionByName(scored)
-    if shards > 1:
-        out = out.groupBy(*others).agg(F.sum("total_bits").alias("total_bits"), F.sum("n_grams").alias("n_grams"))
-    return out
+                yield f[kept].assign(total=total, n_grams=found)
+
+        schema = ", ".join(f"{c} {kinds[c]}" for c in kept)
+        out = rows.select(*kept, "text").mapInPandas(run, f"{schema}, total long, n_grams long")
+        if shards > 1:
+            out = out.groupBy(*kept).agg(F.max("total").alias("total"), F.max("n_grams").alias("n_grams"))
+        out = materialise(out, "llm-kn-scored")
+        shared.destroy()
+        return out
+
+    if shards == 1:
+        scored = score(0, others)
+    else:
+        sums = None
+        for s in range(shards):
+            part = score(s, ["__key"])
+            sums = part if sums is None else sums.unionByName(part)
+        sums = sums.groupBy("__key").agg(F.sum("total").alias("total"), F.sum("n_grams").alias("n_grams"))
+        scored = materialise(rows.select(*others).join(sums, "__key"), "llm-kn-scored")
+    return scored.select(*others, (F.col("total") / UNITS).alias("total_bits"), "n_grams")
 
 
 def _limits(scored: DataFrame) -> DataFrame:
@@ -273,16 +295,14 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     rows = rows.select("doc_id", "lang", "text", (label & ~aside).alias("trusted"), (label & aside).alias("calibrates"))
     grams = materialise(gram_counts(rows), "llm-kn-grams")
     bits = log_probabilities(grams)
-    keyed = rows.select("doc_id", "lang", "calibrates", row_key("doc_id", "lang", "text").alias("__key"),
-                        F.monotonically_increasing_id().alias("__id"), "text")
-    scored = materialise(score_texts(keyed, bits, shard), "llm-kn-scored")
+    keyed = rows.select("doc_id", "lang", "calibrates", row_key("doc_id", "lang", "text").alias("__key"), "text")
+    scored = score_texts(keyed, bits, shard)
     limits = bounded(_limits(scored), "llm-kn-limits")
     own = limits.filter(~F.col("all") & (F.col("of") >= MIN_CALIBRATION)).select(F.col("lang").alias("__l"), F.col("limit").alias("__own"))
-    general = limits.filter("all").select(F.col("limit").alias("__general"))
+    general = next((r["limit"] for r in limits.filter("all").collect()), None)  # one row
     judged = (scored.join(own, F.col("lang").eqNullSafe(F.col("__l")), "left")
-              .join(F.broadcast(general), F.lit(True), "left")
               .withColumn("bits", F.when(F.col("n_grams") > 0, F.col("total_bits") / F.col("n_grams")))
-              .withColumn("limit", F.coalesce("__own", "__general")))
+              .withColumn("limit", F.coalesce(F.col("__own"), F.lit(general).cast("double"))))
     within = F.col("total_bits") <= F.col("limit") * F.col("n_grams") + ALLOWANCE
     kept = F.col("bits").isNotNull() & (F.col("limit").isNull() | within)
     return judged.select("doc_id", "lang", "bits", "limit", kept.alias("kept"), "__key")

@@ -17,7 +17,7 @@ Defined cases: null and empty texts have no candidates; documents without a
 finding are listed with 0; rows that repeat a doc_id are listed one by one; a
 null doc_id is passed on; an empty table gives an empty result; if a label is
 missing among the findings, the labels' own rules decide, as nothing can be
-learned. The letter-pair dictionary has at most 676 entries, so it is broadcast.
+learned. The letter-pair dictionary has at most 676 entries.
 """
 
 from __future__ import annotations
@@ -68,24 +68,23 @@ def _pairs(word: Column) -> Column:
                                 lambda i: F.lower(word.substr(i, F.lit(2)))), lambda p: p.rlike("^[a-z]{2}$"))
 
 
-def dictionary(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Letter pairs that make up most of the corpus' words: one row with an array of at most 676 pairs."""
+def dictionary(docs: DataFrame, text: str = "text") -> list[str]:
+    """Letter pairs, of 676 at most, that make up most of the corpus' words: each more than one in 2000."""
     t = F.lower(F.coalesce(docs[text], F.lit("")))
     even = F.regexp_extract_all(t, F.lit("[a-z]{2}"), F.lit(0))
     pairs = docs.select(F.explode(even).alias("pair")).groupBy("pair").count()
-    return pairs.agg(F.collect_list(F.struct("pair", "count")).alias("all")).select(
-        F.transform(F.filter("all", lambda x: x["count"] * 2000 >= F.aggregate(
-            "all", F.lit(0).cast("long"), lambda s, y: s + y["count"])), lambda x: x["pair"]).alias("common"))
+    counts = {r["pair"]: r["count"] for r in pairs.collect()}
+    return sorted(p for p, n in counts.items() if n * 2000 >= sum(counts.values()))
 
 
-def features(found: DataFrame, common: DataFrame) -> DataFrame:
+def features(found: DataFrame, common: list[str]) -> DataFrame:
     v = F.col("value")
     size = F.greatest(F.length(v), F.lit(1)).cast("double")
     share = lambda kind: F.length(F.regexp_replace(v, f"[^{kind}]", "")) / size
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[a-z]+", "a"), "[A-Z]+", "b"), "[0-9]+", "0")
     letter_pairs = _pairs(v)
-    covered = F.size(F.filter(letter_pairs, lambda p: F.array_contains(F.col("common"), p))) / size
-    return found.join(F.broadcast(common)).select(
+    covered = F.size(F.filter(letter_pairs, lambda p: p.isin(common))) / size
+    return found.select(
         *[found[c] for c in found.columns], size.alias("length"), (F.length(kinds) / size).alias("switches"),
         share("0-9").alias("digits"), share("A-Z").alias("capitals"), share("0-9a-fA-F").alias("hexes"),
         covered.alias("covered"), v.rlike(r"/|\.[a-z]{2,4}$|^www\.").cast("double").alias("path"),
@@ -121,7 +120,7 @@ def score_candidates(found: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFram
 
 def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
     """One row per input row: doc_id, n_candidates, n_secrets, secrets (array of value and probability)."""
-    common = materialise(dictionary(docs, text), "llm-secret-pairs")
+    common = dictionary(docs, text)
     found = materialise(features(candidates(docs, doc_id, text), common), "llm-secret-found")
     scored = score_candidates(found.filter("value is not null"), train_rows)
     every = scored.select("row", "doc_id", "value", "probability").unionByName(
