@@ -237,8 +237,8 @@ def score_texts(rows: DataFrame, bits: DataFrame, shard: int = SHARD) -> DataFra
     kinds = dict(rows.dtypes)
 
     def score(s: int, kept: list[str]) -> DataFrame:
-        part = bits.filter(F.pmod(F.xxhash64("key"), F.lit(shards)) == s).toPandas()
-        shared = spark.sparkContext.broadcast((part["key"].to_numpy().astype(np.uint64), part["units"].to_numpy(np.int32)))
+        part = bits.filter(F.pmod(F.xxhash64("key"), F.lit(shards)) == s).toArrow()  # columns, not a row object for each gram
+        shared = spark.sparkContext.broadcast((part["key"].to_numpy().astype(np.uint64), part["units"].to_numpy()))
 
         def run(frames):
             table = _table(shared)
@@ -246,6 +246,7 @@ def score_texts(rows: DataFrame, bits: DataFrame, shard: int = SHARD) -> DataFra
                 total, found = table.sums(f["text"])
                 yield f[kept].assign(total=total, n_grams=found)
 
+        del part
         schema = ", ".join(f"{c} {kinds[c]}" for c in kept)
         out = rows.select(*kept, "text").mapInPandas(run, f"{schema}, total long, n_grams long")
         if shards > 1:
