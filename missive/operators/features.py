@@ -36,6 +36,7 @@ W2V_SIZE = 100
 W2V_WINDOW = 5
 W2V_MIN_COUNT = 1
 W2V_EPOCHS = 10
+W2V_PARTITIONS = 8   # tasks that train; the fitted vectors depend on it, so it does not follow the cluster
 SEED = 42
 
 
@@ -197,15 +198,13 @@ def read_with_vector(spark: SparkSession, path: str, features_col: str) -> DataF
 
 def fit_word2vec(train: DataFrame, clean_col: str = "clean_text", vector_size: int = W2V_SIZE,
                  window: int = W2V_WINDOW, min_count: int = W2V_MIN_COUNT, epochs: int = W2V_EPOCHS,
-                 seed: int = SEED, num_partitions: int | None = None) -> Word2VecModel:
+                 seed: int = SEED, num_partitions: int = W2V_PARTITIONS) -> Word2VecModel:
     """skip-gram Word2Vec on whitespace tokens of the training rows.
 
-    Training runs on ``num_partitions`` tasks (default: the cluster's
-    parallelism). The model (vocabulary x vector size) lives on the driver, so
-    at large scale ``min_count`` should be raised to bound the vocabulary."""
+    Training runs on ``num_partitions`` tasks; raise it for large training
+    sets. The model (vocabulary x vector size) lives on the driver, so at large
+    scale ``min_count`` should be raised to bound the vocabulary."""
     tokens = train.select(T.split_clean_text(F.col(clean_col)).alias("_words"))
-    if num_partitions is None:
-        num_partitions = max(1, train.sparkSession.sparkContext.defaultParallelism)
     w2v = Word2Vec(vectorSize=vector_size, windowSize=window, minCount=min_count, maxIter=epochs,
                    seed=seed, inputCol="_words", outputCol="_w2v", numPartitions=num_partitions)
     return w2v.fit(tokens)
@@ -222,15 +221,17 @@ def mean_vectors(model: Word2VecModel, df: DataFrame, clean_col: str = "clean_te
     transform divides by *all* words, so the known-word count from a
     vocabulary counter rescales the mean in-row. A larger vocabulary is not
     shipped to every task: words are joined to the vector table (shuffle join,
-    AQE splits hot words) and averaged per row with ``Summarizer.mean``; that
-    path needs a unique ``key_col``.
+    AQE splits hot words) and averaged per row with ``Summarizer.mean``. Rows
+    are told apart by ``key_col`` (unique); without it they get a row number,
+    written once so that both sides of the join see the same.
     """
     size = model.getVectorSize()
     vectors = model.getVectors()
     n_words = vectors.count()   # the model's vocabulary size (already driver-side in the model)
     if n_words > MAX_BROADCAST_VOCAB:
         if key_col is None:
-            raise ValueError("a unique key_col is needed to pool over a vocabulary this large")
+            numbered = materialise(df.withColumn("_row", F.monotonically_increasing_id()), "w2v-rows")
+            return _mean_vectors_by_join(vectors, numbered, clean_col, out_col, "_row", size).drop("_row")
         return _mean_vectors_by_join(vectors, df, clean_col, out_col, key_col, size)
     vocab = [r["word"] for r in vectors.select("word").orderBy("word").collect()]   # <= MAX_BROADCAST_VOCAB
     counter = CountVectorizerModel.from_vocabulary(vocab, inputCol="_words", outputCol="_known")

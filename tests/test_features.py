@@ -70,5 +70,9 @@ def test_word2vec_join_path_equals_map_path(spark, monkeypatch):
     a = {r["doc_id"]: r["features"].toArray() for r in FE.mean_vectors(model, probe).collect()}
     monkeypatch.setattr(FE, "MAX_BROADCAST_VOCAB", 1)
     b = {r["doc_id"]: r["features"].toArray() for r in FE.mean_vectors(model, probe, key_col="doc_id").collect()}
+    no_key = FE.mean_vectors(model, probe.withColumnRenamed("doc_id", "id"))   # any frame, no key column
+    c = {r["id"]: r["features"].toArray() for r in no_key.collect()}
+    assert no_key.columns == ["id", "clean_text", "features"]
     for k in a:
         assert b[k] == pytest.approx(a[k], rel=1e-5, abs=1e-7)
+        assert c[k] == pytest.approx(a[k], rel=1e-5, abs=1e-7)
