@@ -107,6 +107,23 @@ def q_history_kpis(spark, sf_dir):
     return H.kpis(tables.history(spark, sf_dir))
 
 
+def q_history_append(spark, sf_dir):
+    """Two batches appended to a new history store and read back: rows, ids and texts of each."""
+    from missive.session import scratch_path
+    from missive.sources import history_store as HS
+    scored = tables.history(spark, sf_dir).select(
+        F.col("email_text").alias("text"), "is_spam", F.col("probability").alias("spam_probability"),
+        F.col("confidence").alias("confidence_score"), F.col("model_used").alias("model_name"),
+        F.col("vectorizer_used").alias("vectorizer_name"))
+    path = scratch_path(spark, "history-append")
+    HS.init_history(spark, path)
+    for spam in (1, 0):
+        HS.append_scored(spark, path, scored.filter(F.col("is_spam") == spam))
+    return HS.read_history(spark, path).groupBy("is_spam").agg(
+        F.count(F.lit(1)).alias("scans"), F.min("id").cast("long").alias("first_id"), F.max("id").cast("long").alias("last_id"),
+        F.countDistinct("id").alias("n_ids"), F.countDistinct("email_text").alias("n_texts"))
+
+
 def q_history_by_model(spark, sf_dir):
     return H.scans_by_model(tables.history(spark, sf_dir))
 
@@ -369,6 +386,7 @@ QUERIES: dict[str, Query] = {
     "history_label_filter": q_history_label_filter,
     "history_latest": q_history_latest,
     "history_kpis": q_history_kpis,
+    "history_append": q_history_append,
     "history_by_model": q_history_by_model,
     "history_trend": q_history_trend,
     "history_windowed_trend": q_history_windowed_trend,

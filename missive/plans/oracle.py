@@ -133,6 +133,10 @@ GROUP BY label, token""",
   {_pct('count_if(is_spam = 1)', 'count(*)')} AS spam_percentage,
   round(coalesce(avg(confidence), 0.0), 2) AS avg_confidence,
   round(coalesce(avg(execution_time_ms), 0.0), 2) AS avg_latency FROM {HISTORY}""",
+    "history_append": f"""SELECT CAST(is_spam AS INTEGER) AS is_spam, scans, last_id - scans + 1 AS first_id, last_id, scans AS n_ids, n_texts
+FROM (SELECT is_spam, count(*) AS scans, count(DISTINCT email_text) AS n_texts,
+        CAST(sum(count(*)) OVER (ORDER BY is_spam DESC) AS BIGINT) AS last_id
+      FROM {HISTORY} GROUP BY is_spam)""",
     "history_by_model": f"SELECT model_used, count(*) AS count FROM {HISTORY} GROUP BY model_used",
     "history_trend": f"""SELECT id, is_spam, confidence, timestamp, row_number() OVER (ORDER BY id) AS scan_no,
   CASE WHEN is_spam = 1 THEN 'Spam' ELSE 'Safe (Ham)' END AS label
