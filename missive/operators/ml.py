@@ -197,9 +197,9 @@ class TrainResult:
     vectorisers: Vectorisers | None = None
 
 
-def prepare_split(labelled: DataFrame) -> DataFrame:
-    """P3-P5 + M1 on labelled (doc_id, label, text) rows, checkpointed once."""
-    prepared = stats.prepare_messages(labelled).select("doc_id", "label", "clean_text") \
+def prepare_split(labelled: DataFrame, lemmas: DataFrame | None = None) -> DataFrame:
+    """P3-P5 + M1 on labelled (doc_id, label, text) rows, checkpointed once; with a lemma map also T13."""
+    prepared = stats.prepare_messages(labelled, lemma_map=lemmas).select("doc_id", "label", "clean_text") \
         .persist(StorageLevel.MEMORY_AND_DISK)   # read by the bucket count and both split branches
     out = materialise(target(SP.stratified_split(prepared, "label", "doc_id")), "split")
     prepared.unpersist()
@@ -214,7 +214,9 @@ def sized_for_iteration(df: DataFrame, n_rows: int) -> DataFrame:
     return df.coalesce(want)   # never more partitions than there are
 
 
-def train_grid(split_df: DataFrame, grid=GRID, model_dir: str | None = None) -> TrainResult:
+def train_grid(split_df: DataFrame, grid=GRID, model_dir: str | None = None,
+               lemmas: DataFrame | None = None) -> TrainResult:
+    """M9: fit and evaluate every grid model. ``lemmas`` is the map ``split_df`` was cleaned with; it is saved with the models."""
     spark = split_df.sparkSession
     train = split_df.filter(F.col("split") == "train")
     n_train = train.count()
@@ -248,6 +250,8 @@ def train_grid(split_df: DataFrame, grid=GRID, model_dir: str | None = None) ->
               "accuracy double, precision double, recall double, f1_score double, model_filename string")
     if model_dir:
         save_vectorisers(vecs, model_dir)
+        if lemmas is not None:
+            lemmas.write.mode("overwrite").parquet(f"{model_dir}/lemma_map")
         write_metadata(result.metrics, split_df, model_dir)
     return result
 
@@ -302,6 +306,7 @@ class Classifier:
     vectorizer_name: str
     vectorisers: Vectorisers
     model: object
+    lemmas: DataFrame | None = None   # the map the training texts were cleaned with (T13)
 
     @classmethod
     def load(cls, spark: SparkSession, model_dir: str) -> "Classifier":
@@ -310,22 +315,31 @@ class Classifier:
             raise FileNotFoundError(f"no active model under {model_dir}")
         vec = active["vectorizer_name"]
         return cls(active["model_name"], vec, load_vectorisers(model_dir, (vec,)),
-                   load_model(active["model_name"], f"{model_dir}/{active['model_filename']}"))
+                   load_model(active["model_name"], f"{model_dir}/{active['model_filename']}"),
+                   read_or_none(lambda: spark.read.parquet(f"{model_dir}/lemma_map")))
 
     def score(self, df: DataFrame, text_col: str = "text") -> DataFrame:
         """M12-M14 over a whole frame: clean -> vectorise -> p -> class/confidence."""
         from missive.functions import text as T
-        staged = df.withColumn("clean_text", T.clean_text(F.col(text_col)))
+        if self.lemmas is None:
+            staged = df.withColumn("clean_text", T.clean_text(F.col(text_col)))
+        else:
+            from missive.functions.lemma import lemmatize_column
+            rows = materialise(df.withColumn("_row", F.monotonically_increasing_id())   # any frame, with or without a key
+                               .withColumn("_tokens", T.clean_tokens(F.col(text_col))), "score-rows")
+            staged = lemmatize_column(rows, "_tokens", self.lemmas, "_lemmas", key_col="_row") \
+                .withColumn("clean_text", F.array_join("_lemmas", " ")).drop("_row", "_tokens", "_lemmas")
         feats = self.vectorisers.features(self.vectorizer_name, staged)
         scored = spam_probability(self.model, feats).drop("features")
         return postprocess(scored, "p", "clean_text").withColumn("model_name", F.lit(self.model_name)) \
             .withColumn("vectorizer_name", F.lit(self.vectorizer_name))
 
 
-def load_or_train(spark: SparkSession, model_dir: str, labelled: DataFrame, grid=GRID) -> Classifier:
+def load_or_train(spark: SparkSession, model_dir: str, labelled: DataFrame, grid=GRID,
+                  lemmas: DataFrame | None = None) -> Classifier:
     """Load the active model; train the grid first when none exists."""
     if read_active(spark, model_dir) is None:
-        train_grid(prepare_split(labelled), grid, model_dir)
+        train_grid(prepare_split(labelled, lemmas), grid, model_dir, lemmas)
     return Classifier.load(spark, model_dir)
 
 
@@ -339,12 +353,12 @@ def active_model_dir(spark: SparkSession, root: str) -> str | None:
     return None if version is None else f"{root}/v{version}"
 
 
-def retrain(spark: SparkSession, root: str, labelled: DataFrame, grid=GRID) -> str:
+def retrain(spark: SparkSession, root: str, labelled: DataFrame, grid=GRID, lemmas: DataFrame | None = None) -> str:
     """Train the grid into a new version directory, then move the pointer.
     A failed run leaves the previous version active."""
     version = ingest.next_version(spark, root)
     model_dir = f"{root}/v{version}"
-    train_grid(prepare_split(labelled), grid, model_dir)
+    train_grid(prepare_split(labelled, lemmas), grid, model_dir, lemmas)
     ingest.publish_version(spark, root, version)
     return model_dir
 
@@ -352,14 +366,21 @@ def retrain(spark: SparkSession, root: str, labelled: DataFrame, grid=GRID) -> s
 def analyze_batch(spark: SparkSession, classifier: Classifier, items: DataFrame,
                   history_path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Score every (id, text) item, append all scores to the history in one
-    write, and return (predictions, summary). Empty texts are rejected first."""
+    write, and return (predictions, summary). Empty texts are rejected first.
+
+    ``position`` is the item's place in the input, 1 for the first item that is
+    scored; ``prediction_time_ms`` is the batch's time per row, 0 where nothing
+    is left of the text after cleaning."""
     from missive.operators.score import batch_summary, split_valid
     ok, _rejected = split_valid(items)
-    preds = classifier.score(ok).select("id", "text", "is_spam", "spam_probability", "confidence_score",
-                                        "model_name", "vectorizer_name")
+    ok = ingest.with_consecutive_ids(ok, "position")
     began = time.time()
+    preds = classifier.score(ok).select("position", "id", "text", "is_spam", "spam_probability", "confidence_score",
+                                        "model_name", "vectorizer_name", (F.col("clean_text") == "").alias("_empty"))
     preds = materialise(preds, "batch-predictions")
     elapsed_ms = (time.time() - began) * 1000.0   # this write is what scores the rows
+    per_row = round(elapsed_ms / max(preds.count(), 1), 2)
+    preds = preds.withColumn("prediction_time_ms", F.when(F.col("_empty"), 0.0).otherwise(per_row)).drop("_empty")
     if history_path:
         from missive.sources.history_store import append_scored
         append_scored(spark, history_path, preds, elapsed_ms=elapsed_ms)

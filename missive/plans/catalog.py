@@ -234,13 +234,8 @@ def q_bigrams_topk(spark, sf_dir):
 
 def q_messages_lemmatised(spark, sf_dir):
     """T13 within cleaning (P4): labelled messages whose clean text consists of noun lemmas."""
-    from missive.functions.lemma import build_lexicon, lemma_map
-    from missive.session import materialise
     msgs = tables.messages(spark, sf_dir)
-    toks = materialise(msgs.na.drop(subset=["label", "text"])
-                       .select("doc_id", T.clean_tokens(F.col("text")).alias("tokens")), "lemma-tokens")
-    lemmas = materialise(lemma_map(toks, build_lexicon(toks, "tokens"), None, "tokens"), "lemma-map")
-    return stats.prepare_messages(msgs, lemma_map=lemmas).select("doc_id", "label", "clean_text")
+    return stats.prepare_messages(msgs, lemma_map=_lemma_table(spark, sf_dir)).select("doc_id", "label", "clean_text")
 
 
 def q_embedding_mean(spark, sf_dir):
@@ -363,6 +358,129 @@ def q_stream_score(spark, sf_dir):
     return spark.read.parquet(hist).drop("batch_id")
 
 
+def _nb(spark, sf_dir, lemmas=None):
+    """A naive Bayes bundle on TF-IDF: its fit has a closed form, so SQL can check every score."""
+    from missive.operators import ml as ML
+    from missive.session import scratch_path
+    return ML.load_or_train(spark, scratch_path(spark, "nb-model"), _labelled(spark, sf_dir), [(ML.TFIDF, ML.NB)], lemmas)
+
+
+def q_batch_analysis(spark, sf_dir):
+    """Train and store a model, load it, score conversation turns as a batch into a history (K5)."""
+    from missive.operators import ml as ML
+    from missive.session import scratch_path
+    from missive.sources import history_store as HS
+    hist = scratch_path(spark, "batch-history")
+    preds, _ = ML.analyze_batch(spark, _nb(spark, sf_dir), tables.batch_input(spark, sf_dir).select("id", "text"), hist)
+    stored = HS.read_history(spark, hist)
+    seen = stored.groupBy(F.col("email_text").alias("text")).agg(
+        F.count(F.lit(1)).alias("n_stored"), F.max("probability").alias("stored_probability"))
+    return preds.join(seen, "text").select("id", "is_spam", "spam_probability", "confidence_score", "model_name",
+                                           "n_stored", "stored_probability")
+
+
+def _lemma_table(spark, sf_dir):
+    from missive.functions.lemma import build_lexicon, lemma_map
+    from missive.session import materialise
+    toks = materialise(tables.messages(spark, sf_dir).na.drop(subset=["label", "text"])
+                       .select("doc_id", T.clean_tokens(F.col("text")).alias("tokens")), "lemma-tokens")
+    return materialise(lemma_map(toks, build_lexicon(toks, "tokens"), None, "tokens"), "lemma-map")
+
+
+def q_score_lemmatised(spark, sf_dir):
+    """T13 in training and scoring alike: a model of lemmas, stored with its lemma map, scores the messages."""
+    scored = _nb(spark, sf_dir, _lemma_table(spark, sf_dir)).score(_labelled(spark, sf_dir).select("doc_id", "text"))
+    return scored.select("doc_id", "clean_text", "is_spam", "spam_probability", "confidence_score")
+
+
+def q_stream_score_nb(spark, sf_dir):
+    """ST1 with naive Bayes: scores of the streamed conversation turns, read back from the history."""
+    from missive.session import scratch_path
+    from missive.streaming import stream as ST
+    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet").schema
+    src = spark.readStream.schema(schema).parquet(ST.table_glob(sf_dir, "conversations")).select("text") \
+        .filter(F.length("text") >= 1)
+    hist, ck = scratch_path(spark, "history-nb"), scratch_path(spark, "score-nb-ckpt")
+    ST.score_stream(src, _nb(spark, sf_dir), hist, ck).awaitTermination()
+    return spark.read.parquet(hist).groupBy("email_text", "is_spam", "probability", "confidence", "model_used").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def q_model_registry(spark, sf_dir):
+    """Train the whole grid into a registry and read its metrics back."""
+    from missive.operators import ml as ML
+    from missive.session import scratch_path
+    from missive.sources import ingest
+    root = scratch_path(spark, "registry")
+    ML.retrain(spark, root, _labelled(spark, sf_dir))
+    m = ingest.read_model_metrics(spark, ML.active_model_dir(spark, root))
+    cell = lambda i, j: F.col("confusion_matrix")[i][j]
+    right = (cell(0, 0) + cell(1, 1)) / (cell(0, 0) + cell(0, 1) + cell(1, 0) + cell(1, 1))
+    return m.select("model_name", "vectorizer_name", "grid_ordinal",
+                    (cell(0, 0) + cell(0, 1)).alias("ham_tested"), (cell(1, 0) + cell(1, 1)).alias("spam_tested"),
+                    ((F.abs(right - F.col("accuracy")) < 1e-9) & F.col("f1_score").between(0, 1)).alias("consistent"))
+
+
+def q_pool_versions(spark, sf_dir):
+    """Overwrite a pool, append to it, read its newest version."""
+    from missive.session import scratch_path
+    from missive.sources import ingest
+    root = scratch_path(spark, "pool")
+    msgs = tables.messages(spark, sf_dir)
+    ingest.update_pool(spark, root, msgs.select("label", "text"), "overwrite")
+    new = stats.standardise_labels(msgs.select(F.col("toxic").cast("string").alias("label"), "text"))
+    told = ingest.update_pool(spark, root, new, "append")
+    return ingest.read_pool(spark, root).select("label", "text", F.lit(told["uploaded_records"]).cast("long").alias("uploaded"),
+                                                F.lit(told["total_records"]).cast("long").alias("total"),
+                                                F.lit(told["version"]).cast("long").alias("version"))
+
+
+def q_ingest_headered(spark, sf_dir):
+    """Files with a header, roles by name, labels of four spellings (one not valid), no quoting.
+
+    A fifth of the texts keeps its commas, and nothing is quoted: a comma is one field too many, and such rows are skipped."""
+    from missive.session import scratch_path
+    from missive.sources import ingest
+    path = scratch_path(spark, "headered")
+    label = F.element_at(F.array(F.lit("YES"), F.lit(" no "), F.lit("maybe"), F.lit("Spam")), (F.col("doc_id") % 4 + 1).cast("int"))
+    rows = tables.messages(spark, sf_dir).select(
+        F.col("doc_id").cast("string").alias("note"), _one_field(F.when(F.col("doc_id") % 5 == 0, F.col("text")).otherwise(F.translate("text", ",", ";"))).alias("message"),
+        label.alias("category"))
+    rows.write.option("header", True).option("quote", "").option("emptyValue", "") \
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return ingest.ingest_labelled(spark, path)
+
+
+def _one_field(text):
+    return F.concat(F.lit("t "), F.regexp_replace(F.coalesce(text, F.lit("")), r"[\"\\\r\n\t]", " "))
+
+
+def q_processed_reread(spark, sf_dir):
+    """The processed set written and read again; rows whose clean text is empty or null go."""
+    from missive.session import scratch_path
+    from missive.sources import ingest
+    path = scratch_path(spark, "processed")
+    prepared = stats.prepare_messages(tables.messages(spark, sf_dir))
+    blank = F.when(F.col("doc_id") % 7 == 0, F.lit("")).when(F.col("doc_id") % 7 != 1, F.col("clean_text"))
+    ingest.write_processed(prepared.withColumn("clean_text", blank), path)
+    return ingest.read_processed(spark, path)
+
+
+def q_batch_file(spark, sf_dir):
+    """A batch file written and read again; null and empty texts are rejected."""
+    from missive.session import scratch_path
+    from missive.sources import ingest
+    path = scratch_path(spark, "batch-file")
+    turn = F.col("turn")
+    conv = tables.table(spark, sf_dir, "conversations")
+    ingest.write_batch_results(conv.select(
+        F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string")).alias("id"),
+        F.when(turn % 5 == 3, F.lit(None)).when(turn % 5 == 4, F.lit("")).otherwise(F.col("text")).alias("text"), "role"), path)
+    ok, rejected = SC.split_valid(ingest.read_batch_input(spark, path))
+    return ok.withColumn("accepted", F.lit(True)).unionByName(
+        rejected.withColumn("accepted", F.lit(False))).select("id", "accepted", F.coalesce("text", F.lit("")).alias("text"))
+
+
 def q_lemmatize(spark, sf_dir):
     """Noun lemmas of the cleaned tokens of labelled messages (corpus lexicon, df >= 2)."""
     from missive.functions.lemma import lemmatize
@@ -425,5 +543,13 @@ QUERIES: dict[str, Query] = {
     "stream_trend": q_stream_trend,
     "stream_score": q_stream_score,
     "lemmatize": q_lemmatize,
+    "batch_analysis": q_batch_analysis,
+    "score_lemmatised": q_score_lemmatised,
+    "stream_score_nb": q_stream_score_nb,
+    "model_registry": q_model_registry,
+    "pool_versions": q_pool_versions,
+    "ingest_headered": q_ingest_headered,
+    "processed_reread": q_processed_reread,
+    "batch_file": q_batch_file,
 }
 FLAGSHIP = "score_documents"

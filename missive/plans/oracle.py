@@ -73,7 +73,8 @@ FROM (SELECT lang,
 
 PREPARED = f"(SELECT doc_id, label, clean_text FROM {MESSAGES_CLEAN})"
 
-SPLIT = f"""(WITH p AS {PREPARED},
+def split_sql(prepared: str) -> str:
+    return f"""(WITH p AS {prepared},
 counts AS (SELECT label, count(*) AS c FROM p GROUP BY label),
 a0 AS (SELECT label, c, sum(c) OVER () AS n, ceil(0.2 * CAST(sum(c) OVER () AS DOUBLE)) AS n_test FROM counts),
 a1 AS (SELECT *, CAST(c AS DOUBLE) * CAST(n - n_test AS DOUBLE) / CAST(n AS DOUBLE) AS cont FROM a0),
@@ -85,10 +86,17 @@ SELECT p.doc_id, p.label, p.clean_text,
        <= alloc.n_test_c THEN 'test' ELSE 'train' END AS split
 FROM p JOIN alloc ON p.label = alloc.label)"""
 
+
+SPLIT = split_sql(PREPARED)
 VT = S.vocab_tokens("clean_text")
-TERMS = f"(SELECT doc_id, split, list_concat(toks, {S.bigrams('toks')}) AS terms FROM (SELECT doc_id, split, {VT} AS toks FROM {SPLIT}))"
 
-VOCAB = f"""(WITH t AS {TERMS},
+
+def terms_sql(split: str) -> str:
+    return f"(SELECT doc_id, split, list_concat(toks, {S.bigrams('toks')}) AS terms FROM (SELECT doc_id, split, {VT} AS toks FROM {split}))"
+
+
+def vocab_sql(split: str) -> str:
+    return f"""(WITH t AS {terms_sql(split)},
 tr AS (SELECT * FROM t WHERE split = 'train'),
 cnt AS (SELECT term, count(*) AS term_count FROM (SELECT unnest(terms) AS term FROM tr) GROUP BY term),
 top AS (SELECT * FROM cnt ORDER BY term_count DESC, term ASC LIMIT 5000),
@@ -98,6 +106,9 @@ SELECT top.term, row_number() OVER (ORDER BY top.term) - 1 AS term_index, top.te
   coalesce(dfq.doc_freq, 0) AS doc_freq, ln((1.0 + n.n) / (1.0 + coalesce(dfq.doc_freq, 0))) + 1.0 AS idf
 FROM top LEFT JOIN dfq ON top.term = dfq.term, n)"""
 
+
+TERMS, VOCAB = terms_sql(SPLIT), vocab_sql(SPLIT)
+
 TFIDF = f"""(WITH t AS {TERMS}, v AS {VOCAB},
 tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM t) GROUP BY doc_id, term),
 w AS (SELECT tf.doc_id, tf.term, (1.0 + ln(tf.tf)) * v.idf AS w FROM tf JOIN v ON tf.term = v.term)
@@ -210,3 +221,69 @@ ORACLE["stream_kpis"] = ORACLE["history_kpis"]
 ORACLE["stream_trend"] = ORACLE["history_windowed_trend"]
 ORACLE["messages_lemmatised"] = f"""SELECT l.doc_id, m.label, l.lemma_text AS clean_text
 FROM ({ORACLE["lemmatize"]}) l JOIN {MESSAGES} m ON l.doc_id = m.doc_id WHERE l.lemma_text <> ''"""
+
+
+# --- naive Bayes on TF-IDF in closed form -----------------------------------
+
+def _weights(rows: str) -> str:
+    """L2-normalised TF-IDF weights (key, term, x) of rows (key, clean_text) over the vocabulary ``v``."""
+    return f"""(SELECT key, term, w / sqrt(sum(w * w) OVER (PARTITION BY key)) AS x FROM (
+  SELECT t.key, t.term, (1.0 + ln(t.tf)) * v.idf AS w FROM (
+    SELECT key, term, count(*) AS tf FROM (
+      SELECT key, unnest(list_concat(toks, {S.bigrams('toks')})) AS term FROM (SELECT key, {VT} AS toks FROM {rows}))
+    GROUP BY key, term) t JOIN v ON t.term = v.term))"""
+
+
+def naive_bayes(prepared: str, items: str) -> str:
+    """Scores (key, is_spam, spam_probability, confidence_score) of ``items`` (key, clean_text; ``s`` is the split)."""
+    return f"""(WITH s AS MATERIALIZED {split_sql(prepared)},
+v AS MATERIALIZED {vocab_sql('s')},
+tr AS (SELECT doc_id AS key, label, clean_text FROM s WHERE split = 'train'),
+classes AS (SELECT label, ln(count(*) + 1.0) - ln(sum(count(*)) OVER () + 2.0) AS prior FROM tr GROUP BY label),
+mass AS (SELECT tr.label, x.term, sum(x.x) AS m FROM {_weights('tr')} x JOIN tr ON x.key = tr.key GROUP BY tr.label, x.term),
+total AS (SELECT label, sum(m) + (SELECT count(*) FROM v) AS m FROM mass GROUP BY label),
+theta AS (SELECT total.label, v.term, ln(coalesce(mass.m, 0.0) + 1.0) - ln(total.m) AS lp
+  FROM total CROSS JOIN v LEFT JOIN mass ON mass.label = total.label AND mass.term = v.term),
+items AS MATERIALIZED {items},
+fit AS (SELECT x.key, theta.label, sum(x.x * theta.lp) AS ll FROM {_weights('items')} x JOIN theta ON x.term = theta.term
+  GROUP BY x.key, theta.label),
+odds AS (SELECT i.key, i.clean_text,
+    sum(CASE WHEN c.label = 'ham' THEN 1.0 ELSE -1.0 END * (c.prior + coalesce(fit.ll, 0.0))) AS d
+  FROM items i CROSS JOIN classes c LEFT JOIN fit ON fit.key = i.key AND fit.label = c.label GROUP BY i.key, i.clean_text),
+p AS (SELECT key, clean_text, 1.0 / (1.0 + exp(d)) AS p FROM odds)
+SELECT key, clean_text, CASE WHEN clean_text = '' THEN false ELSE p >= 0.5 END AS is_spam,
+  CASE WHEN clean_text = '' THEN 0.0 ELSE round(p, 4) END AS spam_probability,
+  CASE WHEN clean_text = '' THEN 100.0 ELSE round(abs(p - 0.5) * 2.0 * 100.0, 2) END AS confidence_score FROM p)"""
+
+
+TURNS = f"(SELECT DISTINCT text AS key, {S.clean_text('text')} AS clean_text FROM conversations WHERE length(text) >= 1)"
+LEMMATISED = f"({ORACLE['messages_lemmatised']})"
+
+ORACLE["train_score_nb_tfidf"] = f"""SELECT n.key AS doc_id, m.label, CASE WHEN n.is_spam THEN 'spam' ELSE 'ham' END AS y_pred,
+  n.is_spam, n.spam_probability, n.confidence_score
+FROM {naive_bayes(PREPARED, "(SELECT doc_id AS key, clean_text FROM s WHERE split = 'test')")} n JOIN {MESSAGES} m ON n.key = m.doc_id"""
+ORACLE["batch_analysis"] = f"""SELECT CAST(c.conv_id AS VARCHAR) || ':' || CAST(c.turn AS VARCHAR) AS id, n.is_spam, n.spam_probability,
+  n.confidence_score, 'Naive Bayes' AS model_name, count(*) OVER (PARTITION BY c.text) AS n_stored,
+  n.spam_probability AS stored_probability
+FROM conversations c JOIN {naive_bayes(PREPARED, TURNS)} n ON c.text = n.key"""
+ORACLE["stream_score_nb"] = f"""SELECT c.text AS email_text, CAST(n.is_spam AS INTEGER) AS is_spam, n.spam_probability AS probability,
+  n.confidence_score AS confidence, 'Naive Bayes' AS model_used, count(*) AS n
+FROM conversations c JOIN {naive_bayes(PREPARED, TURNS)} n ON c.text = n.key GROUP BY ALL"""
+ORACLE["score_lemmatised"] = f"""SELECT key AS doc_id, clean_text, is_spam, spam_probability, confidence_score
+FROM {naive_bayes(LEMMATISED, f"(SELECT doc_id AS key, lemma_text AS clean_text FROM ({ORACLE['lemmatize']}))")}"""
+ORACLE["model_registry"] = f"""SELECT g.model_name, g.vectorizer_name, g.grid_ordinal, t.ham_tested, t.spam_tested, true AS consistent
+FROM (SELECT m.name AS model_name, f.name AS vectorizer_name, CAST(f.i * 4 + m.i + 1 AS BIGINT) AS grid_ordinal
+      FROM (VALUES ('TF-IDF', 0), ('Word2Vec', 1)) f(name, i)
+      CROSS JOIN (VALUES ('Logistic Regression', 0), ('Naive Bayes', 1), ('Support Vector Machine', 2), ('Random Forest', 3)) m(name, i)) g
+CROSS JOIN (SELECT count_if(label = 'ham') AS ham_tested, count_if(label = 'spam') AS spam_tested
+            FROM {SPLIT} WHERE split = 'test') t"""
+ORACLE["pool_versions"] = f"""SELECT label, text, CAST((SELECT count(*) FROM {MESSAGES} WHERE {TOXIC_LABEL} IN ('spam', 'ham')) AS BIGINT) AS uploaded,
+  count(*) OVER () AS total, CAST(2 AS BIGINT) AS version FROM ({ORACLE['pool_append']})"""
+ORACLE["ingest_headered"] = f"""SELECT * FROM (
+  SELECT CASE doc_id % 4 WHEN 0 THEN 'spam' WHEN 1 THEN 'ham' WHEN 3 THEN 'spam' END AS label,
+    't ' || regexp_replace(CASE WHEN doc_id % 5 = 0 THEN coalesce(text, '') ELSE replace(coalesce(text, ''), ',', ';') END, '["\\\\\\r\\n\\t]', ' ', 'g') AS text FROM {MESSAGES})
+WHERE label IS NOT NULL AND NOT contains(text, ',')"""
+ORACLE["processed_reread"] = f"""SELECT label, text, clean_text FROM {MESSAGES_CLEAN} WHERE doc_id % 7 NOT IN (0, 1)"""
+ORACLE["batch_file"] = """SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS id,
+  turn % 5 NOT IN (3, 4) AND length(coalesce(text, '')) >= 1 AS accepted,
+  CASE WHEN turn % 5 IN (3, 4) THEN '' ELSE coalesce(text, '') END AS text FROM conversations"""

@@ -11,13 +11,15 @@ batch from the checkpoint replaces its output instead of duplicating it.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 from pyspark.sql.streaming import StreamingQuery
 
 from missive.operators import history as H
-from missive.session import read_or_none
+from missive.session import materialise, read_or_none
 from missive.sources.history_store import HISTORY_SCHEMA, history_rows
 
 
@@ -42,18 +44,41 @@ def latest_per_key(path: str, spark: SparkSession, keys: list[str]) -> DataFrame
 # ST1
 # ---------------------------------------------------------------------------
 
+def _id_path(history_path: str, batch_id: int) -> str:
+    return f"{history_path.rstrip('/')}_last_ids/batch_{batch_id}"
+
+
+def _last_id(spark: SparkSession, history_path: str, batch_id: int) -> int:
+    """The last id before this batch; a history without a note of it is searched once."""
+    noted = read_or_none(lambda: spark.read.parquet(_id_path(history_path, batch_id - 1)))
+    if noted is not None:
+        return int(noted.first()["last"])
+    prior = read_or_none(lambda: spark.read.parquet(history_path))
+    last = prior.filter(F.col("batch_id") < batch_id).agg(F.max("id")).first()[0] if prior is not None else None
+    return int(last or 0)
+
+
 def score_stream(messages: DataFrame, classifier, history_path: str, checkpoint: str,
                  text_col: str = "text", available_now: bool = True) -> StreamingQuery:
     """Score each micro-batch with the active classifier and append it to the
-    history (ids after the rows of earlier batches; replay-safe)."""
+    history (ids after the rows of earlier batches; replay-safe).
+
+    The last id of each batch is kept beside the history, so that a batch reads
+    one row to go on from, not the whole history. Latency is the scoring
+    write's time per row."""
     spark = messages.sparkSession
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        prior = read_or_none(lambda: spark.read.parquet(history_path))
-        last = prior.filter(F.col("batch_id") < batch_id).agg(F.max("id")).first()[0] if prior is not None else None
-        start = int(last or 0) + 1
-        scored = classifier.score(batch, text_col)
-        _write_batch_partition(history_rows(scored, text_col, start, 0.0), history_path, batch_id)
+        before = _last_id(spark, history_path, batch_id)
+        began = time.time()
+        scored = materialise(classifier.score(batch, text_col).select(
+            text_col, "is_spam", "spam_probability", "confidence_score", "model_name", "vectorizer_name"), "stream-scored")
+        taken = (time.time() - began) * 1000.0
+        n = scored.count()
+        rows = history_rows(scored, text_col, before + 1, round(taken / n, 2) if n else 0.0)
+        _write_batch_partition(rows, history_path, batch_id)
+        spark.createDataFrame([(before + n,)], "last long").coalesce(1).write.mode("overwrite") \
+            .parquet(_id_path(history_path, batch_id))
 
     writer = messages.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")

@@ -112,3 +112,24 @@ def test_load_or_train_trains_once(spark, tmp_path):
     assert (clf.model_name, clf.vectorizer_name) == (ML.NB, ML.TFIDF)
     again = ML.load_or_train(spark, model_dir, None, grid=[(ML.TFIDF, ML.NB)])   # no training: labelled unused
     assert again.model_name == ML.NB
+
+
+def test_batch_keeps_input_order_and_time(spark, trained):
+    _, _, model_dir = trained
+    clf = ML.Classifier.load(spark, model_dir)
+    items = spark.createDataFrame([("z", "free cash prize"), ("a", "lunch meeting"), ("m", "the is a"), ("b", "cash win")],
+                                  "id string, text string")
+    preds, _ = ML.analyze_batch(spark, clf, items)
+    rows = preds.orderBy("position").collect()
+    assert [r["id"] for r in rows] == ["z", "a", "m", "b"] and [r["position"] for r in rows] == [1, 2, 3, 4]
+    assert rows[2]["prediction_time_ms"] == 0.0 and rows[0]["prediction_time_ms"] > 0.0
+
+
+def test_lemmas_are_stored_and_used_in_scoring(spark, tmp_path):
+    model_dir = str(tmp_path / "lemma-model")
+    lemmas = spark.createDataFrame([("prizes", "prize"), ("meetings", "meeting")], "token string, lemma string")
+    clf = ML.load_or_train(spark, model_dir, _labelled(spark, 60), [(ML.TFIDF, ML.NB)], lemmas)
+    items = spark.createDataFrame([("free prizes",), ("free prize",), (None,)], "text string")
+    got = {r["text"]: (r["clean_text"], r["spam_probability"]) for r in clf.score(items).collect()}
+    assert got["free prizes"] == got["free prize"] and got["free prizes"][0] == "free prize"
+    assert got[None][0] == ""
