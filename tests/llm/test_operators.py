@@ -246,6 +246,32 @@ def test_license_scan(spark):
         assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(",")))
 
 
+def test_license_notices_and_later_parts(spark):
+    import pathlib
+    whole = lambda name: (pathlib.Path(licenses.__file__).parent / "license_texts" / f"{name}.txt").read_text().split()
+    texts = [("Licensed under the Apache License, Version 2.0.", "apache-2.0"), ("Released under the MIT License.", "mit"),
+             ("SPDX-License-Identifier: BSD-3-Clause", "bsd"), ("Licensed under CC BY-NC 4.0.", "cc-by-nc"),
+             ("It is under the GNU GPL, version 2", "gpl"), (" ".join(whole("mit")[-78:]), "mit"),  # the disclaimer alone
+             ("foo bar " + " ".join(whole("apache-2.0")[600:760]) + " baz", "apache-2.0"),
+             (" ".join(whole("mpl-2.0")[1000:1150]), "mpl-2.0"), (" ".join(whole("gpl-3.0")[-400:-250]), "gpl"),
+             ("the mit press; a license of apache county, version 2.0 of the licence", ""), (" ".join(whole("gpl-2.0")[900:920]), "")]
+    got = {r.doc_id: r for r in licenses.scan_licenses(docs_frame(spark, [(i, t, "en", "a") for i, (t, _) in enumerate(texts)])).collect()}
+    for i, (t, want) in enumerate(texts):
+        found = set(filter(None, got[i].labels.split(",")))
+        assert (want in found) if want else not found, (t, found)
+
+
+def test_license_lines_of_the_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lines = {"apache-2.0": "Licensed under the Apache License, Version 2.0", "mit": "Released under the MIT License"}
+    rows = [(i, r.text) for i, r in enumerate(docs.select("text").collect())]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert any(line in (t or "") for line in lines.values() for _, t in rows)
+    for r in got:
+        for label, line in lines.items():
+            assert (label in r.labels.split(",")) == (line in (rows[r.doc_id][1] or "")), r
+
+
 # ---- operator 6
 
 def brute_stats(t):
