@@ -4,8 +4,9 @@ Every text gives base statistics (words, symbols, repeated lines and
 three-word windows) and from them a vector of four transformed statistics. Per
 language and source the minimum-covariance-determinant estimate (centre and
 covariance of the ``KEEP`` of rows that lie closest together) is found by
-concentration steps: rows are ranked by Mahalanobis distance under the
-current estimate, and the next estimate is made from the nearest rows. A step is one
+concentration steps from medians and median deviations: rows are ranked by
+Mahalanobis distance under the current estimate, and the next estimate is made
+from the nearest rows, until it is stable. A step is one
 aggregation: counts, sums and products by group and distance class
 (logarithmic, ``CLASSES`` at most for a group), so no group meets in one task
 and a group of any size shuffles the same few rows. Estimates are one narrow
@@ -31,13 +32,19 @@ from missive.llm.common import SPACE, WORD, bounded, words
 from missive.session import materialise
 
 #: Share of a group's rows that the estimate is made from.
-KEEP = 0.75
+KEEP = 0.5
 #: Rejection bound for the squared distance (4 degrees of freedom; the chi-squared tail is 1e-9).
 CUTOFF = 48.0
 #: Median of chi-squared with 4 degrees of freedom, which scales the estimate (fixed value).
 CHI2_MEDIAN = 3.3567
 MIN_GROUP = 50
-STEPS = 8
+#: Steps end when no centre or factor of any group moves by more than this share of its least spread, at the latest after ``STEPS``.
+STABLE = 0.001
+STEPS = 40
+#: Median of the absolute deviations of a normal law, as a share of its standard deviation (fixed value).
+MAD_SHARE = 0.6745
+#: Classes per unit of asinh(value / least spread), by which medians are found.
+PER_UNIT = 64
 #: Distance classes per doubling of the squared distance, and the least and largest exponent.
 PER_OCTAVE, LOW, HIGH = 12, -7, 13
 CLASSES = PER_OCTAVE * (HIGH - LOW)
@@ -162,15 +169,50 @@ def _running(classes: DataFrame, share: float) -> DataFrame:
             .withColumn("inside", F.col("upto") - F.col("n") < F.col("all") * F.lit(share)))
 
 
+def _medians(rows: DataFrame, values: dict[str, Column], names: dict[str, str]) -> DataFrame:
+    """Per (glang, gsource) the median of each value as its class' middle: a histogram, so no group meets in one task."""
+    scaled = {x: F.asinh(v / F.lit(FLOOR[x])) * F.lit(float(PER_UNIT)) for x, v in values.items()}
+    stat = F.explode(F.array(*[F.struct(F.lit(x).alias("stat"), F.floor(v).cast("int").alias("class")) for x, v in scaled.items()]))
+    counts = (rows.select("glang", "gsource", stat.alias("s")).groupBy("glang", "gsource", "s.stat", "s.class")
+              .agg(F.count(F.lit(1)).alias("n")))
+    group = Window.partitionBy("glang", "gsource", "stat")
+    upto = F.sum("n").over(group.orderBy("class").rowsBetween(Window.unboundedPreceding, 0))
+    middle = (counts.withColumn("upto", upto).withColumn("all", F.sum("n").over(group)).filter(F.col("upto") * 2 >= F.col("all"))
+              .groupBy("glang", "gsource", "stat").agg(F.min("class").alias("class")))
+    return middle.groupBy("glang", "gsource").agg(*[
+        F.max(F.when(F.col("stat") == x, F.sinh((F.col("class") + 0.5) / PER_UNIT) * F.lit(FLOOR[x]))).alias(names[x])
+        for x in STATS])
+
+
+def _start(rows: DataFrame) -> DataFrame:
+    """First estimate: medians, and median absolute deviations on the diagonal, which a clump under half of a group bounds."""
+    centre = bounded(_medians(rows, {x: F.col(x) for x in STATS}, {x: f"m_{x}" for x in STATS}), "llm-mcd-estimate")
+    apart = rows.join(centre, ["glang", "gsource"])
+    mad = _medians(apart, {x: F.abs(F.col(x) - F.col(f"m_{x}")) for x in STATS}, {x: f"d_{x}" for x in STATS})
+    both = centre.join(mad, ["glang", "gsource"])
+    spread = lambda x: F.sqrt(F.pow(F.col(f"d_{x}") / MAD_SHARE, F.lit(2.0)) + F.lit(FLOOR[x] ** 2))
+    return both.select("glang", "gsource", *[f"m_{x}" for x in STATS],
+                       *[(spread(STATS[i]) if i == j else F.lit(0.0)).alias(f"l_{i}{j}") for i, j in _pairs()])
+
+
+def _moved(old: DataFrame, new: DataFrame) -> float:
+    """The largest change of any group's centre or factor, in least spreads."""
+    both = old.alias("o").join(new.alias("n"), ["glang", "gsource"])
+    names = [(f"m_{x}", FLOOR[x]) for x in STATS] + [(f"l_{i}{j}", FLOOR[STATS[i]]) for i, j in _pairs()]
+    change = F.greatest(*[F.abs(F.col(f"o.{c}") - F.col(f"n.{c}")) / F.lit(least) for c, least in names])
+    return both.agg(F.max(change)).first()[0] or 0.0
+
+
 def mcd(rows: DataFrame) -> DataFrame:
     """Robust centre and scaled Cholesky factor per (glang, gsource); ``rows`` has the statistics ``STATS``."""
-    sums = rows.groupBy("glang", "gsource").agg(*_moments())
-    est = bounded(_factor(sums), "llm-mcd-estimate")
+    est = bounded(_start(rows), "llm-mcd-estimate")
     again = [F.sum("n").alias("n")] + [F.sum(f"s_{x}").alias(f"s_{x}") for x in STATS]
     again += [F.sum(f"p_{i}{j}").alias(f"p_{i}{j}") for i, j in _pairs()]
     for _ in range(STEPS):
         near = _running(_by_class(rows, est), KEEP).filter("inside")
-        est = bounded(_factor(near.groupBy("glang", "gsource").agg(*again)), "llm-mcd-estimate")
+        last, est = est, bounded(_factor(near.groupBy("glang", "gsource").agg(*again)), "llm-mcd-estimate")
+        if _moved(last, est) <= STABLE:
+            break
     # the estimate of the nearest rows is too narrow: scale it so that the median distance is that of a normal law
     middle = (_running(_by_class(rows, est).select("glang", "gsource", "class", "n"), 0.5).filter("inside")
               .groupBy("glang", "gsource").agg(F.max("class").alias("class")))

@@ -306,6 +306,19 @@ def test_mcd_resists_outliers(spark):
     assert (d2[-150:] > outliers.CUTOFF).all() and (d2[:800] > outliers.CUTOFF).mean() < 0.01
 
 
+def test_mcd_resists_groups_of_copies(spark):
+    rng = np.random.default_rng(4)
+    copy, rows = [5.5, 6.0, 0.6, 0.1], []
+    for share in (0.2, 1 / 3, 0.4):
+        good = rng.normal([5.5, 4.7, 0.02, 0.1], [0.5, 0.3, 0.03, 0.1], (600, 4))
+        rows += [("g", f"{share:.2f}", *map(float, x)) for x in [*good, *[copy] * round(600 * share / (1 - share))]]
+    df = spark.createDataFrame(rows, "glang string, gsource string, x0 double, x1 double, x2 double, x3 double")
+    judged = outliers._distance(df, outliers.mcd(df)).select("gsource", "x0", "x2", "d2").collect()
+    assert len(judged) == len(rows)
+    for r in judged:
+        assert (r.d2 > outliers.CUTOFF) == ((r.x0, r.x2) == (copy[0], copy[2])), r
+
+
 # ---- operator 5
 
 @pytest.fixture(scope="module")
