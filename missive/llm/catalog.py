@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from missive.llm import bpe, chat, exact, jaccard, langid, licenses, mixing, outliers, quality, secrets
+from missive.llm import (bpe, centroids, chat, exact, jaccard, langid, lexical, licenses, mixing, outliers, quality, secrets,
+                         warc)
 from missive.llm.common import read
 
 #: A conversation whose texts consist of control strings (fixed value).
@@ -58,6 +59,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(read(spark, sf_dir, "documents")).drop("times")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build_index(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_inertia(*centroids.centroid_clusters(read(spark, sf_dir, "embeddings")))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_digest(spark, warc.archive_pages(read(spark, sf_dir, "pages")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -65,9 +78,79 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_chat_formatting, op2_license_scan, op3_language_id, op4_quality_classifier, op5_byte_bpe, op6_quality_rules,
-    op7_secret_scan, op8_exact_dedup, op9_ngram_jaccard, op10_mixing, pipeline)}
+    op7_secret_scan, op8_exact_dedup, op9_ngram_jaccard, op10_mixing, op11_lexical_search, op12_centroid_clustering,
+    op13_warc, pipeline)}
+
+
+
+def _clustering_sql(dims: int = 64, k: int = 16, rounds: int = 3) -> str:
+    """SQL that computes all distances anew in each round."""
+    steps = [f"""
+kept AS (
+  SELECT vec_id, row_number() OVER () AS row, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v
+  FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: isfinite(x::DOUBLE))) = {dims}),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS k, v
+  FROM (SELECT v, sha256('1:' || coalesce(vec_id::VARCHAR, '')) AS h FROM kept ORDER BY h, v LIMIT {k}))"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS (
+  SELECT row, any_value(vec_id) AS vec_id, any_value(v) AS v, min((d, k)) AS best
+  FROM (SELECT n.row, n.vec_id, n.v, c.k, list_sum([(p[1] - p[2]) * (p[1] - p[2]) FOR p IN list_zip(n.v, c.v)])::BIGINT AS d
+        FROM kept n CROSS JOIN c{r} c) GROUP BY row)""")
+        if r < rounds:
+            steps.append(f"""
+m{r} AS (
+  SELECT k, list(m ORDER BY i) AS v
+  FROM (SELECT best[2] AS k, i, floor(sum(v[i])::DOUBLE / count(*))::BIGINT AS m FROM a{r}, range(1, {dims + 1}) t(i) GROUP BY 1, 2)
+  GROUP BY k),
+c{r + 1} AS (SELECT c.k, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN m{r} m ON c.k = m.k)""")
+    return f"""
+WITH {','.join(steps)}
+SELECT a.vec_id, a.best[2]::INTEGER AS cluster, a.best[1] AS distance, sum(a.best[1]) OVER (PARTITION BY a.best[2])::BIGINT AS cluster_inertia,
+       sum(a.best[1]) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON a.best[2] = c.k"""
+
 
 ORACLE = {
+    "op11_lexical_search": r"""
+WITH terms AS (
+  SELECT row, doc_id, unnest(words) AS term, len(words)::BIGINT AS n
+  FROM (SELECT row_number() OVER () AS row, doc_id,
+               regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents)),
+held AS (SELECT row, any_value(doc_id) AS doc_id, term, any_value(n) AS n, count(*)::BIGINT AS tf FROM terms GROUP BY row, term),
+whole AS (SELECT count(DISTINCT row)::BIGINT AS docs, count(*)::BIGINT AS words FROM terms),
+weight AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+           FROM held, whole GROUP BY term),
+asked AS (
+  SELECT item, any_value(item_id) AS item_id, term, count(*)::BIGINT AS times
+  FROM (SELECT item, item_id,
+               unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM (SELECT row_number() OVER () AS item, item_id, text FROM benchmark)) GROUP BY item, term),
+scored AS (
+  SELECT item, any_value(item_id) AS item_id, row, any_value(doc_id) AS doc_id,
+         sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * docs) // words)))))::BIGINT AS score
+  FROM asked JOIN held USING (term) JOIN weight USING (term), whole GROUP BY item, row)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST, row) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 10""",
+    "op12_centroid_clustering": _clustering_sql(),
+    "op13_warc": r"""
+WITH page AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS sha, row_number() OVER () AS row, url
+  FROM pages),
+bits AS (
+  SELECT *, array_to_string([lpad(bin(('0x' || c)::INTEGER), 4, '0') FOR c IN string_split(sha, '')], '') AS b,
+         first_value(row) OVER g AS head, first_value(page_id) OVER g AS head_id
+  FROM page WINDOW g AS (PARTITION BY sha, payload_bytes ORDER BY page_id DESC NULLS LAST, url DESC NULLS LAST, row))
+SELECT page_id, payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ('0b' || substr(b, (i * 5 + 1)::INTEGER, 5))::INTEGER + 1, 1)
+                        FOR i IN range(0, 32)], '') AS payload_digest,
+       CASE WHEN row = head THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN row = head THEN NULL ELSE head_id END AS refers_to
+FROM bits""",
     "op1_chat_formatting": r"""
 WITH said AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -25,6 +25,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def quoted(name: str) -> Column:
+    """A column by its exact name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def lower_ascii(col: Column) -> Column:
     """Lower-case A-Z only; other letters stay."""
     return F.translate(col, UPPER, LOWER)
