@@ -35,6 +35,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
-from missive.llm.common import BROADCAST_ROWS, LOWER, UPPER, quoted, small_batches
+from missive.llm.common import BROADCAST_ROWS, LOWER, UPPER, bitmaps_of, in_bitmaps, quoted, small_batches
 from missive.session import materialise
 
 #: A term is a maximal run of ASCII letters and digits and of all characters beyond ASCII (fixed value).
@@ -88,10 +89,12 @@ def count_terms(rows: DataFrame, key: str, text: str) -> DataFrame:
     def count(batches):
         for batch in batches:
             counts = [_terms_of(t) for t in batch.column(1).to_pylist()]
+            offsets = pa.array(np.cumsum([0, *map(len, counts)]), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([c.total() for c in counts], pa.int64()),
-                 pa.array([list(c) for c in counts], pa.list_(pa.string())),
-                 pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))], ["key", "n", "terms", "tfs"])
+                 pa.ListArray.from_arrays(offsets, pa.array(list(chain.from_iterable(counts)), pa.string())),
+                 pa.ListArray.from_arrays(offsets, pa.array(list(chain.from_iterable(c.values() for c in counts)), pa.int64()))],
+                ["key", "n", "terms", "tfs"])
 
     return rows.select(quoted(key), quoted(text)).mapInArrow(count, schema)
 
@@ -228,12 +231,19 @@ def _exact(index: Index, weights, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), batch.column(0).take(at), batch.column(1).take(at),
                                               pa.array(out_s, pa.int64())], ["query", "row", "doc_id", "score"])
 
+    pairs = materialise(pairs.select("query", "row"), "lexical-pairs")
     asked = pairs.groupBy("row").agg(F.collect_list("query").alias("asked"))   # a row's list: one block's queries at most
+    if pairs.count() <= BROADCAST_ROWS:
+        found = index.forward.join(F.broadcast(asked), "row")
+    else:   # only documents that may be asked for are shuffled
+        asked = materialise(asked, "lexical-asked")
+        h = F.xxhash64("row").alias("h")
+        bitmaps, bits = bitmaps_of(asked.select(h), asked.count())
+        found = in_bitmaps(index.forward.select("*", h), "h", bitmaps, bits).join(asked, "row")
     schema = T_.StructType([T_.StructField("query", T_.LongType()), T_.StructField("row", T_.LongType()),
                             T_.StructField("doc_id", index.forward.schema["doc_id"].dataType),
                             T_.StructField("score", T_.LongType())])
-    return (index.forward.join(asked, "row").select("row", "doc_id", "n", "terms", "tfs", "asked")
-            .mapInArrow(score, schema))
+    return found.select("row", "doc_id", "n", "terms", "tfs", "asked").mapInArrow(score, schema)
 
 
 def _ranked(scored: DataFrame, k: int) -> DataFrame:
