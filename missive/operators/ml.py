@@ -1,7 +1,7 @@
 """Training grid, selection, persistence and scoring.
 
-Grid: {TF-IDF, Word2Vec} x {logistic regression, naive Bayes, linear SVM with
-Platt scaling, random forest}, fitted on the training split only, evaluated on
+Grid: {TF-IDF, Word2Vec} x {logistic regression, naive Bayes, RBF-kernel SVM
+with Platt scaling, random forest}, fitted on the training split only, evaluated on
 the test split, best by F1 (first in grid order on ties).
 
 Every model yields a spam probability ``p``; the class is ``p >= 0.5`` in
@@ -30,6 +30,7 @@ from missive.operators import features as FE
 from missive.operators import split as SP
 from missive.operators import stats
 from missive.sources import ingest
+from missive.operators.kernel import SIZE as FOURIER_SIZE, FourierMap
 from missive.operators.score import postprocess
 from missive.session import materialise, scratch_path, read_or_none
 
@@ -63,7 +64,7 @@ MAX_ITERATIONS = 1000
 FOREST_DEPTH = 30
 
 
-def _estimator(model_name: str, vectorizer_name: str, n_train: int):
+def _estimator(model_name: str, vectorizer_name: str, n_train: float):
     reg = 1.0 / max(n_train, 1)   # C = 1 on a sum of balanced weights that totals n_train
     # tol 1e-4 as in the grid's learner defaults; every L-BFGS iteration is a full pass (one Spark job)
     if model_name == LR:
@@ -81,36 +82,63 @@ def _estimator(model_name: str, vectorizer_name: str, n_train: int):
     raise ValueError(f"unknown model: {model_name}")
 
 
-def _margin(df: DataFrame, svm: LinearSVCModel) -> DataFrame:
-    scored = svm.setRawPredictionCol("_raw").setPredictionCol("_svm_pred").transform(df)
+def _margin(df: DataFrame, svm: LinearSVCModel, features_col: str = "features") -> DataFrame:
+    scored = svm.setFeaturesCol(features_col).setRawPredictionCol("_raw").setPredictionCol("_svm_pred").transform(df)
     return scored.withColumn("margin", vector_to_array(F.col("_raw")).getItem(1)).drop("_raw", "_svm_pred")
 
 
+#: Kernels of the SVM; the grid's is the RBF kernel.
+KERNELS = ("rbf", "linear")
+
+
 @dataclass
 class PlattSVM:
-    """Linear SVM plus a 1-feature logistic calibration fitted on out-of-fold margins."""
+    """An SVM plus a 1-feature logistic calibration fitted on out-of-fold margins.
+
+    With a ``feature_map`` (M6, RBF kernel) the linear SVM works on its random
+    Fourier features, without one on the features themselves."""
     svm: LinearSVCModel
     calibrator: LogisticRegressionModel
+    feature_map: FourierMap | None = None
 
     @classmethod
-    def fit(cls, train: DataFrame, n_train: int) -> "PlattSVM":
+    def fit(cls, train: DataFrame, kernel: str = "rbf", size: int = FOURIER_SIZE, gamma: float | None = None) -> "PlattSVM":
         """Five out-of-fold SVMs give unbiased margins for the calibrator; the
         final SVM uses all rows. The six fits are independent and run as
-        concurrent Spark jobs from a small driver thread pool."""
-        folded = train.withColumn("_fold", F.pmod(F.xxhash64("doc_id"), F.lit(PLATT_FOLDS)))
-        parts = [folded.filter(F.col("_fold") != k) for k in range(PLATT_FOLDS)] + [train]
+        concurrent Spark jobs from a small driver thread pool.
+
+        Rows are dealt to folds by a hash of their features, so equal rows
+        share a fold and no key column is needed. The mapped rows are written
+        once: every pass of all six fits reads them."""
+        if kernel not in KERNELS:
+            raise ValueError(f"unknown kernel {kernel!r}; expected one of {KERNELS}")
+        feature_map = FourierMap.fit(train, gamma=gamma, size=size) if kernel == "rbf" else None
+        folded = train.select("y", "weight", "features", F.pmod(F.xxhash64(F.unwrap_udt("features")), F.lit(PLATT_FOLDS)).alias("_fold"))
+        if feature_map is not None:
+            folded = feature_map.transform(folded)
+        folded = materialise(folded, "svm-features")
+        sums = folded.groupBy("_fold").agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n")).collect()   # one row a fold
+        mass = {r["_fold"]: r["w"] for r in sums}
+        folded = sized_for_iteration(folded, sum(r["n"] for r in sums)).persist(StorageLevel.MEMORY_AND_DISK)
+        whole = sum(mass.values())
+        used = [k for k in sorted(mass) if 0 < mass[k] < whole]   # a fold that holds all rows leaves none to train on
+        parts = [(folded.filter(F.col("_fold") != k), whole - mass[k]) for k in used] + [(folded, whole)]
         with ThreadPoolExecutor(max_workers=len(parts)) as pool:
-            fitted = list(pool.map(lambda d: _estimator(SVM, TFIDF, n_train).fit(d), parts))
+            fitted = list(pool.map(lambda p: _estimator(SVM, TFIDF, p[1]).fit(p[0]), parts))
         oof = None
-        for k in range(PLATT_FOLDS):
-            part = _margin(folded.filter(F.col("_fold") == k), fitted[k]).select("y", "margin")
+        for k, svm in zip(used or sorted(mass), fitted):
+            part = _margin(folded.filter(F.col("_fold") == k), svm).select("y", "margin")
             oof = part if oof is None else oof.unionByName(part)
-        cal_in = VectorAssembler(inputCols=["margin"], outputCol="mfeat").transform(oof)
+        cal_in = VectorAssembler(inputCols=["margin"], outputCol="mfeat").transform(materialise(oof, "svm-margins"))
         cal = LogisticRegression(featuresCol="mfeat", labelCol="y", maxIter=MAX_ITERATIONS, regParam=0.0).fit(cal_in)
-        return cls(fitted[-1], cal)
+        folded.unpersist()
+        return cls(fitted[-1], cal, feature_map)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        m = VectorAssembler(inputCols=["margin"], outputCol="mfeat").transform(_margin(df, self.svm))
+        mapped = df if self.feature_map is None else self.feature_map.transform(df, out_col="_fourier")
+        col = "features" if self.feature_map is None else "_fourier"
+        scored = _margin(mapped, self.svm, col).drop("_fourier")
+        m = VectorAssembler(inputCols=["margin"], outputCol="mfeat").transform(scored)
         out = self.calibrator.setProbabilityCol("probability").setPredictionCol("_cal_pred") \
             .setRawPredictionCol("_cal_raw").transform(m)
         return out.drop("mfeat", "margin", "_cal_pred", "_cal_raw")
@@ -118,15 +146,18 @@ class PlattSVM:
     def save(self, path: str) -> None:
         self.svm.write().overwrite().save(f"{path}/svm")
         self.calibrator.write().overwrite().save(f"{path}/calibrator")
+        if self.feature_map is not None:
+            self.feature_map.save(SparkSession.getActiveSession(), f"{path}/feature_map")
 
     @classmethod
     def load(cls, path: str) -> "PlattSVM":
-        return cls(LinearSVCModel.load(f"{path}/svm"), LogisticRegressionModel.load(f"{path}/calibrator"))
+        return cls(LinearSVCModel.load(f"{path}/svm"), LogisticRegressionModel.load(f"{path}/calibrator"),
+                   FourierMap.load(SparkSession.getActiveSession(), f"{path}/feature_map"))
 
 
 def fit_model(model_name: str, vectorizer_name: str, train: DataFrame, n_train: int):
     if model_name == SVM:
-        return PlattSVM.fit(train, n_train)
+        return PlattSVM.fit(train)
     return _estimator(model_name, vectorizer_name, n_train).fit(train)
 
 
