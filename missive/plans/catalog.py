@@ -455,6 +455,19 @@ def _one_field(text):
     return F.concat(F.lit("t "), F.regexp_replace(F.coalesce(text, F.lit("")), r"[\"\\\r\n\t]", " "))
 
 
+def q_ingest_quoted(spark, sf_dir):
+    """Pages as a headered CSV whose texts hold quotes, separators and line breaks, read back by splits."""
+    from missive.session import scratch_path
+    from missive.sources import ingest
+    pages = tables.table(spark, sf_dir, "pages")
+    text = F.concat(F.lit("\""), F.coalesce("url", F.lit("")), F.lit("\",\n\n\""), F.coalesce("html", F.lit("")), F.lit("\"\n"))
+    rows = pages.select(F.when(F.col("page_id") % 3 == 0, "spam").when(F.col("page_id") % 3 == 1, "ham").alias("label"), text.alias("message"))
+    path = scratch_path(spark, "quoted-csv")
+    (rows.write.option("header", True).option("quote", '"').option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    return ingest.ingest_labelled(spark, path, "auto")
+
+
 def q_processed_reread(spark, sf_dir):
     """The processed set written and read again; rows whose clean text is empty or null go."""
     from missive.session import scratch_path
@@ -549,6 +562,7 @@ QUERIES: dict[str, Query] = {
     "model_registry": q_model_registry,
     "pool_versions": q_pool_versions,
     "ingest_headered": q_ingest_headered,
+    "ingest_quoted": q_ingest_quoted,
     "processed_reread": q_processed_reread,
     "batch_file": q_batch_file,
 }

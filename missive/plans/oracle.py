@@ -287,3 +287,6 @@ ORACLE["processed_reread"] = f"""SELECT label, text, clean_text FROM {MESSAGES_C
 ORACLE["batch_file"] = """SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS id,
   turn % 5 NOT IN (3, 4) AND length(coalesce(text, '')) >= 1 AS accepted,
   CASE WHEN turn % 5 IN (3, 4) THEN '' ELSE coalesce(text, '') END AS text FROM conversations"""
+ORACLE["ingest_quoted"] = """SELECT CASE page_id % 3 WHEN 0 THEN 'spam' ELSE 'ham' END AS label,
+  '"' || coalesce(url, '') || '",' || chr(10) || chr(10) || '"' || coalesce(html, '') || '"' || chr(10) AS text
+FROM pages WHERE page_id % 3 IN (0, 1)"""
