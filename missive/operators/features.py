@@ -213,10 +213,11 @@ def fit_word2vec(train: DataFrame, clean_col: str = "clean_text", vector_size: i
 MAX_BROADCAST_VOCAB = 1_000_000   # words; above this the vocabulary is joined, not shipped to every task
 
 
-def mean_vectors(model: Word2VecModel, df: DataFrame, clean_col: str = "clean_text",
+def mean_vectors(model, df: DataFrame, clean_col: str = "clean_text",
                  out_col: str = "features", key_col: str | None = None) -> DataFrame:
     """F7 + F8: mean of the vectors of in-vocabulary words; zero vector if none.
 
+    ``model`` is a ``Word2VecModel`` or a table of vectors (``wordvec.WordVectors``).
     Up to ``MAX_BROADCAST_VOCAB`` words the pooling is map-only: Spark's
     transform divides by *all* words, so the known-word count from a
     vocabulary counter rescales the mean in-row. A larger vocabulary is not
@@ -227,8 +228,8 @@ def mean_vectors(model: Word2VecModel, df: DataFrame, clean_col: str = "clean_te
     """
     size = model.getVectorSize()
     vectors = model.getVectors()
-    n_words = vectors.count()   # the model's vocabulary size (already driver-side in the model)
-    if n_words > MAX_BROADCAST_VOCAB:
+    # a table of vectors is always joined; of a Word2Vec model the vocabulary is already on the driver
+    if not isinstance(model, Word2VecModel) or vectors.count() > MAX_BROADCAST_VOCAB:
         if key_col is None:
             numbered = materialise(df.withColumn("_row", F.monotonically_increasing_id()), "w2v-rows")
             return _mean_vectors_by_join(vectors, numbered, clean_col, out_col, "_row", size).drop("_row")
@@ -254,7 +255,9 @@ def _mean_vectors_by_join(vectors: DataFrame, df: DataFrame, clean_col: str, out
              .withColumn("_salt", F.pmod(F.xxhash64(key_col, "_pos"), F.lit(salts))))
     replicated = vectors.select("word", "vector", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
     means = (words.join(replicated, ["word", "_salt"])
-             .groupBy(key_col).agg(Summarizer.mean(F.col("vector")).alias("_mean")))
+             .groupBy(key_col).agg(Summarizer.mean(F.col("vector")).alias("_sum")))
+    # a shuffled sum's last bits depend on the order of its terms: rounded, equal rows have equal vectors
+    means = means.select(key_col, array_to_vector(F.transform(vector_to_array("_sum"), lambda x: F.round(x, 12))).alias("_mean"))
     zero = array_to_vector(F.array_repeat(F.lit(0.0), size))
     return (df.join(means, key_col, "left")
             .withColumn(out_col, F.coalesce(F.col("_mean"), zero)).drop("_mean"))

@@ -29,6 +29,7 @@ from missive.operators import evaluate as EV
 from missive.operators import features as FE
 from missive.operators import split as SP
 from missive.operators import stats
+from missive.operators import wordvec as WV
 from missive.sources import ingest
 from missive.operators.kernel import SIZE as FOURIER_SIZE, FourierMap
 from missive.operators.score import postprocess
@@ -100,6 +101,7 @@ class PlattSVM:
     svm: LinearSVCModel
     calibrator: LogisticRegressionModel
     feature_map: FourierMap | None = None
+    margins: DataFrame | None = None   # of a fresh fit: y and out-of-fold margin of the rows that the calibrator saw
 
     @classmethod
     def fit(cls, train: DataFrame, kernel: str = "rbf", size: int = FOURIER_SIZE, gamma: float | None = None) -> "PlattSVM":
@@ -129,10 +131,11 @@ class PlattSVM:
         for k, svm in zip(used or sorted(mass), fitted):
             part = _margin(folded.filter(F.col("_fold") == k), svm).select("y", "margin")
             oof = part if oof is None else oof.unionByName(part)
-        cal_in = VectorAssembler(inputCols=["margin"], outputCol="mfeat").transform(materialise(oof, "svm-margins"))
+        oof = materialise(oof, "svm-margins")
+        cal_in = VectorAssembler(inputCols=["margin"], outputCol="mfeat").transform(oof)
         cal = LogisticRegression(featuresCol="mfeat", labelCol="y", maxIter=MAX_ITERATIONS, regParam=0.0).fit(cal_in)
         folded.unpersist()
-        return cls(fitted[-1], cal, feature_map)
+        return cls(fitted[-1], cal, feature_map, oof)
 
     def transform(self, df: DataFrame) -> DataFrame:
         mapped = df if self.feature_map is None else self.feature_map.transform(df, out_col="_fourier")
@@ -194,7 +197,7 @@ def save_model(model, path: str) -> None:
 @dataclass
 class Vectorisers:
     tfidf: FE.TfidfModel | None = None
-    w2v: Word2VecModel | None = None
+    w2v: Word2VecModel | WV.WordVectors | None = None
 
     def features(self, name: str, df: DataFrame, path: str | None = None) -> DataFrame:
         spark = df.sparkSession
@@ -206,10 +209,14 @@ class Vectorisers:
         return spark.read.parquet(path)
 
 
-def fit_vectorisers(train: DataFrame, names=(TFIDF, W2V)) -> Vectorisers:
+#: How word vectors are fitted: Spark's skip-gram Word2Vec, whose vocabulary lives on the driver, or as a table.
+WORD_VECTORS = {"word2vec": FE.fit_word2vec, "ppmi": WV.fit_word_vectors}
+
+
+def fit_vectorisers(train: DataFrame, names=(TFIDF, W2V), word_vectors: str = "word2vec") -> Vectorisers:
     """Both feature families are fitted on the training rows only; the two fits
     are independent and run as concurrent Spark jobs."""
-    fits = {TFIDF: FE.TfidfModel.fit, W2V: FE.fit_word2vec}
+    fits = {TFIDF: FE.TfidfModel.fit, W2V: WORD_VECTORS[word_vectors]}
     wanted = [n for n in (TFIDF, W2V) if n in names]
     with ThreadPoolExecutor(max_workers=max(1, len(wanted))) as pool:
         done = dict(zip(wanted, pool.map(lambda n: fits[n](train), wanted)))
@@ -246,13 +253,14 @@ def sized_for_iteration(df: DataFrame, n_rows: int) -> DataFrame:
 
 
 def train_grid(split_df: DataFrame, grid=GRID, model_dir: str | None = None,
-               lemmas: DataFrame | None = None) -> TrainResult:
-    """M9: fit and evaluate every grid model. ``lemmas`` is the map ``split_df`` was cleaned with; it is saved with the models."""
+               lemmas: DataFrame | None = None, word_vectors: str = "word2vec") -> TrainResult:
+    """M9: fit and evaluate every grid model. ``lemmas`` is the map ``split_df`` was cleaned with; it is saved with the models.
+    ``word_vectors`` ("ppmi" for large vocabularies) says how the Word2Vec family is fitted."""
     spark = split_df.sparkSession
     train = split_df.filter(F.col("split") == "train")
     n_train = train.count()
     vec_names = tuple(dict.fromkeys(v for v, _ in grid))
-    vecs = fit_vectorisers(train, vec_names)
+    vecs = fit_vectorisers(train, vec_names, word_vectors)
     result = TrainResult(metrics=None, vectorisers=vecs)
     rows = []
     for vec in vec_names:
@@ -291,7 +299,9 @@ def save_vectorisers(vecs: Vectorisers, model_dir: str) -> None:
     spark = SparkSession.getActiveSession()
     if vecs.tfidf is not None:
         vecs.tfidf.vocabulary_frame(spark).coalesce(1).write.mode("overwrite").parquet(f"{model_dir}/tfidf_vectorizer")
-    if vecs.w2v is not None:
+    if isinstance(vecs.w2v, WV.WordVectors):
+        vecs.w2v.save(f"{model_dir}/word_vectors")
+    elif vecs.w2v is not None:
         vecs.w2v.write().overwrite().save(f"{model_dir}/word2vec_model")
 
 
@@ -302,7 +312,8 @@ def load_vectorisers(model_dir: str, names=(TFIDF, W2V)) -> Vectorisers:
         rows = spark.read.parquet(f"{model_dir}/tfidf_vectorizer").orderBy("term_index").collect()  # <= 5000
         v.tfidf = FE.TfidfModel([r["term"] for r in rows], [r["idf"] for r in rows], 0)
     if W2V in names:
-        v.w2v = Word2VecModel.load(f"{model_dir}/word2vec_model")
+        table = read_or_none(lambda: WV.WordVectors.load(spark, f"{model_dir}/word_vectors"))
+        v.w2v = table or Word2VecModel.load(f"{model_dir}/word2vec_model")
     return v
 
 

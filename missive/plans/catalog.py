@@ -303,6 +303,85 @@ def q_word2vec_doc_vectors(spark, sf_dir):
     return vecs.features(ML.W2V, split_df).select("doc_id", "split", vector_to_array("features").alias("vector"))
 
 
+#: Gradients at fitted weights are at most this long (the learners stop at a relative gain of 1e-4, Platt's at 1e-6).
+GRADIENT_BOUND = 5e-3
+
+
+def q_learner_optimality(spark, sf_dir):
+    """M3, M8: is the gradient at the fitted weights of logistic regression and of Platt scaling within GRADIENT_BOUND?"""
+    from missive.operators import ml as ML
+    from missive.operators import optimality as OP
+    split_df = ML.prepare_split(_labelled(spark, sf_dir))
+    res = ML.train_grid(split_df, [(ML.TFIDF, ML.LR), (ML.TFIDF, ML.SVM)])
+    train = split_df.filter(F.col("split") == "train")
+    rows = SP.with_class_weight(train).select(F.col("doc_id").alias("key"), "y", "weight")
+    lr, tfidf = res.models[(ML.TFIDF, ML.LR)], res.vectorisers.tfidf
+    beta = spark.createDataFrame([(t, float(b)) for t, b in zip(tfidf.terms, lr.coefficients.toArray())], "term string, beta double")   # <= 5000
+    long = tfidf.weights_long(train.select(F.col("doc_id").alias("key"), "clean_text"), ["key"]).withColumnRenamed("weight", "x")
+    reg = 1.0 / train.count()
+    out = OP.logistic_gradient(long, rows, F.broadcast(beta), lr.intercept, reg).withColumn("learner", F.lit(ML.LR))
+    platt = res.models[(ML.TFIDF, ML.SVM)]
+    margins = platt.margins.withColumn("key", F.monotonically_increasing_id()).withColumn("weight", F.lit(1.0))
+    from missive.session import materialise
+    margins = materialise(margins, "platt-rows")
+    slope = spark.createDataFrame([("margin", float(platt.calibrator.coefficients[0]))], "term string, beta double")
+    out = out.unionByName(OP.logistic_gradient(margins.select("key", F.lit("margin").alias("term"), F.col("margin").alias("x")),
+                                               margins.select("key", "y", "weight"), slope, platt.calibrator.intercept, 0.0)
+                          .withColumn("learner", F.lit("Platt scaling")))
+    return out.select("learner", "n_rows", "n_terms", (F.col("gradient_norm") < GRADIENT_BOUND).alias("optimal"))
+
+
+def _order_messages(spark, sf_dir):
+    """Stand-in messages: the parts of an order as words, finished orders as spam."""
+    lines = tables.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("w"))
+    texts = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "w"))).alias("ws"))   # one order's lines
+    orders = tables.table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "spam").otherwise("ham").alias("label"))
+    return orders.join(texts, F.col("o_orderkey") == F.col("l_orderkey")).select(
+        F.col("o_orderkey").alias("doc_id"), "label", F.array_join("ws.w", " ").alias("clean_text"))
+
+
+def q_gaussian_nb_vectors(spark, sf_dir):
+    """Gaussian naive Bayes on means of stored word vectors; unknown words are skipped, rows without a known one are zero."""
+    from pyspark.ml.functions import array_to_vector
+    from missive.operators import ml as ML
+    from missive.operators.wordvec import WordVectors
+    stored = tables.table(spark, sf_dir, "embeddings").select(F.concat(F.lit("p"), F.col("vec_id").cast("string")).alias("word"),
+                                                             array_to_vector(F.col("embedding").cast("array<double>")).alias("vector"))
+    vecs = ML.Vectorisers(w2v=WordVectors(stored, 64))
+    rows = ML.target(vecs.features(ML.W2V, _order_messages(spark, sf_dir)))
+    model = ML.fit_model(ML.NB, ML.W2V, rows, 0)
+    scored = SC.postprocess(ML.spam_probability(model, rows), "p", "clean_text")
+    return scored.select("doc_id", "label", "is_spam", "spam_probability")
+
+
+def _train_words(spark, sf_dir):
+    train = _split_checkpointed(spark, sf_dir).filter(F.col("split") == "train")
+    return train.select(T.split_clean_text(F.col("clean_text")).alias("_words"))
+
+
+def q_word_pairs(spark, sf_dir):
+    """words of training messages within five places of each other, counted in both orders."""
+    from missive.operators import wordvec as WV
+    return WV.pair_counts(_train_words(spark, sf_dir), "_words")
+
+
+def q_word_ppmi(spark, sf_dir):
+    """the positive pointwise mutual information of those pairs."""
+    from missive.operators import wordvec as WV
+    from missive.session import materialise
+    return WV.ppmi(materialise(q_word_pairs(spark, sf_dir), "word-pairs")).select("a", "b", F.round("weight", 6).alias("weight"))
+
+
+def q_word_vectors(spark, sf_dir):
+    """F6 without a model on the driver: every word with company gets a finite vector that is not zero."""
+    from pyspark.ml.functions import vector_to_array
+    from missive.operators import wordvec as WV
+    train = _split_checkpointed(spark, sf_dir).filter(F.col("split") == "train")
+    v = WV.fit_word_vectors(train).table.select("word", vector_to_array("vector").alias("v"))
+    return v.select("word", F.size("v").alias("size"), F.exists("v", lambda x: x != 0).alias("not_zero"),
+                    F.forall("v", lambda x: ~F.isnan(x) & (F.abs(x) < 1e6)).alias("finite"))
+
+
 def q_score_documents(spark, sf_dir):
     """Flagship: train LR on TF-IDF, score every document, summarise by source."""
     from missive.operators import ml as ML
@@ -563,6 +642,11 @@ QUERIES: dict[str, Query] = {
     "pool_versions": q_pool_versions,
     "ingest_headered": q_ingest_headered,
     "ingest_quoted": q_ingest_quoted,
+    "learner_optimality": q_learner_optimality,
+    "gaussian_nb_vectors": q_gaussian_nb_vectors,
+    "word_pairs": q_word_pairs,
+    "word_ppmi": q_word_ppmi,
+    "word_vectors": q_word_vectors,
     "processed_reread": q_processed_reread,
     "batch_file": q_batch_file,
 }

@@ -290,3 +290,38 @@ ORACLE["batch_file"] = """SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS
 ORACLE["ingest_quoted"] = """SELECT CASE page_id % 3 WHEN 0 THEN 'spam' ELSE 'ham' END AS label,
   '"' || coalesce(url, '') || '",' || chr(10) || chr(10) || '"' || coalesce(html, '') || '"' || chr(10) AS text
 FROM pages WHERE page_id % 3 IN (0, 1)"""
+ORACLE["learner_optimality"] = f"""WITH s AS MATERIALIZED {SPLIT}, v AS MATERIALIZED {vocab_sql("s")}
+SELECT 'Logistic Regression' AS learner, (SELECT count(*) FROM s WHERE split = 'train') AS n_rows, (SELECT count(*) FROM v) AS n_terms, true AS optimal
+UNION ALL SELECT 'Platt scaling', (SELECT count(*) FROM s WHERE split = 'train'), 1, true"""
+
+
+# --- Gaussian naive Bayes on stored word vectors, in closed form -------------
+
+ORACLE["gaussian_nb_vectors"] = """WITH msg AS (
+  SELECT o_orderkey AS doc_id, CASE WHEN o_orderstatus = 'F' THEN 'spam' ELSE 'ham' END AS label
+  FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
+known AS (SELECT l.l_orderkey AS doc_id, e.embedding FROM lineitem l JOIN embeddings e ON l.l_partkey = e.vec_id),
+pooled AS (SELECT doc_id, i, avg(embedding[i]::DOUBLE) AS x FROM known, range(1, 65) t(i) GROUP BY doc_id, i),
+xs AS MATERIALIZED (SELECT m.doc_id, m.label, t.i, coalesce(p.x, 0.0) AS x
+  FROM msg m CROSS JOIN range(1, 65) t(i) LEFT JOIN pooled p ON p.doc_id = m.doc_id AND p.i = t.i),
+eps AS (SELECT max(v) * 1e-9 AS e FROM (SELECT var_pop(x) AS v FROM xs GROUP BY i)),
+fit AS (SELECT label, i, avg(x) AS mean, avg(x * x) - avg(x) * avg(x) + (SELECT e FROM eps) AS var FROM xs GROUP BY label, i),
+prior AS (SELECT label, ln(count(*)::DOUBLE) AS lp FROM msg GROUP BY label),
+ll AS (SELECT xs.doc_id, fit.label AS class, -0.5 * sum((xs.x - fit.mean) * (xs.x - fit.mean) / fit.var + ln(fit.var)) AS l
+  FROM xs JOIN fit ON xs.i = fit.i GROUP BY xs.doc_id, fit.label),
+odds AS (SELECT ll.doc_id, sum(CASE WHEN class = 'ham' THEN l + lp ELSE -(l + lp) END) AS d FROM ll JOIN prior ON ll.class = prior.label GROUP BY ll.doc_id)
+SELECT m.doc_id, m.label, 1.0 / (1.0 + exp(d)) >= 0.5 AS is_spam, round(1.0 / (1.0 + exp(d)), 4) AS spam_probability
+FROM msg m JOIN odds ON m.doc_id = odds.doc_id"""
+
+
+# --- word pairs --------------------------------------------------------------
+
+ORACLE["word_pairs"] = f"""WITH w AS (
+  SELECT row_number() OVER () AS r, {S.split_clean_text('clean_text')} AS ws FROM {SPLIT} WHERE split = 'train'),
+t AS (SELECT r, unnest(ws) AS word, unnest(generate_series(1, len(ws))) AS at FROM w)
+SELECT x.word AS a, y.word AS b, count(*) AS n FROM t x JOIN t y ON x.r = y.r AND x.at <> y.at AND abs(x.at - y.at) <= 5 GROUP BY 1, 2"""
+ORACLE["word_ppmi"] = f"""WITH p AS MATERIALIZED ({ORACLE['word_pairs']}),
+s AS (SELECT a, sum(n) AS n FROM p GROUP BY a)
+SELECT p.a, p.b, round(ln(p.n * (SELECT sum(n) FROM s)::DOUBLE / (x.n::DOUBLE * y.n)), 6) AS weight
+FROM p JOIN s x ON p.a = x.a JOIN s y ON p.b = y.a WHERE ln(p.n * (SELECT sum(n) FROM s)::DOUBLE / (x.n::DOUBLE * y.n)) > 0"""
+ORACLE["word_vectors"] = f"""SELECT DISTINCT a AS word, CAST(100 AS INTEGER) AS size, true AS not_zero, true AS finite FROM ({ORACLE['word_ppmi']})"""
