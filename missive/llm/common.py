@@ -87,14 +87,19 @@ def row_key(*cols: str) -> Column:
     """64-bit key of the columns a decision depends on; nulls are told apart from values."""
     parts = []
     for c in cols:
-        parts += [F.col(c), F.col(c).isNull()]
+        parts += [quoted(c), quoted(c).isNull()]
     return F.xxhash64(*parts)
 
 
-def keep_rows(docs: DataFrame, keys: DataFrame, *cols: str) -> DataFrame:
-    """Rows of ``docs`` whose (cols) key occurs in ``keys.__key``; columns unchanged."""
-    marked = docs.withColumn("__key", row_key(*cols))
-    return marked.join(keys.select("__key"), "__key", "left_semi").select(*[docs[c] for c in docs.columns])
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct, whatever their names; ``select("__row.*")`` gives them back."""
+    return F.struct(*[quoted(c) for c in docs.columns]).alias("__row")
+
+
+def keep_rows(docs: DataFrame, keys: DataFrame, *cols: str, one_each: bool = False) -> DataFrame:
+    """Rows of ``docs`` whose (cols) key occurs in ``keys.__key``; columns unchanged. With ``one_each`` one row of each key."""
+    kept = docs.select(whole_row(docs), row_key(*cols).alias("__key")).join(keys.select("__key"), "__key", "left_semi")
+    return (kept.dropDuplicates(["__key"]) if one_each else kept).select("__row.*")
 
 
 #: A bitmap has 2**15 bits.

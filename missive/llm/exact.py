@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from missive.llm.common import MAX_BITS, SPACE, bits_for, join_groups, pack, with_bit
+from missive.llm.common import MAX_BITS, SPACE, bits_for, join_groups, pack, whole_row, with_bit
 from missive.session import materialise
 
 def fingerprint(text: Column) -> Column:
@@ -80,9 +80,8 @@ def drop_exact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                max_bits: int = MAX_BITS) -> DataFrame:
     """The rows that stay, with all their columns; only possibly repeated rows are shuffled."""
     _, bitmaps, bits, _, _, groups = _prepare(docs, doc_id, text, max_bits)
-    own = [docs[c] for c in docs.columns]
     marked = possibly_repeated(
-        docs.select(F.struct(*own).alias("__row"), docs[doc_id].alias("__id"),
+        docs.select(whole_row(docs), docs[doc_id].alias("__id"),
                     fingerprint(docs[text]).alias("text_sha256")), bitmaps, bits)
     keepers = groups.select(F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep"))
     stay = (marked.filter("__maybe")

@@ -90,7 +90,7 @@ def _histogram(s: np.ndarray) -> bytes:
 
 
 def _describe(rows: DataFrame) -> DataFrame:
-    """Per document (doc_id, n, key, hist), and partial sketches as (chunk, part, counts)."""
+    """Per document (doc_id, own, n, key, hist), and partial sketches as (chunk, part, counts)."""
     kind = dict(rows.dtypes)["doc_id"]
 
     def run(frames):
@@ -99,14 +99,14 @@ def _describe(rows: DataFrame) -> DataFrame:
             sets = shingle_sets(f["text"])
             for s in sets:
                 np.add.at(cells, (s & np.uint64(CELLS - 1)).astype(np.int64), 1)
-            yield pd.DataFrame({"doc_id": f["doc_id"], "n": [len(s) for s in sets], "key": [_set_key(s) for s in sets],
+            yield pd.DataFrame({"doc_id": f["doc_id"], "own": f["own"], "n": [len(s) for s in sets], "key": [_set_key(s) for s in sets],
                                 "hist": [_histogram(s) for s in sets], "chunk": -1, "part": 0, "counts": None})
         if cells.any():
             part = TaskContext.get().partitionId() // _PARTIALS
-            yield pd.DataFrame({"doc_id": None, "n": None, "key": None, "hist": None, "chunk": range(_CHUNKS), "part": part,
+            yield pd.DataFrame({"doc_id": None, "own": None, "n": None, "key": None, "hist": None, "chunk": range(_CHUNKS), "part": part,
                                 "counts": [zlib.compress(c.tobytes(), 1) for c in np.split(cells, _CHUNKS)]})
 
-    return rows.mapInPandas(run, f"doc_id {kind}, n long, key long, hist binary, chunk int, part int, counts binary")
+    return rows.mapInPandas(run, f"doc_id {kind}, own long, n long, key long, hist binary, chunk int, part int, counts binary")
 
 
 def _sketch(described: DataFrame) -> np.ndarray:
@@ -264,12 +264,12 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id."""
+def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, component (null for an empty set) and own, a key of (doc_id, text)."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
-    described = materialise(_describe(rows), "llm-jaccard-described")
+    described = materialise(_describe(rows.withColumn("own", row_key("doc_id", "text"))), "llm-jaccard-described")
     listed = described.filter("chunk < 0")
     sets = materialise(listed.filter("n > 0").groupBy("key")
                        .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"),
@@ -305,16 +305,32 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     names = materialise(by_key.groupBy("component").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("members")),
                         "llm-jaccard-names")
     total = by_key.count()
-    named = materialise(join_groups(by_key, names, "component", "members", total).select("key", "component_id", "copies"),
+    named = materialise(join_groups(by_key, names, "component", "members", total).select("key", "component", "component_id", "copies"),
                         "llm-jaccard-named")
-    some = listed.filter("n > 0").select("doc_id", "n", "key")
+    some = listed.filter("n > 0").select("doc_id", "own", "n", "key")
     out = join_groups(some, named, "key", "copies", listed.count())
-    none = listed.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(none)
+    none = listed.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"),
+                                         F.lit(None).cast("long").alias("component"), "own")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "component", "own").unionByName(none)
+
+
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id."""
+    return jaccard_classes(docs, doc_id, text).select("doc_id", "n_shingles", "component_id")
 
 
 def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of the document that stays of each group (its smallest doc_id), columns unchanged."""
-    found = jaccard_components(docs, doc_id, text)
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return keep_rows(docs, stay.select(row_key("doc_id").alias("__key")), doc_id)
+    """One row of each component (of its smallest doc_id, null last), and every row without words; columns unchanged.
+
+    Decided by (doc_id, text), so rows that share an id or have none are told
+    apart by their texts; of rows equal in both, one stays."""
+    found = materialise(jaccard_classes(docs, doc_id, text).select("doc_id", "component", "own"), "llm-jaccard-classes")
+    rows = (found.filter("component IS NOT NULL").groupBy("component", "own")
+            .agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")))
+    best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "own", "copies")).alias("b"))
+    best = materialise(best.select(F.col("b.own").alias("__key"), F.col("b.copies").alias("copies")), "llm-jaccard-best")
+    single = best.filter("copies = 1").select("__key").unionByName(
+        found.filter("component IS NULL").select(F.col("own").alias("__key")).distinct())
+    out = keep_rows(docs, single, doc_id, text)
+    many = best.filter("copies > 1")
+    return out if many.isEmpty() else out.unionByName(keep_rows(docs, many, doc_id, text, one_each=True))

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from missive.llm.common import bounded, n_words
+from missive.llm.common import bounded, n_words, whole_row
 from missive.session import materialise
 
 WEIGHTS = (5, 2, 1)
@@ -75,7 +75,7 @@ def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
 
 def thresholds(sized: DataFrame, per: DataFrame) -> DataFrame:
     """Per source, the hash at which the running size passes ``need`` and whether that hash is taken."""
-    need = per.select(F.col("source").alias("__s"), "need")
+    need = per.filter("need > 0").select(F.col("source").alias("__s"), "need")   # whole takes need no threshold
     inside, edge = sized, None
     for depth in LEVELS:
         bucket = F.substring("hash", 1, depth)
@@ -127,7 +127,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     sized = materialise(_sized(docs, doc_id, text, source, seed), "llm-mix-sized")
     plan = (_plan(sized, weights, share, cap)
             .select(F.col("source").alias("__s"), "copies", "threshold", "at_threshold"))
-    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), docs[source].alias("__source"),
+    own = docs.select(whole_row(docs), docs[source].alias("__source"),
                       _hash(docs[doc_id], docs[text], seed).alias("hash"))
     taken = own.join(plan, F.col("__source").eqNullSafe(F.col("__s"))).withColumn("__times", _times().cast("int"))
     return (taken.filter("__times > 0")
