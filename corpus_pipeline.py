@@ -5,6 +5,12 @@ written as Parquet and read again as the next stage's ``docs``. All stages but
 the last return the columns of ``documents``; a document that the mixture takes
 twice is in it twice. The last returns doc_id, n_tokens, ids_sha256,
 decoded_sha256 and ids.
+
+Defined cases: null and empty texts have no perplexity and go in the first
+stage; a stage that leaves no rows gives an empty table to the next; rows that
+repeat a doc_id or have none are told apart by their texts; null languages and
+sources are groups of their own; very long texts are taken whole; columns
+beyond those of ``documents`` pass through, whatever their names.
 """
 
 from __future__ import annotations
