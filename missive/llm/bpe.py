@@ -38,8 +38,10 @@ from pyspark.sql import DataFrame
 from missive.llm.common import small_batches
 
 #: Characters of a leaf of the text tree, and bytes of a leaf within one match.
-LEAF_CHARS = 4096
-LEAF_BYTES = 4096
+LEAF_CHARS = 64
+LEAF_BYTES = 32
+#: Windows of up to so many characters are kept for the next time.
+_SHORT = 24
 _SEAM = regex.compile(r"(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})|(?<=\S)(?=\s)")
 
 
@@ -62,6 +64,8 @@ class Codec:
         self._bytes = {i: b for b, i in ranks.items()}
         self.digits = [str(i) for i in range(max(self._bytes) + 1)]
         self._leaf_chars, self._leaf_bytes = leaf_chars, leaf_bytes
+        # windows are mostly a word or two and come again and again
+        self._short = functools.lru_cache(1 << 16)(lambda t: tuple(self._leaf(t)))
         self._settled = functools.lru_cache(1 << 16)(
             lambda a, b: self._merge(self._bytes[a] + self._bytes[b]) == [a, b])
 
@@ -85,6 +89,8 @@ class Codec:
             grow *= 2
 
     def _window(self, text: str) -> list[int]:
+        if len(text) <= _SHORT:
+            return self._short(text)
         if len(text) <= 2 * self._leaf_chars:
             return self._leaf(text)
         out = []
@@ -94,9 +100,10 @@ class Codec:
 
     # the whole text
 
-    def _last_seam(self, text: str) -> int:
-        reach = 64
-        while reach < 2 * len(text):
+    @staticmethod
+    def _last_seam(text: str) -> int:
+        reach = 16
+        while reach < 4 * len(text):
             start = max(0, len(text) - reach)
             places = [m.start() for m in _SEAM.finditer(text, start) if m.start() > start or start == 0]
             if places:
@@ -117,7 +124,9 @@ class Codec:
         left, right = self.encode(a), self.encode(b)
         p, q = self._last_seam(a), self._first_seam(b)
         tail, head = self._window(a[p:]), self._window(b[:q])
-        return left[:len(left) - len(tail)] + self._window(a[p:] + b[:q]) + right[len(head):]
+        left[len(left) - len(tail):] = self._window(a[p:] + b[:q])
+        left += right[len(head):]
+        return left
 
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= self._leaf_chars:
