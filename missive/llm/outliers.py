@@ -4,13 +4,18 @@ Every text gives base statistics (words, symbols, repeated lines and
 three-word windows) and from them a vector of four transformed statistics. Per
 language and source the minimum-covariance-determinant estimate (centre and
 covariance of the ``KEEP`` of rows that lie closest together) is found by
-concentration steps from medians and median deviations: rows are ranked by
-Mahalanobis distance under the current estimate, and the next estimate is made
-from the nearest rows, until it is stable. A step is one
-aggregation: counts, sums and products by group and distance class
-(logarithmic, ``CLASSES`` at most for a group), so no group meets in one task
-and a group of any size shuffles the same few rows. Estimates are one narrow
-row per group; the 4 x 4 Cholesky factor is written out as columns.
+concentration steps from several deterministic starts, all around the medians:
+median deviations, the covariance of spatial signs, and that of tanh scores.
+In a step rows are ranked by Mahalanobis distance under the current estimate,
+and the next estimate is made from the nearest rows. A start goes on as long as
+its determinant falls by more than ``GAIN``; since it cannot fall below that of
+the least spreads, every start ends by itself. Of a group's starts the least
+determinant wins. A step is one aggregation: counts, sums and products by
+group, start and distance class (logarithmic, ``CLASSES`` at most); the class
+at the border counts with the fraction that makes the share exact. So no group
+meets in one task and a group of any size shuffles the same few rows. Estimates
+are one narrow row per group and start; the 4 x 4 Cholesky factor is written
+out as columns.
 
 A row is rejected when its squared distance exceeds ``CUTOFF`` or a base rule
 fails. Each statistic keeps a least spread (``FLOOR``), as otherwise a group in
@@ -28,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from missive.llm.common import SPACE, WORD, bounded, words
+from missive.llm.common import BROADCAST_ROWS, SPACE, WORD, bounded, words
 from missive.session import materialise
 
 #: Share of a group's rows that the estimate is made from.
@@ -38,9 +43,9 @@ CUTOFF = 48.0
 #: Median of chi-squared with 4 degrees of freedom, which scales the estimate (fixed value).
 CHI2_MEDIAN = 3.3567
 MIN_GROUP = 50
-#: Steps end when no centre or factor of any group moves by more than this share of its least spread, at the latest after ``STEPS``.
-STABLE = 0.001
-STEPS = 40
+#: A start is done when the logarithm of its factor's determinant falls by no more than this in a step.
+GAIN = 0.001
+STARTS = ("spread", "signs", "tanh")
 #: Median of the absolute deviations of a normal law, as a share of its standard deviation (fixed value).
 MAD_SHARE = 0.6745
 #: Classes per unit of asinh(value / least spread), by which medians are found.
@@ -138,12 +143,23 @@ def _factor(sums: DataFrame) -> DataFrame:
         rest = F.col(f"c_{i}{j}") - dot
         out = out.withColumn(f"l_{i}{j}", F.sqrt(F.greatest(rest, F.lit(FLOOR[STATS[i]] ** 2 / 16))) if i == j
                              else rest / F.col(f"l_{j}{j}"))
-    return out.select("glang", "gsource", *[f"m_{x}" for x in STATS], *[f"l_{i}{j}" for i, j in _pairs()])
+    return out.select(*_KEYS, *_ESTIMATE)
 
 
-def _distance(rows: DataFrame, est: DataFrame) -> DataFrame:
+_KEYS = ("glang", "gsource", "start")
+_ESTIMATE = tuple(f"m_{x}" for x in STATS) + tuple(f"l_{i}{j}" for i, j in _pairs())
+
+
+def _log_det() -> Column:
+    total = F.lit(0.0)
+    for i in range(len(STATS)):
+        total = total + F.log(F.col(f"l_{i}{i}"))
+    return total
+
+
+def _distance(rows: DataFrame, est: DataFrame, how: str = "left") -> DataFrame:
     """Add d2, the squared Mahalanobis distance (forward substitution); null where a group has no estimate."""
-    out, total = rows.join(est, ["glang", "gsource"], "left"), F.lit(0.0)
+    out, total = rows.join(est, ["glang", "gsource"], how), F.lit(0.0)
     for i, x in enumerate(STATS):
         z = F.col(x) - F.col(f"m_{x}")
         for k in range(i):
@@ -159,14 +175,17 @@ def _class(d2: Column) -> Column:
 
 
 def _by_class(rows: DataFrame, est: DataFrame) -> DataFrame:
-    return _distance(rows, est).groupBy("glang", "gsource", _class(F.col("d2")).alias("class")).agg(*_moments())
+    return _distance(rows, est, "inner").groupBy(*_KEYS, _class(F.col("d2")).alias("class")).agg(*_moments())
 
 
-def _running(classes: DataFrame, share: float) -> DataFrame:
-    group = Window.partitionBy("glang", "gsource")
-    up = group.orderBy("class").rowsBetween(Window.unboundedPreceding, 0)
-    return (classes.withColumn("upto", F.sum("n").over(up)).withColumn("all", F.sum("n").over(group))
-            .withColumn("inside", F.col("upto") - F.col("n") < F.col("all") * F.lit(share)))
+def _nearest(classes: DataFrame, share: float) -> DataFrame:
+    """Sums over the nearest ``share`` of each group's rows; the class at the border counts with a fraction."""
+    group = Window.partitionBy(*_KEYS)
+    before = F.coalesce(F.sum("n").over(group.orderBy("class").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    part = F.greatest(F.least((F.sum("n").over(group) * F.lit(share) - before) / F.col("n"), F.lit(1.0)), F.lit(0.0))
+    names = ["n"] + [f"s_{x}" for x in STATS] + [f"p_{i}{j}" for i, j in _pairs()]
+    return (classes.withColumn("part", part).filter("part > 0").groupBy(*_KEYS)
+            .agg(*[F.sum(F.col(c) * F.col("part")).alias(c) for c in names]))
 
 
 def _medians(rows: DataFrame, values: dict[str, Column], names: dict[str, str]) -> DataFrame:
@@ -184,38 +203,52 @@ def _medians(rows: DataFrame, values: dict[str, Column], names: dict[str, str])
         for x in STATS])
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """First estimate: medians, and median absolute deviations on the diagonal, which a clump under half of a group bounds."""
+def _starts(rows: DataFrame) -> DataFrame:
+    """First estimates, all centred on the medians, which a clump under half of a group bounds."""
     centre = bounded(_medians(rows, {x: F.col(x) for x in STATS}, {x: f"m_{x}" for x in STATS}), "llm-mcd-estimate")
     apart = rows.join(centre, ["glang", "gsource"])
     mad = _medians(apart, {x: F.abs(F.col(x) - F.col(f"m_{x}")) for x in STATS}, {x: f"d_{x}" for x in STATS})
-    both = centre.join(mad, ["glang", "gsource"])
     spread = lambda x: F.sqrt(F.pow(F.col(f"d_{x}") / MAD_SHARE, F.lit(2.0)) + F.lit(FLOOR[x] ** 2))
-    return both.select("glang", "gsource", *[f"m_{x}" for x in STATS],
-                       *[(spread(STATS[i]) if i == j else F.lit(0.0)).alias(f"l_{i}{j}") for i, j in _pairs()])
-
-
-def _moved(old: DataFrame, new: DataFrame) -> float:
-    """The largest change of any group's centre or factor, in least spreads."""
-    both = old.alias("o").join(new.alias("n"), ["glang", "gsource"])
-    names = [(f"m_{x}", FLOOR[x]) for x in STATS] + [(f"l_{i}{j}", FLOOR[STATS[i]]) for i, j in _pairs()]
-    change = F.greatest(*[F.abs(F.col(f"o.{c}") - F.col(f"n.{c}")) / F.lit(least) for c, least in names])
-    return both.agg(F.max(change)).first()[0] or 0.0
+    scale = bounded(centre.join(mad, ["glang", "gsource"]).select("glang", "gsource", *[f"m_{x}" for x in STATS],
+                                                                  *[spread(x).alias(f"w_{x}") for x in STATS]), "llm-mcd-scale")
+    plain = scale.select("glang", "gsource", F.lit(STARTS[0]).alias("start"), *[f"m_{x}" for x in STATS],
+                         *[(F.col(f"w_{STATS[i]}") if i == j else F.lit(0.0)).alias(f"l_{i}{j}") for i, j in _pairs()])
+    z = {x: (F.col(x) - F.col(f"m_{x}")) / F.col(f"w_{x}") for x in STATS}
+    length = F.sqrt(sum((v * v for v in z.values()), F.lit(0.0)))
+    bent = {STARTS[1]: {x: v * len(STATS) ** 0.5 / F.greatest(length, F.lit(1e-6)) for x, v in z.items()},
+            STARTS[2]: {x: F.tanh(v) for x, v in z.items()}}
+    scores = F.explode(F.array(*[F.struct(F.lit(name).alias("start"), *[v.alias(x) for x, v in t.items()]) for name, t in bent.items()]))
+    # scores in units of the statistics, so that the least spreads mean the same
+    scored = (rows.join(scale, ["glang", "gsource"]).select("glang", "gsource", scores.alias("t"), *[f"w_{x}" for x in STATS])
+              .select("glang", "gsource", "t.start", *[(F.col(f"t.{x}") * F.col(f"w_{x}")).alias(x) for x in STATS]))
+    shaped = _factor(scored.groupBy(*_KEYS).agg(*_moments())).drop(*[f"m_{x}" for x in STATS])
+    return plain.unionByName(shaped.join(centre, ["glang", "gsource"]))
 
 
 def mcd(rows: DataFrame) -> DataFrame:
     """Robust centre and scaled Cholesky factor per (glang, gsource); ``rows`` has the statistics ``STATS``."""
-    est = bounded(_start(rows), "llm-mcd-estimate")
-    again = [F.sum("n").alias("n")] + [F.sum(f"s_{x}").alias(f"s_{x}") for x in STATS]
-    again += [F.sum(f"p_{i}{j}").alias(f"p_{i}{j}") for i, j in _pairs()]
-    for _ in range(STEPS):
-        near = _running(_by_class(rows, est), KEEP).filter("inside")
-        last, est = est, bounded(_factor(near.groupBy("glang", "gsource").agg(*again)), "llm-mcd-estimate")
-        if _moved(last, est) <= STABLE:
+    current = materialise(_starts(rows), "llm-mcd-estimate")
+    small = current.count() <= BROADCAST_ROWS
+    best = current.select(*_KEYS, F.struct(*_ESTIMATE).alias("best"), F.lit(float("inf")).alias("det"))
+    while True:
+        found = _factor(_nearest(_by_class(rows, F.broadcast(current) if small else current), KEEP))
+        found = found.select(*_KEYS, F.struct(*_ESTIMATE).alias("new"), _log_det().alias("new_det"))
+        step = best.join(found, list(_KEYS), "left")
+        less = F.coalesce(F.col("new_det") < F.col("det"), F.lit(False))
+        step = materialise(step.select(*_KEYS, F.when(less, F.col("new")).otherwise(F.col("best")).alias("best"),
+                                       F.when(less, F.col("new_det")).otherwise(F.col("det")).alias("det"),
+                                       F.coalesce(F.col("new_det") < F.col("det") - F.lit(GAIN), F.lit(False)).alias("goes_on")),
+                           "llm-mcd-estimate")
+        best, current = step.drop("goes_on"), step.filter("goes_on").select(*_KEYS, "best.*")
+        if current.isEmpty():
             break
+    chosen = best.groupBy("glang", "gsource").agg(F.min_by("best", F.struct("det", "start")).alias("best"))
+    est = bounded(chosen.select("glang", "gsource", F.lit("least").alias("start"), "best.*"), "llm-mcd-estimate")
     # the estimate of the nearest rows is too narrow: scale it so that the median distance is that of a normal law
-    middle = (_running(_by_class(rows, est).select("glang", "gsource", "class", "n"), 0.5).filter("inside")
-              .groupBy("glang", "gsource").agg(F.max("class").alias("class")))
+    upto = F.sum("n").over(Window.partitionBy(*_KEYS).orderBy("class").rowsBetween(Window.unboundedPreceding, 0))
+    classes = _distance(rows, est, "inner").groupBy(*_KEYS, _class(F.col("d2")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    middle = (classes.withColumn("upto", upto).withColumn("all", F.sum("n").over(Window.partitionBy(*_KEYS)))
+              .filter(F.col("upto") * 2 >= F.col("all")).groupBy("glang", "gsource").agg(F.min("class").alias("class")))
     scale = F.sqrt(F.greatest(F.pow(F.lit(2.0), (F.col("class") + 0.5) / PER_OCTAVE + LOW) / CHI2_MEDIAN, F.lit(1.0)))
     est = est.join(middle.select("glang", "gsource", scale.alias("scale")), ["glang", "gsource"])
     factor = [(F.col(f"l_{i}{j}") * F.col("scale")).alias(f"l_{i}{j}") for i, j in _pairs()]
