@@ -42,7 +42,8 @@ LEAF_CHARS = 64
 LEAF_BYTES = 32
 #: Windows of up to so many characters are kept for the next time.
 _SHORT = 24
-_SEAM = regex.compile(r"(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})|(?<=\S)(?=\s)")
+_PLACE = r"(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})|(?<=\S)(?=\s)"
+_SEAM, _LAST = regex.compile(_PLACE), regex.compile("(?r)" + _PLACE)
 
 
 def default_ranks() -> str:
@@ -102,14 +103,8 @@ class Codec:
 
     @staticmethod
     def _last_seam(text: str) -> int:
-        reach = 16
-        while reach < 4 * len(text):
-            start = max(0, len(text) - reach)
-            places = [m.start() for m in _SEAM.finditer(text, start) if m.start() > start or start == 0]
-            if places:
-                return places[-1]
-            reach *= 4
-        return 0
+        m = _LAST.search(text)   # from the end
+        return m.start() if m else 0
 
     @staticmethod
     def _first_seam(text: str) -> int:
