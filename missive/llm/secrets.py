@@ -43,6 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from missive.llm.common import quoted, small_batches
+from missive.operators.features import top_terms
 from missive.session import materialise
 
 #: Words that name a secret, shapes of issued keys, and words that name something else.
@@ -136,8 +137,9 @@ _COLUMNS = ", ".join(f"{c} double" for c in FEATURES)
 def dictionary(docs: DataFrame, text: str = "text", size: int = DICTIONARY) -> frozenset:
     """The corpus' most frequent words of three letters or more (a-z), ``size`` at most."""
     words = F.explode(F.split(F.lower(F.coalesce(quoted(text), F.lit(""))), "[^a-z]+"))
-    counts = docs.select(words.alias("w")).filter(F.length("w").between(3, 24)).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    return frozenset(r["w"] for r in counts.orderBy(F.col("n").desc(), "w").limit(size).collect())
+    counts = docs.select(words.alias("w")).filter(F.length("w").between(3, 24))
+    counts = materialise(counts.groupBy(F.col("w").alias("term")).agg(F.count(F.lit(1)).alias("term_count")), "llm-secret-words")
+    return frozenset(r["term"] for r in top_terms(counts, size).collect())   # words below the cut never leave their tasks
 
 
 def candidates(docs: DataFrame, words: frozenset, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
