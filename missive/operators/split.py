@@ -8,8 +8,8 @@ counts equal those of a stratified shuffle split of the same size.
 Scale: no global sort and no unpartitioned window over the data. Rows are
 bucketed by hash digits; only per-(class, bucket) counts (<= 16^digits rows
 per class) are ranked, whole buckets are assigned by a broadcast lookup of
-that bounded size, and only the rows of a boundary bucket are ordered row by
-row — a second bucket level is used when that bucket would exceed
+that bounded size, and only the (hash, key) pairs of a boundary bucket are
+ordered one by one — a second bucket level is used when that bucket would exceed
 ``RANK_LIMIT`` rows (about n / 16^(2*digits) rows per class then).
 """
 
@@ -67,9 +67,15 @@ def _local(plan: DataFrame) -> DataFrame:
 
 
 def _rank_boundary(rows: DataFrame, label_col: str, bucket_col: str, key_col: str) -> DataFrame:
+    """Only (class, hash, key) is ranked: the last test row of each class is the cut (one row a class, brought
+    to the driver), and every row is held against its class's cut where it lies."""
     in_bucket = Window.partitionBy(label_col, bucket_col).orderBy("_h", key_col)
-    return rows.withColumn("split", F.when(F.col("_bb") + F.row_number().over(in_bucket) <= F.col("_quota"),
-                                           F.lit("test")).otherwise(F.lit("train")))
+    ranked = rows.select(label_col, bucket_col, "_h", key_col, "_bb", "_quota").withColumn("_rk", F.row_number().over(in_bucket))
+    place = F.struct(F.col("_h"), F.col(key_col).alias("_k"))
+    cuts = _local(ranked.filter(F.col("_bb") + F.col("_rk") <= F.col("_quota")).groupBy(label_col).agg(F.max(place).alias("_cut")))
+    return (rows.join(F.broadcast(cuts), label_col, "left")
+            .withColumn("split", F.when(F.col("_cut").isNotNull() & (place <= F.col("_cut")), F.lit("test")).otherwise(F.lit("train")))
+            .drop("_cut"))
 
 
 def stratified_split(df: DataFrame, label_col: str = "label", key_col: str = "doc_id",

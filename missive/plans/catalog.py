@@ -27,6 +27,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 CORPUS_TRIGGERS = ("the", "and", "of the", "le", "la", "des", "que", "der", "und", "el", "los", "with")
 
 
+#: A text that is empty after cleaning: stop words and single letters only.
+STOP_TEXT = " The of <b>and</b> a x "
+
+
 def q_label_standardise(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = tables.table(spark, sf_dir, "labels")
     out = lab.select(
@@ -86,6 +90,15 @@ def q_trigger_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def q_messages_gaps(spark, sf_dir):
+    """Messages some of which have no label, no text, or nothing but stop words; the rest is cleaned."""
+    msgs = tables.messages(spark, sf_dir)
+    fifth = F.col("doc_id") % 5
+    gaps = msgs.select("doc_id", F.when(fifth != 0, F.col("label")).alias("label"),
+                       F.when(fifth == 1, F.lit(None)).when(fifth == 2, F.lit(STOP_TEXT)).otherwise(F.col("text")).alias("text"))
+    return stats.prepare_messages(gaps).select("doc_id", "label", "clean_text")
+
+
 # --- history reports -------------------------------------------------------
 
 HISTORY_SEARCH = '"k": 7'
@@ -124,6 +137,24 @@ def q_history_append(spark, sf_dir):
         F.countDistinct("id").alias("n_ids"), F.countDistinct("email_text").alias("n_texts"))
 
 
+def q_history_kpis_merged(spark, sf_dir):
+    """A7, A9 from partial states: rows reach a history store by model in several appends, each followed by a refresh."""
+    from missive.operators import kpi_state as KS
+    from missive.session import scratch_path
+    from missive.sources import history_store as HS
+    hist = tables.history(spark, sf_dir)
+    path = scratch_path(spark, "history-merged")
+    HS.init_history(spark, path)
+    batch = F.pmod(F.col("id"), F.lit(3))
+    for k in range(3):
+        rows = hist.filter(batch == k).select(*[c for c in hist.columns if c != "id"])
+        HS.with_consecutive_ids(rows, "id", HS.next_id(spark, path)).select(*hist.columns).write.mode("append").parquet(path)
+        if k != 1:   # a refresh may cover several appends
+            KS.refresh(spark, path)
+    states = KS.read_states(spark, path)
+    return KS.kpis(states).crossJoin(F.broadcast(KS.scans_by_model(states)))
+
+
 def q_history_by_model(spark, sf_dir):
     return H.scans_by_model(tables.history(spark, sf_dir))
 
@@ -257,6 +288,15 @@ def q_score_postprocess(spark, sf_dir):
     return _rule_scored_batch(spark, sf_dir).select("id", "is_spam", "spam_probability", "confidence_score")
 
 
+def q_score_blank(spark, sf_dir):
+    """Scored turns, a third of them empty after cleaning: those are ham with probability 0 and full confidence."""
+    items = tables.batch_input(spark, sf_dir)
+    turn = F.substring_index("id", ":", -1).cast("int")
+    ok, _ = SC.split_valid(items.withColumn("text", F.when(turn % 3 == 1, F.lit(STOP_TEXT)).otherwise(F.col("text"))))
+    staged = ok.select("id", T.clean_text(F.col("text")).alias("clean_text"), ((F.length("text") % 101) / 100.0).alias("p"))
+    return SC.postprocess(staged, "p", "clean_text").select("id", "clean_text", "is_spam", "spam_probability", "confidence_score")
+
+
 def q_batch_summary(spark, sf_dir):
     return SC.batch_summary(_rule_scored_batch(spark, sf_dir), ("role",))
 
@@ -547,6 +587,20 @@ def q_ingest_quoted(spark, sf_dir):
     return ingest.ingest_labelled(spark, path, "auto")
 
 
+def q_ingest_ragged(spark, sf_dir):
+    """Tab-separated files with a header; a third of the rows has no text (kept, text null), a third a field too many (skipped)."""
+    from missive.session import scratch_path
+    from missive.sources import ingest
+    third, tab = F.col("doc_id") % 3, F.lit("\t")
+    line = F.concat(F.col("label"), F.when(third == 0, F.lit("")).otherwise(F.concat(tab, _one_field(F.col("text")))),
+                    F.when(third == 1, F.concat(tab, F.lit("extra"))).otherwise(F.lit("")))
+    path = scratch_path(spark, "ragged")
+    # one column under the header of two: rows keep the number of fields that their text has
+    (tables.messages(spark, sf_dir).select(line.alias("label\ttext")).write.option("header", True).option("sep", "\x01").option("quote", "")
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    return ingest.ingest_labelled(spark, path, "auto")
+
+
 def q_processed_reread(spark, sf_dir):
     """The processed set written and read again; rows whose clean text is empty or null go."""
     from missive.session import scratch_path
@@ -573,6 +627,18 @@ def q_batch_file(spark, sf_dir):
         rejected.withColumn("accepted", F.lit(False))).select("id", "accepted", F.coalesce("text", F.lit("")).alias("text"))
 
 
+def q_batch_row_numbers(spark, sf_dir):
+    """A batch file without ids: rows are numbered from 1 without gap or repeat, texts stay whole."""
+    from missive.session import scratch_path
+    from missive.sources import ingest
+    path = scratch_path(spark, "batch-no-ids")
+    ingest.write_batch_results(tables.table(spark, sf_dir, "conversations").select("role", "text"), path)
+    rows = ingest.read_batch_input(spark, path).withColumn("at", F.col("id").cast("long"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("at").alias("n_ids"), F.min("at").alias("first_id"),
+                    F.max("at").alias("last_id"), F.count_if(F.col("id") != F.col("at").cast("string")).alias("n_odd"),
+                    F.sum(F.length("text")).alias("text_chars"), F.countDistinct("text").alias("n_texts"))
+
+
 def q_lemmatize(spark, sf_dir):
     """Noun lemmas of the cleaned tokens of labelled messages (corpus lexicon, df >= 2)."""
     from missive.functions.lemma import lemmatize
@@ -586,6 +652,7 @@ QUERIES: dict[str, Query] = {
     "clean_text": q_clean_text,
     "html_strip": q_html_strip,
     "messages_clean": q_messages_clean,
+    "messages_gaps": q_messages_gaps,
     "dataset_stats": q_dataset_stats,
     "class_distribution": q_class_distribution,
     "token_counts_by_label": q_token_counts_by_label,
@@ -597,6 +664,7 @@ QUERIES: dict[str, Query] = {
     "history_latest": q_history_latest,
     "history_kpis": q_history_kpis,
     "history_append": q_history_append,
+    "history_kpis_merged": q_history_kpis_merged,
     "history_by_model": q_history_by_model,
     "history_trend": q_history_trend,
     "history_windowed_trend": q_history_windowed_trend,
@@ -616,6 +684,7 @@ QUERIES: dict[str, Query] = {
     "messages_lemmatised": q_messages_lemmatised,
     "embedding_mean": q_embedding_mean,
     "score_postprocess": q_score_postprocess,
+    "score_blank": q_score_blank,
     "batch_summary": q_batch_summary,
     "batch_display": q_batch_display,
     "pool_append": q_pool_append,
@@ -642,6 +711,8 @@ QUERIES: dict[str, Query] = {
     "pool_versions": q_pool_versions,
     "ingest_headered": q_ingest_headered,
     "ingest_quoted": q_ingest_quoted,
+    "ingest_ragged": q_ingest_ragged,
+    "batch_row_numbers": q_batch_row_numbers,
     "learner_optimality": q_learner_optimality,
     "gaussian_nb_vectors": q_gaussian_nb_vectors,
     "word_pairs": q_word_pairs,

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from missive.functions import text as T
 from missive.plans import sqltext as S
-from missive.plans.catalog import CORPUS_TRIGGERS
+from missive.plans.catalog import CORPUS_TRIGGERS, STOP_TEXT
 
 MESSAGES = """(SELECT d.doc_id, d.text, d.lang, d.source, l.quality, l.toxic,
        CASE WHEN l.quality = 0 THEN 'spam' ELSE 'ham' END AS label
@@ -325,3 +325,18 @@ s AS (SELECT a, sum(n) AS n FROM p GROUP BY a)
 SELECT p.a, p.b, round(ln(p.n * (SELECT sum(n) FROM s)::DOUBLE / (x.n::DOUBLE * y.n)), 6) AS weight
 FROM p JOIN s x ON p.a = x.a JOIN s y ON p.b = y.a WHERE ln(p.n * (SELECT sum(n) FROM s)::DOUBLE / (x.n::DOUBLE * y.n)) > 0"""
 ORACLE["word_vectors"] = f"""SELECT DISTINCT a AS word, CAST(100 AS INTEGER) AS size, true AS not_zero, true AS finite FROM ({ORACLE['word_ppmi']})"""
+
+
+# --- rows with gaps ------------------------------------------------------------
+
+ORACLE["messages_gaps"] = f"""SELECT doc_id, label, clean_text FROM {MESSAGES_CLEAN} WHERE doc_id % 5 NOT IN (0, 1, 2)"""
+ORACLE["score_blank"] = f"""WITH t AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS id,
+  CASE WHEN turn % 3 = 1 THEN {S.lit(STOP_TEXT)} ELSE text END AS text FROM conversations),
+c AS (SELECT id, {S.clean_text('text')} AS clean_text, (length(text) % 101) / 100.0 AS p FROM t WHERE length(text) >= 1)
+SELECT id, clean_text, clean_text <> '' AND p >= 0.5 AS is_spam, CASE WHEN clean_text = '' THEN 0.0 ELSE round(p, 4) END AS spam_probability,
+  CASE WHEN clean_text = '' THEN 100.0 ELSE round(abs(p - 0.5) * 2.0 * 100.0, 2) END AS confidence_score FROM c"""
+ORACLE["ingest_ragged"] = f"""SELECT label, CASE WHEN doc_id % 3 = 2 THEN
+  't ' || regexp_replace(coalesce(text, ''), '["\\\\\\r\\n\\t]', ' ', 'g') END AS text FROM {MESSAGES} WHERE doc_id % 3 <> 1"""
+ORACLE["batch_row_numbers"] = """SELECT count(*) AS n, count(*) AS n_ids, CAST(1 AS BIGINT) AS first_id, count(*) AS last_id, CAST(0 AS BIGINT) AS n_odd,
+  CAST(sum(length(text)) AS BIGINT) AS text_chars, count(DISTINCT text) AS n_texts FROM conversations"""
+ORACLE["history_kpis_merged"] = f"""SELECT * FROM ({ORACLE['history_kpis']}), ({ORACLE['history_by_model']})"""

@@ -36,8 +36,18 @@ def init_history(spark: SparkSession, path: str) -> None:
         spark.createDataFrame([], HISTORY_SCHEMA).write.mode("errorifexists").parquet(path)
 
 
+def states_path(path: str) -> str:
+    """Where the partial KPI states of a history lie (``operators.kpi_state``)."""
+    return f"{path.rstrip('/')}_kpi_states"
+
+
 def clear_history(spark: SparkSession, path: str) -> None:
-    """K7: delete all rows, keep the schema."""
+    """K7: delete all rows, keep the schema. Ids start from 1 again, so the states go first: a run that breaks
+    off in between leaves rows without states, which the next refresh covers."""
+    states = states_path(path)
+    schema = read_or_none(lambda: spark.read.parquet(states).schema)
+    if schema is not None:
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(states)
     spark.createDataFrame([], HISTORY_SCHEMA).write.mode("overwrite").parquet(path)
 
 
