@@ -4,12 +4,13 @@ The model counts character five-grams of trusted text (documents labelled as
 good). Map tasks sum the counts of their own texts; the sums are joined and
 aggregated by gram, so every step of the estimate (continuation counts,
 context totals, discounts, interpolation from one character up to five) is a
-shuffle join or aggregation on 8-byte gram keys, sharded over all tasks. That
-gives the log probability of every gram that occurs anywhere in the corpus.
-Scoring reads each whole text again and adds them up, in units of 1/``UNITS``
-bit, so that sums do not depend on their order; the gram table is broadcast in
-shards of at most ``SHARD`` grams (a fixed bound: a larger model has more
-shards, one after another, whose sums are added per text).
+shuffle join or aggregation on the grams themselves, sharded over all tasks.
+That gives the log probability of every gram that occurs anywhere in the
+corpus. Scoring reads each whole text again and adds them up, in units of 1/``UNITS``
+bit, so that sums do not depend on their order; the gram table, under a 64-bit hash
+of each gram's code points, is broadcast in shards of at most ``SHARD`` grams
+(a fixed bound: a larger model has more shards, one after another, whose sums
+are added per text).
 
 A document is rejected when its bits per character lie above its language's
 limit. A fifth of the trusted documents is kept out of the counts; limits are
@@ -18,13 +19,15 @@ than ``MIN_CALIBRATION`` such documents take the limit of all languages. Any
 text may exceed its limit by ``ALLOWANCE`` bits in all, as the average of a few
 characters says little.
 
-Characters are folded to lower case, white space to a blank; beyond U+0EFF
-they share 256 classes, so that a gram of five fits into one long.
+Characters are folded to lower case, white space to a blank; every other code
+point stands for itself, in every script. The lowest level spreads its mass
+over the corpus' alphabet, at least ``ALPHABET`` characters.
 
 Defined cases: texts that are null or empty have no score and are rejected; a
 null language is a language of its own; without any trusted text nothing but
 those is rejected; an empty table gives an empty result; repeated rows score
-alike; extra columns pass through ``keep_good`` unchanged.
+alike; extra columns pass through ``keep_good`` unchanged; texts of any
+length are read whole, in parts.
 """
 
 from __future__ import annotations
@@ -40,7 +43,8 @@ from missive.llm.common import bounded, keep_rows, row_key, small_batches
 from missive.session import materialise
 
 ORDER = 5
-BITS = 12
+#: Characters that the lowest level reckons with at least.
+ALPHABET = 1 << 12
 SHARD = 1 << 22
 SLACK = 4.0
 ALLOWANCE = 64.0
@@ -50,70 +54,90 @@ STEPS = 50
 #: Bits are added up as whole numbers of 1/UNITS.
 UNITS = 1 << 16
 #: Distinct grams a map task holds before it sums them up again.
-HELD = 1 << 21
+HELD = 1 << 20
 #: Characters of texts that are turned into grams at a time.
 PART = 1 << 21
-_MASKS = {n: (1 << (BITS * n)) - 1 for n in range(1, ORDER + 1)}
 
+def _codes(text: str, lead: bool) -> np.ndarray:
+    """Code points of a folded text; ``lead``: it starts here, and gets a lead of zeros (else its first characters are one)."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = np.where((codes >= 9) & (codes <= 13), np.uint32(32), np.maximum(codes, np.uint32(1)))
+    return np.concatenate([np.zeros(ORDER - 1, np.uint32), codes]) if lead else codes
 
-def _keys(text: str, lead: bool) -> np.ndarray:
-    """Five-gram keys of a folded text, one for each character; ``lead``: the text starts here (else 4 characters lead in)."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    blank = (codes >= 9) & (codes <= 13)
-    codes = np.where(blank, np.uint64(32), np.maximum(codes, np.uint64(1)))
-    far = codes >= 0xF00
-    if far.any():
-        codes = np.where(far, np.uint64(0xF00) + ((codes * np.uint64(2654435761)) >> np.uint64(12) & np.uint64(0xFF)), codes)
-    if lead:
-        codes = np.concatenate([np.zeros(ORDER - 1, np.uint64), codes])
-    out = np.zeros(len(codes) - ORDER + 1, np.uint64)
-    for k in range(ORDER):
-        out = (out << np.uint64(BITS)) | codes[k:len(codes) - ORDER + 1 + k]
-    return out
+
+def _hash(columns: list[np.ndarray]) -> np.ndarray:
+    """64-bit hash of grams given as ``ORDER`` arrays of code points; never 0."""
+    out = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        out ^= c
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return np.maximum(out, np.uint64(1))
+
+
+def _keys(codes: np.ndarray) -> np.ndarray:
+    """Hashes of the five-grams of a text, one for each character after the lead."""
+    n = len(codes) - ORDER + 1
+    return _hash([codes[k:n + k] for k in range(ORDER)])
 
 
 def _parts(text: str):
-    """Key arrays of a whole text, in parts."""
+    """Code points of a whole text, in parts that overlap by the lead."""
     text = text.lower()
     for at in range(0, len(text), PART):
-        yield _keys(text[max(0, at - ORDER + 1):at + PART], at == 0)
+        yield _codes(text[max(0, at - ORDER + 1):at + PART], at == 0)
+
+
+def _distinct(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, code points and count of the different five-grams of some texts."""
+    parts = [p for t in texts if t for p in _parts(t)]
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros((0, ORDER), np.uint32), np.zeros(0, np.int64)
+    key, first, n = np.unique(np.concatenate([_keys(p) for p in parts]), return_index=True, return_counts=True)
+    starts = np.cumsum([0] + [len(p) - ORDER + 1 for p in parts])
+    owner = np.searchsorted(starts, first, "right") - 1   # grams do not run over from one part into the next
+    at = first + owner * (ORDER - 1)
+    codes = np.concatenate(parts)
+    return key, np.stack([codes[at + k] for k in range(ORDER)], axis=1), n
+
 
+def _sum_up(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    key, grams, n = (np.concatenate(x) for x in zip(*held))
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], grams[order[first]], np.add.reduceat(n, first)
 
-def _sum_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, c = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k, kind="stable")
-    k, c = k[order], c[order]
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    return k[first], np.add.reduceat(c, first)
+
+def _rows(held: list[tuple]) -> pd.DataFrame:
+    _, grams, n = _sum_up(held)
+    text = grams.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    return pd.DataFrame({"gram": [text[i:i + ORDER] for i in range(0, len(text), ORDER)], "n": n})
 
 
 def gram_counts(rows: DataFrame) -> DataFrame:
-    """(key, n): five-grams of all texts with their count in trusted texts; ``rows`` has text and trusted."""
+    """(gram, n): five-grams of all texts with their count in trusted texts; ``rows`` has text and trusted."""
     small_batches(rows.sparkSession)
 
     def run(frames):
-        keys, counts, held = [], [], 0
+        held, size = [], 0
         for f in frames:
             for trusted in (True, False):
-                texts = f["text"][(f["trusted"] == trusted) & f["text"].notna()]
-                new = [p for t in texts if t for p in _parts(t)]
-                if new:
-                    k, c = np.unique(np.concatenate(new), return_counts=True)
-                    keys.append(k)
-                    counts.append(c if trusted else np.zeros_like(c))
-                    held += len(k)
-            if held > 2 * HELD:
-                k, c = _sum_up(keys, counts)
-                keys, counts, held = [k], [c], len(k)
-                if held > HELD:
-                    yield pd.DataFrame({"key": k.astype(np.int64), "n": c})
-                    keys, counts, held = [], [], 0
-        if keys:
-            k, c = _sum_up(keys, counts)
-            yield pd.DataFrame({"key": k.astype(np.int64), "n": c})
-
-    parts = rows.select("text", "trusted").mapInPandas(run, "key long, n long")
-    return parts.groupBy("key").agg(F.sum("n").alias("n"))
+                key, grams, n = _distinct(f["text"][(f["trusted"] == trusted) & f["text"].notna()])
+                if len(key):
+                    held.append((key, grams, n if trusted else np.zeros_like(n)))
+                    size += len(key)
+            if size > 2 * HELD:
+                held = [_sum_up(held)]
+                size = len(held[0][0])
+                if size > HELD:
+                    yield _rows(held)
+                    held, size = [], 0
+        if held:
+            yield _rows(held)
+
+    parts = rows.select("text", "trusted").mapInPandas(run, "gram string, n long")
+    return parts.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def _discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -128,36 +152,48 @@ def _discounts(counts: DataFrame) -> tuple[float, float, float]:
 
 
 def log_probabilities(grams: DataFrame) -> DataFrame:
-    """(key, units): minus the base-2 log probability of a gram's last character after the others, for every key, in 1/UNITS."""
-    counts = {ORDER: grams.filter("n > 0").select("key", "n")}
-    wanted = {ORDER: grams.select("key")}
+    """(gram, units): minus the base-2 log probability of a gram's last character after the others, for every gram, in 1/UNITS."""
+    counts = {ORDER: grams.filter("n > 0").select("gram", "n")}
+    wanted = {ORDER: grams.select("gram")}
+    suffix = F.expr("substring(gram, 2)")
     for n in range(ORDER - 1, 0, -1):  # a shorter gram counts the different characters that it follows
-        suffix = F.col("key").bitwiseAND(F.lit(_MASKS[n])).alias("key")
-        counts[n] = materialise(counts[n + 1].select(suffix).groupBy("key").agg(F.count(F.lit(1)).alias("n")), "llm-kn-count")
-        wanted[n] = wanted[n + 1].select(suffix).distinct()
+        counts[n] = materialise(counts[n + 1].select(suffix.alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "llm-kn-count")
+        wanted[n] = wanted[n + 1].select(suffix.alias("gram")).distinct()
+    wanted[1] = materialise(wanted[1], "llm-kn-alphabet")
+    alphabet = max(ALPHABET, wanted[1].count())
     lower = None
     for n in range(1, ORDER + 1):
         d1, d2, d3 = _discounts(counts[n])
         cut = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        context = F.shiftrightunsigned("key", BITS)
+        context = F.substring("gram", 1, n - 1)
         ones, twos = F.count(F.when(F.col("n") == 1, 1)), F.count(F.when(F.col("n") == 2, 1))
         totals = counts[n].groupBy(context.alias("context")).agg(
             F.sum("n").alias("total"), (ones * d1 + twos * d2 + (F.count("n") - ones - twos) * d3).alias("freed"))
-        p = (wanted[n].join(counts[n], "key", "left").withColumn("context", context).join(totals, "context", "left"))
+        p = (wanted[n].join(counts[n], "gram", "left").withColumn("context", context).join(totals, "context", "left"))
         if lower is None:
-            p = p.withColumn("p_lower", F.lit(1.0 / (1 << BITS)))
+            p = p.withColumn("p_lower", F.lit(1.0 / alphabet))
         else:
-            short = lower.select(F.col("key").alias("suffix"), F.col("p").alias("p_lower"))
-            p = (p.withColumn("suffix", F.col("key").bitwiseAND(F.lit(_MASKS[n - 1]))).join(short, "suffix"))
+            short = lower.select(F.col("gram").alias("suffix"), F.col("p").alias("p_lower"))
+            p = p.withColumn("suffix", suffix).join(short, "suffix")
         own = F.coalesce(F.col("n") - cut, F.lit(0.0)) / F.col("total")
-        p = p.select("key", F.when(F.col("total").isNull(), F.col("p_lower"))
+        p = p.select("gram", F.when(F.col("total").isNull(), F.col("p_lower"))
                      .otherwise(own + F.col("freed") / F.col("total") * F.col("p_lower")).alias("p"))
         lower = materialise(p, "llm-kn-p")
-    return lower.select("key", F.round(-F.log2("p") * UNITS).cast("int").alias("units"))
+    return lower.select("gram", F.round(-F.log2("p") * UNITS).cast("int").alias("units"))
+
+
+def _hashed(bits: DataFrame) -> DataFrame:
+    """(key, units): grams by the hash under which texts look them up."""
+    def run(frames):
+        for f in frames:
+            codes = np.frombuffer("".join(f["gram"]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, ORDER)
+            yield pd.DataFrame({"key": _hash([codes[:, k] for k in range(ORDER)]).astype(np.int64), "units": f["units"].to_numpy()})
+
+    return bits.mapInPandas(run, "key long, units int")
 
 
 class _Table:
-    """Open-addressing hash table from gram key to units of bits."""
+    """Open-addressing hash table from gram hash to units of bits."""
 
     def __init__(self, keys: np.ndarray, units: np.ndarray):
         power = max(4, int(2 * len(keys)).bit_length())
@@ -205,7 +241,8 @@ class _Table:
             np.add.at(found, owner, hit[ends] - hit[starts])
 
         for i, text in enumerate(texts):
-            for keys in _parts(text or ""):
+            for codes in _parts(text or ""):
+                keys = _keys(codes)
                 parts.append(keys)
                 owner.append(i)
                 size += len(keys)
@@ -231,7 +268,7 @@ def score_texts(rows: DataFrame, bits: DataFrame, shard: int = SHARD) -> DataFra
     """
     spark = rows.sparkSession
     small_batches(spark)
-    bits = materialise(bits, "llm-kn-bits")
+    bits = materialise(_hashed(bits), "llm-kn-bits")
     shards = max(1, -(-bits.count() // shard))
     others = [c for c in rows.columns if c != "text"]
     kinds = dict(rows.dtypes)

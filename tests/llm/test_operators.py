@@ -381,23 +381,72 @@ def test_kneser_ney_is_a_distribution_and_matches_brute_force(spark):
     texts = ["abracadabra", "abra", "cabbage bar", "a" * 30, "dab"]
     df = spark.createDataFrame([(t, True) for t in texts] + [("xyz abra", False)], "text string, trusted boolean")
     grams = quality.gram_counts(df).collect()
-    key = lambda s: int(sum(ord(c) << (quality.BITS * (4 - i)) for i, c in enumerate(s)))
     want, seen = Counter(), set()
     for t in [*texts, "xyz abra"]:
         p = "\0" * 4 + t
         for i in range(len(t)):
-            seen.add(key(p[i:i + 5]))
-            want[key(p[i:i + 5])] += t != "xyz abra"
-    assert {r.key: r.n for r in grams} == {k: want[k] for k in seen}
+            seen.add(p[i:i + 5])
+            want[p[i:i + 5]] += t != "xyz abra"
+    assert {r.gram: r.n for r in grams} == {k: want[k] for k in seen}
     # all continuations of one context: their probabilities add up to one
-    context = key("\0abra") >> quality.BITS
-    every = spark.range(1 << quality.BITS).select((F.lit(context << quality.BITS) + F.col("id")).alias("key"), F.lit(0).cast("long").alias("n"))
+    every = spark.createDataFrame([("\0abr" + chr(i), 0) for i in range(quality.ALPHABET)], "gram string, n long")
     counted = spark.createDataFrame(grams)
-    both = every.unionByName(counted).groupBy("key").agg(F.sum("n").alias("n"))
-    total = quality.log_probabilities(both).filter(F.shiftrightunsigned("key", quality.BITS) == context)
+    both = every.unionByName(counted).groupBy("gram").agg(F.sum("n").alias("n"))
+    total = quality.log_probabilities(both).filter(F.substring("gram", 1, 4) == "\0abr")
     assert total.agg(F.sum(F.pow(F.lit(2.0), -F.col("units") / quality.UNITS))).first()[0] == pytest.approx(1.0, abs=1e-3)
 
 
+def plain_kneser_ney(trusted, others):
+    """Bits of each text's characters by an interpolated modified Kneser-Ney model in plain Python."""
+    fold = lambda t: "".join(" " if "\t" <= c <= "\r" else max(c, "\1") for c in t.lower())
+    grams = lambda t: [("\0" * 4 + t)[i:i + 5] for i in range(len(t))]
+    counts = {5: Counter(g for t in trusted for g in grams(fold(t)))}
+    wanted = {g for t in [*trusted, *others] for g in grams(fold(t))}
+    for n in (4, 3, 2, 1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    alphabet = max(quality.ALPHABET, len({g[4] for g in wanted}))
+    cuts, totals, freed = {}, {}, {}
+    for n, c in counts.items():
+        n1, n2, n3, n4 = (sum(v == i for v in c.values()) for i in (1, 2, 3, 4))
+        d = (0.5, 0.75, 0.9)
+        if n1 and n2 and n3 and n4:
+            y = n1 / (n1 + 2 * n2)
+            d = tuple(min(max(i - (i * y * b / a if i == 1 else i * y * b / a), 0.05), i - 0.05) for i, a, b in
+                      ((1, n1, 2 * n2), (2, n2, 3 * n3 / 2), (3, n3, 4 * n4 / 3)))
+        cuts[n], totals[n], freed[n] = d, Counter(), Counter()
+        for g, v in c.items():
+            totals[n][g[:-1]] += v
+            freed[n][g[:-1]] += d[min(v, 3) - 1]
+
+    def p(g):
+        low = p(g[1:]) if len(g) > 1 else 1.0 / alphabet
+        n, v = len(g), counts[len(g)][g]
+        if not totals[n][g[:-1]]:
+            return low
+        own = v - cuts[n][min(v, 3) - 1] if v else 0.0
+        return (own + freed[n][g[:-1]] * low) / totals[n][g[:-1]]
+
+    return [sum(-math.log2(p(g)) for g in grams(fold(t))) for t in others]
+
+
+def test_kneser_ney_bits_match_brute_force_in_every_script(spark):
+    rng = random.Random(7)
+    soup = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    hira, kata = "あいうえおかきくけこさしすせそ", "アイウエオカキクケコサシスセソ"
+    geo, hangul, emoji = "აბგდევზთიკ", "가나다라마바사아자차", "😀😁😂🤣"
+    trusted = [soup(hira, 300), soup("abc de", 500), soup(geo, 200), "Tab\tand\nline Éa", soup(hangul, 100), "abra\0cadabra"]
+    others = [soup(hira, 80), soup(kata, 80), soup(geo, 50), soup(hangul, 50) + emoji, soup("abc de", 99), "zzz\t\tÉ", "x", trusted[0]]
+    df = spark.createDataFrame([(t, True) for t in trusted] + [(t, False) for t in others], "text string, trusted boolean")
+    bits = quality.log_probabilities(quality.gram_counts(df.repartition(3)))
+    rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(others)], "doc_id long, __key long, text string")
+    want = plain_kneser_ney(trusted, others)
+    for shard in (1 << 20, 100):
+        got = {r.doc_id: (r.total_bits, r.n_grams) for r in quality.score_texts(rows, bits, shard).collect()}
+        for i, t in enumerate(others):
+            assert got[i][1] == len(t) and got[i][0] == pytest.approx(want[i], abs=len(t) / quality.UNITS)
+    assert want[1] > want[0] + 80   # katakana is not taken for the hiragana that the model knows
+
+
 def test_quality_classifier(spark):
     docs, labels = tables(spark, "documents"), tables(spark, "labels")
     odd = spark.createDataFrame([(10**6, None, "en", "a", 0), (10**6 + 1, "", "en", "a", 0), (10**6 + 2, "%%% $$$ ### " * 200, "en", "a", 0)],
