@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -411,8 +412,8 @@ def plain_kneser_ney(trusted, others):
         d = (0.5, 0.75, 0.9)
         if n1 and n2 and n3 and n4:
             y = n1 / (n1 + 2 * n2)
-            d = tuple(min(max(i - (i * y * b / a if i == 1 else i * y * b / a), 0.05), i - 0.05) for i, a, b in
-                      ((1, n1, 2 * n2), (2, n2, 3 * n3 / 2), (3, n3, 4 * n4 / 3)))
+            d = tuple(min(max(i - (i + 1) * y * more / few, 0.05), i - 0.05)
+                      for i, few, more in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
         cuts[n], totals[n], freed[n] = d, Counter(), Counter()
         for g, v in c.items():
             totals[n][g[:-1]] += v
