@@ -120,14 +120,19 @@ def q_history_kpis(spark, sf_dir):
     return H.kpis(tables.history(spark, sf_dir))
 
 
+def _scored_history(spark, sf_dir):
+    """The history's rows as a scored batch."""
+    return tables.history(spark, sf_dir).select(
+        F.col("email_text").alias("text"), "is_spam", F.col("probability").alias("spam_probability"),
+        F.col("confidence").alias("confidence_score"), F.col("model_used").alias("model_name"),
+        F.col("vectorizer_used").alias("vectorizer_name"))
+
+
 def q_history_append(spark, sf_dir):
     """Two batches appended to a new history store and read back: rows, ids and texts of each."""
     from missive.session import scratch_path
     from missive.sources import history_store as HS
-    scored = tables.history(spark, sf_dir).select(
-        F.col("email_text").alias("text"), "is_spam", F.col("probability").alias("spam_probability"),
-        F.col("confidence").alias("confidence_score"), F.col("model_used").alias("model_name"),
-        F.col("vectorizer_used").alias("vectorizer_name"))
+    scored = _scored_history(spark, sf_dir)
     path = scratch_path(spark, "history-append")
     HS.init_history(spark, path)
     for spam in (1, 0):
@@ -554,6 +559,46 @@ def q_pool_versions(spark, sf_dir):
                                                 F.lit(told["version"]).cast("long").alias("version"))
 
 
+def q_processed_versions(spark, sf_dir):
+    """K4: a processed set read, its pool appended to, and the set read again: the old part is kept, the new one cleaned."""
+    from missive.session import scratch_path
+    from missive.sources import ingest
+    root = scratch_path(spark, "pool-processed")
+    msgs = tables.messages(spark, sf_dir)
+    ingest.update_pool(spark, root, msgs.select("label", "text"), "overwrite")
+    before = ingest.read_processed_pool(spark, root).count()
+    new = stats.standardise_labels(msgs.select(F.col("toxic").cast("string").alias("label"), "text"))
+    ingest.update_pool(spark, root, new, "append")
+    return ingest.read_processed_pool(spark, root).withColumn("rows_before", F.lit(before).cast("long"))
+
+
+def q_history_clear(spark, sf_dir):
+    """K7: a history that is cleared between two appends keeps the second alone, with ids from 1."""
+    from missive.session import scratch_path
+    from missive.sources import history_store as HS
+    scored = _scored_history(spark, sf_dir)
+    path = scratch_path(spark, "history-clear")
+    HS.init_history(spark, path)
+    HS.append_scored(spark, path, scored.filter("is_spam = 1"))
+    HS.clear_history(spark, path)
+    HS.append_scored(spark, path, scored.filter("is_spam = 0"))
+    return HS.read_history(spark, path).groupBy("is_spam").agg(
+        F.count(F.lit(1)).alias("scans"), F.min("id").alias("first_id"), F.max("id").alias("last_id"),
+        F.countDistinct("id").alias("n_ids"), F.countDistinct("email_text").alias("n_texts"))
+
+
+def q_ingest_modes(spark, sf_dir):
+    """Files with a header line read by both explicit modes; without a header the line is a row with no valid label."""
+    from missive.session import scratch_path
+    from missive.sources import ingest
+    path = scratch_path(spark, "modes")
+    rows = tables.messages(spark, sf_dir).select("label", _one_field(F.col("text")).alias("text"))
+    rows.write.option("header", True).option("sep", "\t").option("quote", "") \
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    read = [ingest.ingest_labelled(spark, path, m).withColumn("mode", F.lit(m)) for m in ("headered", "headerless")]
+    return read[0].unionByName(read[1])
+
+
 def q_ingest_headered(spark, sf_dir):
     """Files with a header, roles by name, labels of four spellings (one not valid), no quoting.
 
@@ -709,6 +754,9 @@ QUERIES: dict[str, Query] = {
     "stream_score_nb": q_stream_score_nb,
     "model_registry": q_model_registry,
     "pool_versions": q_pool_versions,
+    "processed_versions": q_processed_versions,
+    "history_clear": q_history_clear,
+    "ingest_modes": q_ingest_modes,
     "ingest_headered": q_ingest_headered,
     "ingest_quoted": q_ingest_quoted,
     "ingest_ragged": q_ingest_ragged,

@@ -340,3 +340,13 @@ ORACLE["ingest_ragged"] = f"""SELECT label, CASE WHEN doc_id % 3 = 2 THEN
 ORACLE["batch_row_numbers"] = """SELECT count(*) AS n, count(*) AS n_ids, CAST(1 AS BIGINT) AS first_id, count(*) AS last_id, CAST(0 AS BIGINT) AS n_odd,
   CAST(sum(length(text)) AS BIGINT) AS text_chars, count(DISTINCT text) AS n_texts FROM conversations"""
 ORACLE["history_kpis_merged"] = f"""SELECT * FROM ({ORACLE['history_kpis']}), ({ORACLE['history_by_model']})"""
+
+
+# --- stores and modes ------------------------------------------------------------
+
+ORACLE["processed_versions"] = f"""SELECT * FROM (SELECT label, text, {S.clean_text('text')} AS clean_text,
+  (SELECT count(*) FROM {MESSAGES_CLEAN}) AS rows_before FROM ({ORACLE['pool_append']})) WHERE clean_text <> ''"""
+ORACLE["history_clear"] = f"""SELECT CAST(0 AS INTEGER) AS is_spam, count(*) AS scans, CAST(1 AS BIGINT) AS first_id, count(*) AS last_id,
+  count(*) AS n_ids, count(DISTINCT email_text) AS n_texts FROM {HISTORY} WHERE is_spam = 0"""
+ORACLE["ingest_modes"] = f"""SELECT m.label, 't ' || regexp_replace(coalesce(m.text, ''), '["\\\\\\r\\n\\t]', ' ', 'g') AS text, k.mode
+FROM {MESSAGES} m CROSS JOIN (VALUES ('headered'), ('headerless')) k(mode)"""
