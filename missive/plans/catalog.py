@@ -258,9 +258,7 @@ def q_tfidf_weights(spark, sf_dir):
 
 def q_bigram_counts(spark, sf_dir):
     """Every bigram of the cleaned labelled messages with its count."""
-    prepared = _prepared(spark, sf_dir)
-    grams = prepared.select(F.explode(T.bigrams(T.vocab_tokens(F.col("clean_text")))).alias("bigram"))
-    return grams.groupBy("bigram").agg(F.count(F.lit(1)).alias("n"))
+    return FE.bigram_counts(_prepared(spark, sf_dir).select("clean_text"))
 
 
 def q_bigrams_topk(spark, sf_dir):
