@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from missive.session import materialise
 
 QUOTE = '"'
+#: Lines that a task holds as Python strings at a time.
+LINES = 500
 
 
 def ends_inside(line: str, sep: str, inside: bool) -> bool:
@@ -92,7 +94,7 @@ def _cut(sep: str, fragments: bool):
         def rest():   # lines left at a block's end belong to a record that goes on
             return [(*key, 0 if tail else 2, first, "\n".join(parts))] if parts else []
 
-        for batch in batches:
+        for batch in (b.slice(i, LINES) for b in batches for i in range(0, b.num_rows, LINES)):
             out = []
             value, files, starts, begin = (batch.column(i).to_pylist() for i in range(4))
             for line, file, start, begins_inside in zip(value, files, starts, begin):
