@@ -88,7 +88,8 @@ def lemmatize_column(df: DataFrame, tokens_col: str, lemmas: DataFrame, out_col:
     changed = materialise(lemmas.filter("lemma <> token").select(F.col("token").alias("word"), "lemma"), "changed-lemmas")
     if changed.count() <= MAX_BROADCAST_LEMMAS:
         changed = F.broadcast(changed)
-    schema = T_.StructType([*df.schema.fields, T_.StructField(out_col, T_.ArrayType(T_.StringType()))])
+    fields = [T_.StructField(c, rows.schema["_words" if c == tokens_col else c].dataType) for c in columns]   # as read back
+    schema = T_.StructType([*fields, T_.StructField(out_col, T_.ArrayType(T_.StringType()))])
     return P.look_up(rows, parts, changed, replaced, schema)
 
 
