@@ -269,20 +269,25 @@ def _mean_vectors_by_part(vectors: DataFrame, df: DataFrame, clean_col: str, out
 
     def means(rows: pa.Table, known: pa.Table) -> pa.Table:
         words, lengths = P.flat_words(rows)
-        at = P.places(words, known["word"])
+        names = P.joined(known["word"], words.type).dictionary_encode()
+        place, at = names.indices.to_numpy(zero_copy_only=False), P.places(words, names.dictionary)
+        times = np.bincount(place, minlength=len(names.dictionary))   # a word may have several vectors: each counts
         table, sums = P.matrix(known["v"], size), np.zeros((rows.num_rows, size))
+        if len(times) < len(table):
+            order = np.argsort(place, kind="stable")
+            table = np.add.reduceat(table[order], np.r_[0, np.cumsum(times)[:-1]])
         here = np.flatnonzero(at >= 0)
-        at, row = at[here], np.repeat(np.arange(len(lengths)), lengths)[here]
-        for a in range(0, len(at), GATHERED):   # words in the order of the text: equal rows have equal sums
+        held, row = at[here], np.repeat(np.arange(len(lengths)), lengths)[here]
+        for a in range(0, len(held), GATHERED):   # words in the order of the text: equal rows have equal sums
             r = row[a:a + GATHERED]
             starts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-            sums[r[starts]] += np.add.reduceat(table[at[a:a + GATHERED]], starts)
-        sums /= np.maximum(np.bincount(row, minlength=len(sums)), 1)[:, None]
+            sums[r[starts]] += np.add.reduceat(table[held[a:a + GATHERED]], starts)
+        sums /= np.maximum(np.bincount(row, weights=times[held], minlength=len(sums)), 1)[:, None]
         return rows.select(columns).append_column(out_col, P.lists(np.round(sums, 12)))
 
     rows, parts = P.dealt(df, T.split_clean_text(F.col(clean_col)), "w2v-rows")
     table = vectors.select("word", vector_to_array("vector").alias("v"))
-    schema = T_.StructType([*df.schema.fields, T_.StructField(out_col, T_.ArrayType(T_.DoubleType()))])
+    schema = T_.StructType([*(rows.schema[c] for c in columns), T_.StructField(out_col, T_.ArrayType(T_.DoubleType()))])
     return P.look_up(rows, parts, table, means, schema).withColumn(out_col, array_to_vector(out_col))
 
 

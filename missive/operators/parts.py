@@ -58,10 +58,15 @@ def flat_words(rows: pa.Table) -> tuple[pa.Array, np.ndarray]:
     return words.flatten(), pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def joined(column: pa.Array | pa.ChunkedArray, kind: pa.DataType) -> pa.Array:
+    """A table's column as one array of a type."""
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    return pa.concat_arrays([c.cast(kind) for c in chunks]) if chunks else pa.array([], kind)
+
+
 def places(words: pa.Array, entries: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Of each word its place among the entries, or -1."""
-    among = pa.concat_arrays(entries.chunks) if isinstance(entries, pa.ChunkedArray) and entries.num_chunks else pa.array([], words.type)
-    return pc.fill_null(pc.index_in(words, value_set=among.cast(words.type)), -1).to_numpy(zero_copy_only=False)
+    return pc.fill_null(pc.index_in(words, value_set=joined(entries, words.type)), -1).to_numpy(zero_copy_only=False)
 
 
 def matrix(column: pa.ChunkedArray, size: int, dtype=np.float64) -> np.ndarray:
