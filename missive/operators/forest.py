@@ -38,7 +38,7 @@ NODES_AT_ONCE = 1000
 BAGGED, SOME = 1 - math.exp(-1), 1e-9
 
 _ROWS = "block int, y binary, w binary, ends binary, at binary, x binary"
-_SENT = "bucket int, tree int, slot int, y binary, w binary, ends binary, at binary, x binary"
+_SENT = "bucket int, tree int, slot int, n long, y binary, w binary, ends binary, at binary, x binary"
 _SUBTREE = "bucket int, tree int, slot int, feature array<int>, bin array<int>, left array<int>, right array<int>, p array<double>"
 
 
@@ -189,9 +189,9 @@ def _blocks(batches: Iterator[pa.RecordBatch], zero: np.ndarray) -> Iterator[_Bl
 def _grow(y: np.ndarray, w: np.ndarray, ends: np.ndarray, at: np.ndarray, x: np.ndarray, zero: np.ndarray, tries: int, levels: int, rng) -> tuple:
     """The subtree of a node from its rows (weights with bootstrap counts): feature (-1: leaf), bin, left, right and share of class 1."""
     feature, bin_, left, right, p = [], [], [], [], []
-    slot_of = np.full(len(zero), -1, np.int32)
+    slot_of = np.full(len(zero), -1, np.int16)
     both = np.stack([w * (y == 0), w * (y == 1)])
-    todo = [(0, 0, both, np.repeat(np.arange(len(y)), np.diff(ends)), at, x)]
+    todo = [(0, 0, both, np.repeat(np.arange(len(y), dtype=np.int32), np.diff(ends)), at, x)]
     while todo:
         level, parent, both, row, at, x = todo.pop()
         me, total = len(feature), both.sum(axis=1)
@@ -202,11 +202,11 @@ def _grow(y: np.ndarray, w: np.ndarray, ends: np.ndarray, at: np.ndarray, x: np.
         if level >= levels or not total.all():
             continue
         tried = rng.choice(len(zero), tries, replace=False)
-        slot_of[tried] = np.arange(tries)
+        slot_of[tried] = np.arange(tries, dtype=np.int16)
         slot = slot_of[at]
         slot_of[tried] = -1
         here = np.flatnonzero(slot >= 0)
-        key, rows = slot[here] * BINS + x[here], row[here]
+        key, rows = slot[here].astype(np.int64) * BINS + x[here], row[here]
         sums = np.stack([np.bincount(key, c[rows], tries * BINS) for c in both], axis=-1).reshape(tries, BINS, 2).astype(np.float64)
         sums[np.arange(tries), zero[tried]] += total - sums.sum(axis=1)
         found = _split(sums, total)
@@ -217,7 +217,7 @@ def _grow(y: np.ndarray, w: np.ndarray, ends: np.ndarray, at: np.ndarray, x: np.
         mine = here[slot[here] == found[0]]
         go[row[mine]] = x[mine] > t
         feature[me], bin_[me], left[me] = f, t, me + 1
-        place = np.where(go, np.cumsum(go), np.cumsum(~go)) - 1
+        place = (np.where(go, np.cumsum(go), np.cumsum(~go)) - 1).astype(np.int32)
         on = go[row]
         for parent, rows, entries in ((me + 1, go, on), (0, ~go, ~on)):   # the last is grown first
             todo.append((level + 1, parent, both[:, rows], place[row[entries]], at[entries], x[entries]))
@@ -226,10 +226,11 @@ def _grow(y: np.ndarray, w: np.ndarray, ends: np.ndarray, at: np.ndarray, x: np.
 
 def _joined(sent: list[dict], zero: np.ndarray) -> tuple[np.ndarray, ...]:
     """The rows that several blocks sent for a node, as one."""
-    ends = [np.frombuffer(s["ends"], np.int64) for s in sent]
-    shift = np.r_[0, np.cumsum([e[-1] for e in ends])]
-    at, x = (np.concatenate([np.frombuffer(s[c], t) for s in sent]) for c, t in (("at", _kind(zero)), ("x", np.uint8)))
-    return np.r_[0, np.concatenate([e[1:] + a for e, a in zip(ends, shift)])], at, x
+    ends = [_unpacked(s["ends"], np.int64) for s in sent]
+    shift, kind = np.r_[0, np.cumsum([e[-1] for e in ends])], _kind(zero)
+    planes = [_unpacked(s["at"], np.uint8).reshape(np.dtype(kind).itemsize, -1) for s in sent]
+    at = np.concatenate([np.cumsum(np.ascontiguousarray(p.T).view(kind).ravel(), dtype=kind) for p in planes])
+    return np.r_[0, np.concatenate([e[1:] + a for e, a in zip(ends, shift)])], at, np.concatenate([_unpacked(s["x"], np.uint8) for s in sent])
 
 
 def _nodes(table: pa.Table) -> Iterator[tuple[tuple[int, int], list[dict]]]:
@@ -243,11 +244,22 @@ def _nodes(table: pa.Table) -> Iterator[tuple[tuple[int, int], list[dict]]]:
 
 def _send(block: _Block, bucket: int, tree: int, slot: int, rows: np.ndarray, y: np.ndarray, w: np.ndarray) -> dict:
     entries, ends = _taken(block.ends, rows)
-    return {"bucket": bucket, "tree": tree, "slot": slot, "y": y.tobytes(), "w": w.tobytes(),
-            "ends": ends.astype(np.int64).tobytes(), "at": block.at[entries].tobytes(), "x": block.x[entries].tobytes()}
+    at = np.diff(block.at[entries], prepend=block.at.dtype.type(0))   # steps are small; what wraps around comes back
+    planes = np.ascontiguousarray(at.view(np.uint8).reshape(len(at), at.itemsize).T)
+    return {"bucket": bucket, "tree": tree, "slot": slot, "n": len(at) + len(y), "y": _packed(y), "w": _packed(w),
+            "ends": _packed(ends.astype(np.int64)), "at": _packed(planes), "x": _packed(block.x[entries])}
 
 
-_SENT_ARROW = pa.schema([("bucket", pa.int32()), ("tree", pa.int32()), ("slot", pa.int32()), *((c, pa.binary()) for c in ("y", "w", "ends", "at", "x"))])
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers for a shuffle: a row is sent to many trees."""
+    return values.nbytes.to_bytes(8, "little") + pa.compress(values.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(sent: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(pa.decompress(sent[8:], int.from_bytes(sent[:8], "little"), "zstd", asbytes=True), kind)
+
+
+_SENT_ARROW = pa.schema([("bucket", pa.int32()), ("tree", pa.int32()), ("slot", pa.int32()), ("n", pa.int64()), *((c, pa.binary()) for c in ("y", "w", "ends", "at", "x"))])
 
 
 def _walk(nodes: dict, ends: np.ndarray, at: np.ndarray, x: np.ndarray, zero: np.ndarray) -> np.ndarray:
@@ -306,10 +318,10 @@ class Forest:
         """Adds the probability of class 1. Rows go to the subtrees; no task holds the forest, and a subtree that many rows
         come to goes to several tasks."""
         rows = materialise(df.withColumn("_row", F.monotonically_increasing_id()), "forest-scored-rows")
-        sent = materialise(_entries(rows.select("_row", "features")).drop("features")
-                           .mapInArrow(_router(self.bins, self.splits, self.ends, self.buckets), _SENT), "forest-sent")
-        load = F.sum(F.length("x") + F.length("y") / 8)   # entries, and rows of eight bytes
-        tasks = [(r["bucket"], math.ceil(r["n"] / NODE_ENTRIES)) for r in sent.groupBy("bucket").agg(load.alias("n")).collect()]   # one row a bucket
+        entries, where = _entries(rows.select("_row", "features")).drop("features"), (self.bins, self.splits, self.ends, self.buckets)
+        loads = entries.mapInArrow(_router(*where, count=True), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()   # one row a bucket
+        tasks = [(r["bucket"], math.ceil(r["n"] / NODE_ENTRIES)) for r in loads]
+        sent = entries.mapInArrow(_router(*where), _SENT)
         first = np.cumsum([0, *(n for _, n in tasks)]).tolist()
         places = [(b, n, f) for (b, n), f in zip(tasks, first)]
 
@@ -483,7 +495,7 @@ def _finisher(zero: np.ndarray, levels: dict, seed: int):
         out, bucket = [], rows["bucket"][0].as_py()
         for (t, s), sent in _nodes(rows):
             sent.sort(key=lambda r: (r["y"], r["w"], r["at"]))   # the order in which blocks come does not count
-            y, w = (np.concatenate([np.frombuffer(r[c], kind) for r in sent]) for c, kind in (("y", np.uint8), ("w", np.float64)))
+            y, w = (np.concatenate([_unpacked(r[c], kind) for r in sent]) for c, kind in (("y", np.uint8), ("w", np.float64)))
             made = _grow(y, w, *_joined(sent, zero), zero, tries, levels[t, s], np.random.default_rng((seed, t, s)))
             out.append({"bucket": bucket, "tree": t, "slot": s} | dict(zip(("feature", "bin", "left", "right", "p"), made)))
         ints = pa.list_(pa.int32())
@@ -492,8 +504,9 @@ def _finisher(zero: np.ndarray, levels: dict, seed: int):
     return run
 
 
-def _router(bins: _Bins, splits: list, ends: list, buckets: int):
-    """Rows to score, sent to the subtrees they come to; of the leaves among the large nodes, the sum of their shares (slot -1)."""
+def _router(bins: _Bins, splits: list, ends: list, buckets: int, count: bool = False):
+    """Rows to score, sent to the subtrees they come to; of the leaves among the large nodes, the sum of their shares (slot -1).
+    With ``count`` only how many rows and entries each bucket gets."""
     zero = bins.zero
 
     def run(batches):
@@ -503,7 +516,9 @@ def _router(bins: _Bins, splits: list, ends: list, buckets: int):
             at_end, at, x = _flat(batch)
             ids, none = batch["_row"].to_numpy(), np.zeros(0)
             block = _Block(0, b"", none.tobytes(), at_end.tobytes(), at.astype(_kind(zero)).tobytes(), bins.of(at, x).tobytes(), zero).by_column()
-            shares = np.zeros(block.n)
+            shares, sizes, load = np.zeros(block.n), np.diff(at_end) + 1, np.zeros(buckets, np.int64)
+            home = int(ids[0] % buckets)
+            load[home] += block.n
             for t in range(len(splits)):
                 slot, out = block.slots(splits[t]), []
                 for s in np.unique(slot).tolist():
@@ -511,11 +526,16 @@ def _router(bins: _Bins, splits: list, ends: list, buckets: int):
                     rows = np.flatnonzero(slot == s)
                     if leaf:
                         shares[rows] += end
+                    elif count:
+                        load[end] += sizes[rows].sum()
                     else:
                         out.append(_send(block, end, t, s, rows, ids[rows], none))
                 if out:
                     yield pa.RecordBatch.from_pylist(out, _SENT_ARROW)
-            yield pa.RecordBatch.from_pylist([_send(block, int(ids[0] % buckets), -1, -1, np.zeros(0, np.int64), ids, shares)], _SENT_ARROW)
+            if count:
+                yield pa.record_batch({"bucket": pa.array(np.flatnonzero(load), pa.int32()), "n": pa.array(load[load > 0])})
+            else:
+                yield pa.RecordBatch.from_pylist([_send(block, home, -1, -1, np.zeros(0, np.int64), ids, shares)], _SENT_ARROW)
     return run
 
 
@@ -524,13 +544,14 @@ def _scorer(zero: np.ndarray):
         grown = {(r["tree"], r["slot"]): r for r in subtrees.to_pylist()}
         ids, shares = [np.zeros(0, np.int64)], [np.zeros(0)]
         for (t, s), sent in _nodes(rows) if rows.num_rows else ():
-            ids += [np.frombuffer(r["y"], np.int64) for r in sent]
+            here = [_unpacked(r["y"], np.int64) for r in sent]
+            ids += here
             if s < 0:
-                shares += [np.frombuffer(r["w"], np.float64) for r in sent]
+                shares += [_unpacked(r["w"], np.float64) for r in sent]
             elif (t, s) in grown:
                 shares.append(_walk(grown[t, s], *_joined(sent, zero), zero))
             else:   # no bootstrapped row came here: nothing is known
-                shares.append(np.zeros(sum(len(r["y"]) // 8 for r in sent)))
+                shares.append(np.zeros(sum(map(len, here))))
         ids, at = np.unique(np.concatenate(ids), return_inverse=True)
         return pa.table({"_row": pa.array(ids), "p": pa.array(np.bincount(at, np.concatenate(shares), len(ids)).astype(np.float64))})
     return run

@@ -268,11 +268,12 @@ def train_grid(split_df: DataFrame, grid=GRID, model_dir: str | None = None,
     rows = []
     for vec in vec_names:
         feats = vecs.features(vec, split_df)
-        tr = sized_for_iteration(SP.with_class_weight(feats.filter(F.col("split") == "train")), n_train).cache()
+        weighted = SP.with_class_weight(feats.filter(F.col("split") == "train"))
+        tr = sized_for_iteration(weighted, n_train).cache()   # the forest reads its rows once, in the partitions they have
         te = feats.filter(F.col("split") == "test")
         names = [m for v, m in grid if v == vec]
         with ThreadPoolExecutor(max_workers=len(names)) as pool:   # independent fits overlap
-            fitted = dict(zip(names, pool.map(lambda mn: fit_model(mn, vec, tr, n_train), names)))
+            fitted = dict(zip(names, pool.map(lambda mn: fit_model(mn, vec, weighted if mn == RF else tr, n_train), names)))
         for model_name in names:
             model = fitted[model_name]
             preds = spam_probability(model, te).withColumn(
